@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clausewise.llm.canonical import equal_clauses
 from clausewise.llm.encoding import encode_corpus
 from clausewise.llm.packing import pack
+from clausewise.llm.personal import personal_data, personal_texts, redacted
 from clausewise.llm.scan_repair import scan_noise, scanned_texts
 from clausewise.llm.shared_spans import shared_runs, shared_share
 from clausewise.sources.tables import table
@@ -21,6 +22,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return equal_clauses(table(spark, folder, "kb_chunk"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(personal_texts(table(spark, folder, "complaints"), table(spark, folder, "legal_opinions")))
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redacted(personal_texts(table(spark, folder, "complaints"), table(spark, folder, "legal_opinions")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise(scanned_texts(*(table(spark, folder, t) for t in ("kb_chunk", "kb_document", "biz_source_documents"))))
 
@@ -41,5 +50,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_packed, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_redacted, p5_found, p6_ids, p7_packed, p8_found, p8_share)}
 SQL: dict[str, str] = {}
