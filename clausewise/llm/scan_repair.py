@@ -39,13 +39,15 @@ PAGE_NUMBER = re.compile(rf"^[\s〔\[（(—–\-‐·•|~]*(?:第\s*[\d{NUMERA
 OWNER_MARK = re.compile(r"内部资料|内部使用|内部文件|制度汇编|扫描件|密级|机密|(?i:internal use|confidential)")
 PAGE_SUFFIX = re.compile(r"\s*(?:\s{2,}|[|·]\s*)\d+$")
 HYPHENS = "-‐‑­﹣－"
-BROKEN = re.compile(rf"([A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*)[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[A-Za-zÀ-ɏ])")
 FRAGMENTS = re.compile(rf"[A-Za-zÀ-ɏ-]*[{HYPHENS}][ \t]*\r?\n[ \t]*[A-Za-zÀ-ɏ-]*")
 LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*")
-TOKEN = re.compile(r"[A-Za-z0-9]+(?:[-/.,][A-Za-z0-9]+)*")
+#: A token between its neighbours.
+TOKEN = re.compile(r"([㐀-鿿，；。]?)([A-Za-z0-9]+(?:[-/.,][A-Za-z0-9]+)*)(?=([㐀-鿿，；。]?))")
 DIGIT_IN_WORD = re.compile(r"[A-Za-z]?[a-z]+[015][a-z015]*$|[015][a-z]{2,}$")
 ODD = re.compile(r"[^\x00-\x7fÀ-ɏ一-鿿，。；：（）、“”〔〕《》·—]")
 SENTENCE_END = tuple("。！？；：.!?;:")
+HYPHEN_END = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*")
+LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*$")
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}})
 _CLASS = np.arange(0x110000, dtype=np.uint32)
 _CLASS[48:58] = 57
@@ -65,30 +67,29 @@ def plain(text: str) -> str:
     return text.translate(_READINGS) if ODD.search(text) else text
 
 
-def shape(token: str, before: str, after: str) -> str:
-    """A token with digits by classes of characters, with the ideographs it stands between."""
-    return f"{before}{token.translate(_SHAPE)}{after}"
+def tokens(text: str) -> tuple[list[str], list[str]]:
+    """(words in order, shapes) of a text without line breaks.
 
-
-def units(text: str) -> tuple[list[str], list[str], np.ndarray]:
-    """(words in order, shapes, windows of three characters as numbers) of a text without line breaks."""
+    A shape is a token with digits, or a single letter, by classes of characters, with the ideographs it stands between.
+    """
     words, shapes = [], []
-    n = len(text)
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if t.isalpha() or (t.replace("-", "").isalpha() and t.islower()) or DIGIT_IN_WORD.match(t):
+    for a, t, b in TOKEN.findall(text):
+        if t.isalpha() or ("-" in t and t.islower() and t.replace("-", "").isalpha()) or DIGIT_IN_WORD.match(t):
             words.append(t)
             if len(t) > 1:
                 continue
-        a, b = m.span()
-        shapes.append(shape(t, text[a - 1] if a and text[a - 1] > "㐀" else "", text[b] if b < n and text[b] > "㐀" else ""))
-    # the ends of a text count as a neighbour
-    codes = _CLASS[np.frombuffer(f"\x02{text}\x02".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
-    if len(codes) < 3:
-        return words, shapes, np.empty(0, dtype=np.int64)
+        shapes.append(f"{a}{t.translate(_SHAPE)}{b}")
+    return words, shapes
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of three characters about an ideograph as numbers, their texts' places) of a batch of texts; the ends of a text count as a neighbour."""
+    joined = "\x02" + "\x02\x02".join(texts) + "\x02"
+    codes = _CLASS[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
     middle = codes[1:-1]
-    keep = (middle >= 0x4E00) & (middle <= 0x9FFF)
-    return words, shapes, ((codes[:-2] << 42) | (middle << 21) | codes[2:])[keep]
+    at = np.flatnonzero((middle >= 0x4E00) & (middle <= 0x9FFF))
+    ends = np.cumsum([len(t) + 2 for t in texts])
+    return (codes[at] << 42) | (codes[at + 1] << 21) | codes[at + 2], np.searchsorted(ends, at + 1, side="right")
 
 
 def window_text(number: int) -> str:
@@ -97,8 +98,9 @@ def window_text(number: int) -> str:
 
 def flowing(text: str) -> str:
     """A text for counting: cut words left out, lines joined."""
-    text = plain(FRAGMENTS.sub(" \n", text)) if "\n" in text else plain(text)
-    return join_lines(text)
+    if "\n" not in text:
+        return plain(text)
+    return join_lines(plain(FRAGMENTS.sub(" \n", text) if HYPHEN_END.search(text) else text))
 
 
 def join_lines(text: str) -> str:
@@ -108,34 +110,47 @@ def join_lines(text: str) -> str:
     return re.sub(r"(?<=[\x21-\x7e])\n(?=[\x21-\x7e])", " ", text).replace("\n", "")
 
 
+def portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in runs of some `most` characters, so that long ones keep to a bounded memory; a longer text makes a run of its own."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def unit_counts(texts: DataFrame) -> DataFrame:
     """(kind, unit, n) over all (text): words 'w', neighbouring words 'b', shapes 's', windows 't'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {k: Counter() for k in "wbs"}
-        windows: Counter = Counter()
+        seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = [(k, u, n) for k, c in counts.items() for u, n in c.items()] + [("t", window_text(w), n) for w, n in windows.items()]
+            rows = [(k, u, n) for k, c in counts.items() for u, n in c.items()] + [("t", window_text(w), n) for w, n in seen.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "unit", "n"])
 
         for batch in batches:
-            parts = []
-            for text in batch.column(0).to_pylist():
-                words, shapes, w = units(flowing(text))
-                low = [x.lower() for x in words]
-                counts["w"].update(low)
-                counts["b"].update(map(" ".join, zip(low, low[1:])))
-                counts["s"].update(shapes)
-                parts.append(w)
-            if parts:
-                u, n = np.unique(np.concatenate(parts), return_counts=True)
+            texts = [flowing(t) for t in batch.column(0).to_pylist()]
+            for part in portions(texts):
+                for text in part:
+                    words, shapes = tokens(text)
+                    low = [x.lower() for x in words]
+                    counts["w"].update(low)
+                    counts["b"].update(map(" ".join, zip(low, low[1:])))
+                    counts["s"].update(shapes)
+                u, n = np.unique(windows(part)[0], return_counts=True)
                 for k, v in zip(u.tolist(), n.tolist()):
-                    windows[k] += v
-            if sum(map(len, counts.values())) + len(windows) > 300_000:
-                yield out()
-                counts, windows = {k: Counter() for k in "wbs"}, Counter()
-        if windows or any(counts.values()):
+                    seen[k] += v
+                if sum(map(len, counts.values())) + len(seen) > 300_000:
+                    yield out()
+                    counts, seen = {k: Counter() for k in "wbs"}, Counter()
+        if seen or any(counts.values()):
             yield out()
 
     return texts.mapInArrow(run, "kind string, unit string, n bigint").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
@@ -276,23 +291,23 @@ def mend_words(text: str, choose=lambda joined, hyphened: joined) -> tuple[str,
     found: list[tuple[str, str]] = []
     if "\n" not in text:
         return text, found
-    out, i = [], 0
-    while m := BROKEN.search(text, i):
-        out.append(text[i : m.start()])
-        joined = hyphened = m[1]
-        end = m.end()
-        while tail := LETTERS.match(text, end):
-            joined, hyphened = joined + tail[0], hyphened + "-" + tail[0]
-            end = tail.end()
-            again = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[A-Za-zÀ-ɏ])").match(text, end)
-            if not again:
-                break
-            end = again.end()
+    out, done = [], 0
+    for m in HYPHEN_END.finditer(text):
+        if m.start() < done:
+            continue
+        begin = max(done, m.start() - 64)
+        left, right = LAST_WORD.search(text[begin : m.start()]), LETTERS.match(text, m.end())
+        if not left or not right:
+            continue
+        joined, hyphened = left[0] + right[0], f"{left[0]}-{right[0]}"
+        end = right.end()
+        # a word cut more than once
+        while (again := HYPHEN_END.match(text, end)) and (tail := LETTERS.match(text, again.end())):
+            joined, hyphened, end = joined + tail[0], f"{hyphened}-{tail[0]}", tail.end()
         found.append((joined, hyphened))
-        out.append(choose(joined, hyphened))
-        i = end
-    out.append(text[i:])
-    return "".join(out), found
+        out += [text[done : begin + left.start()], choose(joined, hyphened)]
+        done = end
+    return ("".join(out) + text[done:], found) if found else (text, found)
 
 
 def noise(texts: DataFrame, misread: DataFrame) -> DataFrame:
@@ -304,28 +319,42 @@ def noise(texts: DataFrame, misread: DataFrame) -> DataFrame:
     table = misread.select("kind", "unit").limit(TABLE_UNITS + 1).toPandas()
     small = len(table) <= TABLE_UNITS
     known = {k: set(g["unit"]) for k, g in table.groupby("kind")} if small else {}
-    windows = np.sort(np.array([ord(u[0]) << 42 | ord(u[1]) << 21 | ord(u[2]) for u in known.pop("t", ())], dtype=np.int64))
-    shared = spark.sparkContext.broadcast((known.get("w", set()), known.get("s", set()), windows))
+    bad = np.sort(np.array([ord(u[0]) << 42 | ord(u[1]) << 21 | ord(u[2]) for u in known.pop("t", ())], dtype=np.int64))
+    shared = spark.sparkContext.broadcast((known.get("w", set()), known.get("s", set()), bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad_words, bad_shapes, bad_windows = shared.value
         for batch in batches:
-            rows = []
-            for field, key, text, title, head in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
-                body, headers, pages = cleaned(text, title, head)
-                rows += [(field, key, "running_header", x, None) for x in set(headers)]
-                rows += [(field, key, "page_number", x, None) for x in set(pages)]
-                body, broken = mend_words(body)
-                rows += [(field, key, "broken_word", *x) for x in set(broken)]
-                words, shapes, w = units(join_lines(plain(body)))
+            rows, keys, bodies = [], [], []
+            for field, key, text, title, whole in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
+                if "\n" in text:
+                    text, headers, pages = cleaned(text, title, whole)
+                    rows += [(field, key, "running_header", x, None) for x in set(headers)]
+                    rows += [(field, key, "page_number", x, None) for x in set(pages)]
+                    text, broken = mend_words(text)
+                    rows += [(field, key, "broken_word", *x) for x in set(broken)]
+                keys.append((field, key))
+                bodies.append(join_lines(plain(text)))
+            place = 0
+            for part in portions(bodies):
+                codes, owners = windows(part)
                 if small:
-                    at = np.minimum(np.searchsorted(bad_windows, w), max(0, len(bad_windows) - 1))
-                    hit = len(bad_windows) > 0 and bool((bad_windows[at] == w).any())
-                    if hit or any(x in bad_shapes for x in shapes) or any(x.lower() in bad_words for x in words):
-                        rows.append((field, key, "misread", "", None))
+                    hits = set()
+                    if len(bad_windows):
+                        at = np.minimum(np.searchsorted(bad_windows, codes), len(bad_windows) - 1)
+                        hits = set(owners[bad_windows[at] == codes].tolist())
+                    for k, text in enumerate(part):
+                        if k not in hits:
+                            words, shapes = tokens(text)
+                            if bad_shapes.isdisjoint(shapes) and bad_words.isdisjoint(map(str.lower, words)):
+                                continue
+                        rows.append((*keys[place + k], "misread", "", None))
                 else:
-                    rows += [(field, key, "w", x, None) for x in {y.lower() for y in words}] + [(field, key, "s", x, None) for x in set(shapes)]
-                    rows += [(field, key, "t", window_text(x), None) for x in set(w.tolist())]
+                    rows += [(*keys[place + o], "t", window_text(c), None) for c, o in set(zip(codes.tolist(), owners.tolist()))]
+                    for k, text in enumerate(part):
+                        words, shapes = tokens(text)
+                        rows += [(*keys[place + k], "w", x, None) for x in {y.lower() for y in words}] + [(*keys[place + k], "s", x, None) for x in set(shapes)]
+                place += len(part)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["field", "id", "kind", "value", "other"])
