@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausewise.llm.canonical import equal_clauses
 from clausewise.llm.encoding import encode_corpus
+from clausewise.llm.name_variants import firm_and_party_names, same_names
 from clausewise.llm.packing import pack
 from clausewise.llm.personal import personal_data, personal_texts, redacted
 from clausewise.llm.scan_repair import scan_noise, scanned_texts
@@ -22,6 +23,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return equal_clauses(table(spark, folder, "kb_chunk"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_names(firm_and_party_names(table(spark, folder, "legal_opinions"), table(spark, folder, "complaints")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(personal_texts(table(spark, folder, "complaints"), table(spark, folder, "legal_opinions")))
 
@@ -50,5 +55,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_redacted, p5_found, p6_ids, p7_packed, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_redacted, p5_found, p6_ids, p7_packed, p8_found, p8_share)}
 SQL: dict[str, str] = {}
