@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from clausewise import packed_queries
+from clausewise.plans import kb_queries, packed_queries
 
-QUERIES = {**packed_queries.QUERIES}
-SQL = {**packed_queries.SQL}
+MODULES = (packed_queries, kb_queries)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
