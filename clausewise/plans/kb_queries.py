@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewise.functions import text as X
 from clausewise.operators import merge, retrieval, sections
+from clausewise.operators.durable import ensure_checkpoint_dir
 from clausewise.operators.vectors import vector_top
 from clausewise.sources.tables import table
+from clausewise.streaming.ingest import ingest_available
 
 #: The question that the keyword queries ask, as keywords in comparison form, and words that make a topic.
 KEYWORDS = ["供应商", "价款支付", "授权委托书", "arbitration", "第三条"]
@@ -416,3 +420,12 @@ def type_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     level2 = level1.join(s, level1["n_nationkey"] == s["s_nationkey"])
     levels = r.select(F.col("r_regionkey").alias("root"), F.lit(0).alias("depth")).unionAll(level1.select("root", F.lit(1).alias("depth"))).unionAll(level2.select("root", F.lit(2).alias("depth")))
     return levels.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"SELECT DISTINCT sha256(content_text) AS content_hash, CAST(length({_CLEAN}) AS INTEGER) AS n_chars FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{'|'.join(NOISE)}')")
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The different source texts worth keeping, by a stream over the files there are."""
+    ensure_checkpoint_dir(spark)
+    shared = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, folder, "biz_source_documents").schema
+    return ingest_available(spark, f"{folder}/biz_source_documents.parque[t]", schema, f"{shared}/out", f"{shared}/state")
