@@ -85,5 +85,11 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         return texts.join(F.broadcast(terms), F.col(text).contains(F.col(term)))
     sizes = sorted(r[0] for r in terms.select(F.char_length(term)).distinct().collect())
-    cut = F.flatten(F.array(*[F.transform(F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(F.col(text), i, F.lit(n))) for n in sizes]))
+
+    def cuts(n: int) -> Column:
+        """All substrings of `n` characters."""
+        starts = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+    cut = F.flatten(F.array(*[cuts(n) for n in sizes]))
     return texts.withColumn("_part", F.explode(F.array_distinct(cut))).join(terms, F.col("_part") == F.col(term)).drop("_part")

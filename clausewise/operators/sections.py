@@ -115,3 +115,90 @@ def chunks_of_lines(numbered: DataFrame, key: str) -> DataFrame:
     )
     parts = parts.where(~X.is_empty_body(F.col("content")))
     return parts.select(key, F.row_number().over(Window.partitionBy(key).orderBy("part")).alias("chunk_no"), F.coalesce(F.col("section"), F.lit(1)).cast("string").alias("section_no"), F.col("article").cast("string").alias("subsection_no"), "content")
+
+
+ARTICLE = "^第[\\u4e00-\\u9fa5\\d]+条$"
+LIST_ITEM = "^(?:[（(][\\u4e00-\\u9fa5\\d]{1,4}[）)]|[\\u4e00-\\u9fa5\\d]{1,4}[.、])"
+
+
+def _list_item(section: Column) -> Column:
+    return (section != "") & F.regexp_replace(section, "\\.[ps].*$", "").rlike(LIST_ITEM)
+
+
+def _leads(text: Column) -> Column:
+    """Whether a text announces what follows it."""
+    return (text != "") & (text.rlike("[：:]$") | ((F.char_length(text) <= 80) & text.rlike("以下|如下|原则|要点|路径|程序|职责")))
+
+
+def _goes_on(text: Column) -> Column:
+    """Whether a title continues the chunk before it."""
+    return (text != "") & (F.char_length(text) <= 36) & text.rlike("^用，|主要|履行|职责|[以如]下|^原则")
+
+
+def effective_contents(chunks: DataFrame, titles_within: int = 6, items_within: int = 20, most: int = 12, budget: int = 1500) -> DataFrame:
+    """(id, effective) of the chunks that stand for more than their own content.
+
+    An article takes up to two continuing titles behind it; a content that announces a list takes the list's items behind it, different ones, until another
+    section begins, there are `most`, or they have `budget` characters; a chunk without content takes its section's first six children. Chunk numbers must be
+    unique in a document; only chunks that may take something look at those behind them, by their numbers.
+    """
+    rows = chunks.select(
+        "id", "document_id", "chunk_no",
+        X.stripped(F.col("section_no")).alias("sec"),
+        X.parent_section(F.col("section_no"), F.col("subsection_no")).alias("parent"),
+        (X.is_title(F.col("content"), F.col("section_title"), F.col("subsection_title")) == 1).alias("title"),
+        X.stripped(F.col("content")).alias("own"),
+        X.collapsed(F.col("content")).alias("text"),
+        X.collapsed(F.coalesce("section_title", "content")).alias("heading"),
+    )
+    empty = X.is_empty_body(F.col("own"))
+    article = F.col("sec").rlike(ARTICLE)
+    may = rows.where(~empty & (article | _leads(F.col("text"))))
+    behind = rows.select("document_id", F.col("chunk_no").alias("at"), F.struct("chunk_no", "sec", "parent", "title", "text", "heading").alias("row"))
+    reach = may.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(items_within)), lambda k: F.col("chunk_no") + k)))
+    met = reach.join(behind, ["document_id", "at"]).groupBy("id", "document_id", "chunk_no", "sec", "own", "text").agg(F.array_sort(F.collect_list("row")).alias("next"))
+
+    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("stop"))
+    near = F.filter("next", lambda r: r["chunk_no"] - F.col("chunk_no") <= titles_within)
+
+    def title_step(s: Column, r: Column) -> Column:
+        said = ~X.is_empty_body(r["heading"])
+        same, over = s, F.struct(s["parts"].alias("parts"), F.lit(True).alias("stop"))
+        more = F.struct(F.concat(s["parts"], F.array(r["heading"])).alias("parts"), (F.size(s["parts"]) + 1 >= 2).alias("stop"))
+        return F.when(s["stop"], same).when(~r["title"], F.when(F.size(s["parts"]) > 0, over).otherwise(same)).when(~said, same).when(_goes_on(r["heading"]), more).otherwise(over)
+
+    continued = F.when(F.col("sec").rlike(ARTICLE), F.aggregate(near, state, title_step)["parts"]).otherwise(F.array().cast("array<string>"))
+    lead = F.when(F.size(continued) > 0, F.concat(F.col("own"), F.lit(" "), F.array_join(continued, " "))).otherwise(F.col("own"))
+    told = met.withColumn("lead", lead)
+
+    items = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("size"), F.lit(False).alias("stop"))
+
+    def item_step(s: Column, r: Column) -> Column:
+        over = s.withField("stop", F.lit(True))
+        base = F.regexp_replace(r["sec"], "\\.[ps].*$", "")
+        listed = _list_item(r["sec"])
+        inside = (r["parent"] == F.col("sec")) | listed | _list_item(r["parent"]) | ((r["parent"] != "") & F.array_contains(s["seen"], r["parent"]))
+        seen = F.when((r["parent"] != F.col("sec")) & listed, F.concat(s["seen"], F.array(base))).otherwise(s["seen"])
+        size = s["size"] + F.char_length(r["text"])
+        more = F.struct(F.concat(s["parts"], F.array(r["text"])).alias("parts"), seen.alias("seen"), size.alias("size"), ((F.size(s["parts"]) + 1 >= most) | (size >= budget)).alias("stop"))
+        started = F.size(s["parts"]) > 0
+        return (
+            F.when(s["stop"], s)
+            .when(r["title"], F.when(~started & _goes_on(r["heading"]), s).otherwise(over))
+            .when(r["sec"].rlike(ARTICLE), over)
+            .when(~inside, F.when(started, over).otherwise(s))
+            .when(X.is_empty_body(r["text"]), s.withField("seen", seen))
+            .otherwise(more)
+        )
+
+    listed = F.when(_leads(X.collapsed(F.col("lead"))), F.aggregate("next", items, item_step)["parts"]).otherwise(F.array().cast("array<string>"))
+    different = F.aggregate(
+        listed,
+        F.struct(F.array().cast("array<string>").alias("parts"), F.array(X.comparison_form(F.col("lead"))).alias("norms")),
+        lambda s, t: F.when((X.comparison_form(t) == "") | F.array_contains(s["norms"], X.comparison_form(t)), s).otherwise(F.struct(F.concat(s["parts"], F.array(t)).alias("parts"), F.concat(s["norms"], F.array(X.comparison_form(t))).alias("norms"))),
+    )["parts"]
+    stitched = told.withColumn("items", different).select("id", F.array_join(F.concat(F.array("lead"), F.col("items")), " ").alias("effective"), "own").where("effective <> own").select("id", "effective")
+
+    children = rows.where(~empty & (F.col("parent") != "")).withColumn("n", F.row_number().over(Window.partitionBy("document_id", "parent").orderBy("chunk_no", "id"))).where("n <= 6")
+    joined = children.groupBy("document_id", F.col("parent").alias("sec")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("effective"))
+    return stitched.unionByName(rows.where(empty & (F.col("sec") != "")).join(joined, ["document_id", "sec"]).select("id", "effective"))

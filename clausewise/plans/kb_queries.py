@@ -428,4 +428,11 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     schema = table(spark, folder, "biz_source_documents").schema
-    return ingest_available(spark, f"{folder}/biz_source_documents.parque[t]", schema, f"{shared}/out", f"{shared}/state")
+    return ingest_available(spark, f"{folder}/biz_source_documents.parque[t]", schema, f"{shared}/out", f"{shared}/state").select("content_hash", "n_chars")
+
+
+@query()
+def effective_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that stand for more than their own content, with that as a hash and its length."""
+    e = sections.effective_contents(table(spark, folder, "kb_chunk"))
+    return e.select("id", F.sha2("effective", 256).alias("text_hash"), F.char_length("effective").alias("n_chars"))

@@ -23,7 +23,7 @@ DOCUMENT = "path string, title string, content string"
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, name, stem, extension, size, content) of the folder's files of the extensions, in any case of letters; others are left out."""
+    """(path, name, stem, extension, size, content) of the folder's files of the extensions, in any case of letters; others, and files without a byte, are left out."""
     either = "{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{either}").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
