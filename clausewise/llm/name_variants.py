@@ -262,7 +262,7 @@ def named_parts(names: DataFrame) -> DataFrame:
 
     places = set(frequent(hints("name"), PLACE_SHARE, 1))
     counted = frequent(trade("name"), TRADE_SHARE, 1)
-    trades = {t for t, n in counted.items() if counted.get(t[::-1], 0) < n * 5}
+    trades = {t for t, n in counted.items() if counted.get(t[::-1], 0) < n * 2}
     split = F.pandas_udf(lambda s: pd.DataFrame([parts(n, places, trades) for n in s], columns=["kind", "place", "core", "trade"]), PARTS)
     return names.withColumn("p", split("name")).select("name_group", "name", "p.*")
 

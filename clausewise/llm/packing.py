@@ -86,6 +86,7 @@ def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> np
         container[i] = number
 
     number = 0
+    usual = int(np.median(sizes)) if n else 0
     while by_size:
         seed = by_size[-1][1]
         take(seed, number)
@@ -101,9 +102,9 @@ def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> np
                 size = int(sizes[i])
                 if size > room:
                     continue
-                # would what is left after this neighbour still be closed by an unused document?
+                # would what is left after this neighbour still be closed by an unused document, or is it room for several?
                 rest = room - size
-                if rest > SLACK:
+                if SLACK < rest < 2 * usual:
                     insort_at = bisect_right(by_size, (size, i)) - 1
                     entry = by_size.pop(insort_at)
                     k = best_fit(rest)
