@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import text as X
 from clausewise.operators import merge, retrieval, sections
-from clausewise.operators.durable import ensure_checkpoint_dir
+from clausewise.operators.durable import durable, ensure_checkpoint_dir
 from clausewise.operators.vectors import vector_top
+from clausewise.plans import pipelines, search
 from clausewise.sources.tables import table
 from clausewise.streaming.ingest import ingest_available
 
@@ -436,3 +437,37 @@ def effective_contents(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that stand for more than their own content, with that as a hash and its length."""
     e = sections.effective_contents(table(spark, folder, "kb_chunk"))
     return e.select("id", F.sha2("effective", 256).alias("text_hash"), F.char_length("effective").alias("n_chars"))
+
+
+@query()
+def knowledge_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best chunks for questions made of stored chunks' headings (ids divisible by 20), against all chunks."""
+    documents, chunks = table(spark, folder, "kb_document"), table(spark, folder, "kb_chunk")
+    index = durable(search.index_vectors(chunks, documents))
+    asked = chunks.where("id % 20 = 0 and content not in ('', '.')").select(F.col("id").alias("query_id"), F.concat_ws(" ", "section_title", "subsection_title", X.first_sentence(F.col("content"), 36)).alias("question"))
+    found = search.search(asked, documents, chunks, index)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "stage", "rank")
+
+
+@query()
+def source_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses of the source documents and what they do to those of the first ingest of each title."""
+    d = table(spark, folder, "biz_source_documents")
+    first = d.join(d.groupBy("title").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    new, old = pipelines.clauses(d), pipelines.clauses(first)
+    return pipelines.clause_actions(new, old)
+
+
+@query("""SELECT 'chunk without document' AS name, count(*) AS failures FROM kb_chunk c ANTI JOIN kb_document d ON d.id = c.document_id
+UNION ALL SELECT 'repeated chunk number', count(*) FROM (SELECT 1 FROM kb_chunk GROUP BY document_id, chunk_no HAVING count(*) > 1)
+UNION ALL SELECT 'repeated chunk id', count(*) FROM (SELECT 1 FROM kb_chunk GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'document without chunks', count(*) FROM kb_document d ANTI JOIN kb_chunk c ON d.id = c.document_id""")
+def table_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that break what the tables promise."""
+    return pipelines.checks(table(spark, folder, "kb_document"), table(spark, folder, "kb_chunk"))
+
+
+@query("""SELECT id, CASE WHEN regexp_matches(content, '第[一二三四五六七八九十百千万零〇两0-9]{1,10}[章条款目]') THEN array_to_string(list_distinct(regexp_extract_all(content, '第[一二三四五六七八九十百千万零〇两0-9]{1,10}?[章条款目]')), ' ') ELSE '' END AS refs FROM kb_chunk""")
+def section_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections that each chunk names."""
+    return table(spark, folder, "kb_chunk").select("id", F.array_join(X.section_refs(F.col("content")), " ").alias("refs"))

@@ -41,13 +41,13 @@ def hashed_ngrams(texts: list[str | None], size: int = 256, n: int = 3) -> list[
     """Unit vectors of hashed character n-grams: the embedding without a model; blank texts have the zero vector."""
     out = []
     for t in texts:
+        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         v = np.zeros(size)
-        t = t or ""
-        for i in range(max(0, len(t) - n + 1)):
-            h = 2166136261
-            for c in t[i : i + n]:
-                h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-            v[h % size] += 1 if h >> 31 else -1
+        if len(codes) >= n:
+            h = np.full(len(codes) - n + 1, 2166136261, dtype=np.uint32)
+            for k in range(n):
+                h = (h ^ codes[k : k + len(h)]) * np.uint32(16777619)
+            v = np.bincount(h % size, weights=np.where(h >> 31, 1.0, -1.0), minlength=size)
         norm = np.sqrt((v * v).sum())
         out.append((v / norm if norm else v).tolist())
     return out
