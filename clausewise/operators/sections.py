@@ -55,42 +55,69 @@ def packed_paragraphs(documents: DataFrame, key: str, text: str, budget: int = 1
     return out.select(key, seq.alias("seq"), F.format_string("AUTO-%03d", seq).alias("clause_no"), F.when(first == "", F.concat(F.lit("自动条款"), seq.cast("string"))).otherwise(first).alias("clause_title"), "clause_text")
 
 
+#: Places of a group's order that one task takes; a group may hold a large part of all rows.
+STRETCH = 4096
+
+
 def nearest_before(rows: DataFrame, group: str, order: str, anchor: Column, value: Column, within: int) -> DataFrame:
-    """`rows` with `nearest`: the value of the last earlier anchor row of the group, '' if there is none or it is more than `within` away."""
-    w = Window.partitionBy(group).orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(anchor, F.struct(F.col(order).alias("at"), value.alias("v"))), ignorenulls=True).over(w)
-    return rows.withColumn("_last", last).withColumn("nearest", F.when(F.col(order) - F.col("_last.at") <= within, F.col("_last.v")).otherwise("")).drop("_last")
+    """`rows` with `nearest`: the value of the last earlier anchor row of the group, '' if there is none or it is more than `within` away.
+
+    A group is taken in stretches of its order, each with a copy of the anchors up to `within` before it, so no task sees a whole group. Rows need an `id`.
+    """
+    size = max(STRETCH, within)
+    told = rows.withColumn("_anchor", F.coalesce(anchor, F.lit(False))).withColumn("_part", F.floor(F.col(order) / size)).withColumn("_copy", F.lit(False))
+    tail = told.where(F.col("_anchor") & (F.col(order) % size >= size - within)).withColumn("_part", F.col("_part") + 1).withColumn("_copy", F.lit(True))
+    w = Window.partitionBy(group, "_part").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
+    both = told.unionByName(tail)
+    last = F.last(F.when(F.col("_anchor"), F.struct(F.col(order).alias("at"), value.alias("v"))), ignorenulls=True).over(w)
+    near = both.withColumn("_last", last).where(~F.col("_copy"))
+    found = F.when(F.col(order) - F.col("_last.at") <= within, F.col("_last.v"))
+    return near.withColumn("nearest", F.coalesce(found, F.lit(""))).drop("_last", "_anchor", "_part", "_copy")
+
+
+def numbered_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """`rows` with their number from 1 in their group by `order`, then id: counted in stretches, each shifted by the rows of those before it."""
+    told = rows.withColumn("_part", F.floor(F.col(order) / STRETCH))
+    sizes = told.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order, "id"))
+    return told.withColumn("_i", inside).join(shifts, [group, "_part"]).withColumn(name, (F.col("_i") + F.col("_shift")).cast("int")).drop("_part", "_i", "_shift")
 
 
 def merged_wraps(chunks: DataFrame) -> DataFrame:
-    """Chunks whose continuation rows (section 'base.p…' under the base section, directly behind it) are joined to them, numbered anew.
+    """Chunks whose continuation rows (section 'base.p…' directly behind the base section's row) are joined to them, numbered anew.
 
-    A base is joined if it is an article, short, or does not end a sentence; else its rows stay as they are.
+    A base is joined if it is an article, short, or does not end a sentence; else its rows stay as they are. Rows without a base stay too.
+    A base and its rows share the base's section; those of one section that stand together make a group, however large the document is.
     """
-    w = Window.partitionBy("document_id").orderBy("chunk_no", "id")
     sec = X.stripped(F.col("section_no"))
     title = X.is_title(F.col("content"), F.col("section_title"), F.col("subsection_title")) == 1
-    base = (~title) & (sec != "") & (~sec.contains(".p"))
-    marked = chunks.withColumn("_sec", sec).withColumn("_title", title).withColumn("_base", F.when(base, F.struct("id", F.col("_sec").alias("sec"), F.col("content").alias("text"))))
-    marked = marked.withColumn("_of", F.last("_base", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    parent = F.coalesce(X.parent_section(F.col("section_no"), F.col("subsection_no")), F.lit(""))
-    follows = (~F.col("_title")) & F.col("_sec").startswith(F.concat(F.col("_of.sec"), F.lit(".p"))) & ((parent == F.col("_of.sec")) | (parent == ""))
-    marked = marked.withColumn("_follows", F.coalesce(follows, F.lit(False)))
-    # a run of followers ends at the first row that does not follow
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_follows"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    told = numbered_within(chunks, "document_id", "chunk_no", "_at").withColumn("_sec", sec).withColumn("_title", title)
+    told = told.withColumn("_key", F.when(F.col("_title") | (F.col("_sec") == ""), F.concat(F.lit("#"), F.col("_at").cast("string"))).otherwise(F.regexp_replace("_sec", "\\.p.*$", "")))
+    # only sections that have continuation rows are looked at closer
+    wrapped = told.where(F.col("_sec").contains(".p")).select("document_id", "_key").distinct()
+    others = told.join(wrapped, ["document_id", "_key"], "left_anti").select(*chunks.columns)
+    told = told.join(wrapped, ["document_id", "_key"], "left_semi")
+    together = Window.partitionBy("document_id", "_key").orderBy("_at")
+    told = told.withColumn("_island", F.col("_at") - F.row_number().over(together))
+    inside = Window.partitionBy("document_id", "_key", "_island").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    base = (~F.col("_title")) & (F.col("_sec") != "") & (~F.col("_sec").contains(".p"))
+    told = told.withColumn("_run", F.sum(base.cast("int")).over(inside)).withColumn("_base", base)
     text = X.collapsed(F.col("content"))
-    whole = marked.groupBy("document_id", "_run").agg(
-        F.min_by(F.struct(*chunks.columns), F.struct("chunk_no", "id")).alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "id", text.alias("t")))), lambda x: x["t"]), "").alias("joined"),
+    whole = told.groupBy("document_id", "_key", "_island", "_run").agg(
+        F.min_by(F.struct(*chunks.columns), "_at").alias("first"),
+        F.max("_base").alias("based"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", text.alias("t")))), lambda x: x["t"]), "").alias("joined"),
         F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("chunk_no", F.struct(*chunks.columns).alias("row")))).alias("all"),
+        F.array_sort(F.collect_list(F.struct("_at", F.struct(*chunks.columns).alias("row")))).alias("all"),
     )
     start = X.collapsed(F.col("first.content"))
     worth = (start != "") & (X.stripped(F.col("first.section_no")).rlike("^第[\\u4e00-\\u9fa5\\d]+条$") | (F.char_length(start) <= 32) | (~start.rlike("[。！？；.!?;]$")))
-    join = (F.col("n") > 1) & worth
+    join = F.col("based") & (F.col("n") > 1) & worth
     one = F.array(F.col("first").withField("content", F.when(join, F.col("joined")).otherwise(F.col("first.content"))))
     rows = whole.select(F.explode(F.when(join, one).otherwise(F.transform("all", lambda x: x["row"]))).alias("r")).select("r.*")
-    return rows.withColumn("chunk_no", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_no", "id")))
+    return numbered_within(rows.unionByName(others), "document_id", "chunk_no", "_new").withColumn("chunk_no", F.col("_new")).drop("_new").select(*chunks.columns)
 
 
 def chunks_of_lines(numbered: DataFrame, key: str) -> DataFrame:

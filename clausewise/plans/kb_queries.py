@@ -197,9 +197,11 @@ def child_contents(spark: SparkSession, folder: str) -> DataFrame:
     """What stands for a section without content of its own: its first six children joined."""
     parent = X.parent_section(F.col("section_no"), F.col("subsection_no"))
     k = table(spark, folder, "kb_chunk").where(~X.is_empty_body(F.col("content"))).withColumn("parent", parent).where("parent <> ''")
-    ranked = k.withColumn("n", F.row_number().over(Window.partitionBy("document_id", "parent").orderBy("chunk_no", "id")))
-    six = F.sort_array(F.collect_list(F.when(F.col("n") <= 6, F.struct("n", X.collapsed(F.col("content")).alias("t")))))
-    return ranked.groupBy("document_id", "parent").agg(F.max("n").cast("bigint").alias("children"), F.sha2(F.array_join(F.transform(six, lambda x: x["t"]), " "), 256).alias("first_hash"))
+    counts = k.groupBy("document_id", "parent").agg(F.count(F.lit(1)).alias("children"))
+    # the filter on the rank goes before the shuffle, so a section of many rows sends six from each task
+    ranked = k.select("document_id", "parent", "chunk_no", "id", X.collapsed(F.col("content")).alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("document_id", "parent").orderBy("chunk_no", "id"))).where("n <= 6")
+    first = ranked.groupBy("document_id", "parent").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("six"))
+    return counts.join(first, ["document_id", "parent"]).select("document_id", "parent", "children", F.sha2(F.array_join(F.transform("six", lambda x: x["t"]), " "), 256).alias("first_hash"))
 
 
 _TOPIC_ROWS = ", ".join(f"('{t}', {i}, '{w}')" for i, (t, ws) in enumerate(TOPICS.items()) for w in ws)
