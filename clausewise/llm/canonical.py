@@ -158,9 +158,11 @@ def equal_clauses(chunks: DataFrame) -> DataFrame:
     """
     contents = chunks.where("content is not null and content not in ('', '.')").select(F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"))
     titles = chunks.where("section_title is not null and document_id is not null").groupBy("document_id", F.col("section_title").alias("text")).agg(F.min("id").cast("bigint").alias("id"))
-    texts = contents.select("text").union(titles.select("text")).distinct().select(F.col("text").alias("key"), "text")
+    texts = contents.select("text").union(titles.select("text")).distinct()
+    # a short key stands for a text while its code points are apart; it stays the same once the texts are written
+    texts = durable(texts.withColumn("key", F.monotonically_increasing_id()))
     # only forms that several texts have can pair rows; the rest of the rows ends here
-    forms = durable(canonical_forms(durable(texts)).select("text", "form"))
+    forms = durable(canonical_forms(texts).select("text", "form"))
     forms = forms.join(forms.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("form"), "form", "left_semi")
     c = same_reading(durable(contents.join(forms, "text"))).select(F.lit("kb_chunk.content").alias("field"), "id_a", "id_b")
     t = same_reading(durable(titles.join(forms, "text")), ["document_id"]).select(F.lit("kb_chunk.section_title").alias("field"), "id_a", "id_b")

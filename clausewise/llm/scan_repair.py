@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from clausewise.llm.canonical import reading
 from clausewise.operators.durable import durable
+from clausewise.operators.skew import salted
 
 #: What scanners confuse (fixed values, general knowledge of recognition errors): misread -> meant, in words.
 LETTER_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("n", "u"), ("u", "n"), ("b", "h"), ("h", "b"), ("e", "c"), ("c", "e"), ("0", "o"), ("1", "l"), ("i", "l"), ("l", "i"), ("5", "s"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("o", "c"), ("o", "a")]
@@ -33,6 +34,8 @@ LIKE_SHAPES = """人入八 合台含 由甲申田电 项顶 审宙 未末 限恨
 RATIO, LEAST = 8, 3
 #: Up to so many misread units go to every task as a table (some 32 MB); beyond, occurrences are joined with them.
 TABLE_UNITS = 1_000_000
+#: Parts that a document's rows are spread over when they meet its title.
+SPREAD = 16
 
 NUMERAL = "零〇一二三四五六七八九十百千"
 PAGE_NUMBER = re.compile(rf"^[\s〔\[（(—–\-‐·•|~]*(?:第\s*[\d{NUMERAL}]+\s*页(?:\s*[/，,]?\s*共\s*[\d{NUMERAL}]+\s*页)?|(?:[Pp]age|[Pp]\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?|\d+\s*(?:/|of)\s*\d+|\d+)[\s〕\]）)—–\-‐·•|~]*$")
@@ -375,7 +378,9 @@ def scanned_texts(chunks: DataFrame, documents: DataFrame, sources: DataFrame) -
     """
     c = chunks.where("content is not null and content not in ('', '.')").select(F.lit("kb_chunk.content").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"), "document_id")
     titles = documents.groupBy(F.col("id").alias("document_id")).agg(F.min("title").alias("title"))
-    broken = c.where(F.col("text").contains("\n")).join(titles, "document_id", "left")
+    # a document may hold a large part of all rows: its rows are spread, its title is there for each part
+    spread = titles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    broken = c.where(F.col("text").contains("\n")).withColumn("part", salted("id", SPREAD)).join(spread, ["document_id", "part"], "left").drop("part")
     whole = c.where(~F.col("text").contains("\n")).withColumn("title", F.lit(None).cast("string"))
     s = sources.where("content_text is not null and content_text <> ''").select(F.lit("biz_source_documents.content_text").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content_text").alias("text"), "title", F.lit(True).alias("whole"))
     both = broken.unionByName(whole).select("field", "id", "text", "title", F.lit(False).alias("whole"))
