@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausewise.functions import questions as Q
 from clausewise.functions import text as X
 from clausewise.operators import merge, retrieval, sections
 from clausewise.operators.durable import durable, ensure_checkpoint_dir
 from clausewise.operators.vectors import vector_top
-from clausewise.plans import pipelines, search
+from clausewise.plans import answers, pipelines, search
 from clausewise.sources.tables import table
 from clausewise.streaming.ingest import ingest_available
 
@@ -473,3 +474,28 @@ def table_checks(spark: SparkSession, folder: str) -> DataFrame:
 def section_references(spark: SparkSession, folder: str) -> DataFrame:
     """The sections that each chunk names."""
     return table(spark, folder, "kb_chunk").select("id", F.array_join(X.section_refs(F.col("content")), " ").alias("refs"))
+
+
+@query()
+def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """Keywords of the questions that stand in the texts."""
+    line = F.regexp_extract("text", "(?m)^问：(.+)$", 1)
+    d = table(spark, folder, "documents").where(F.col("text").contains("问：")).withColumn("question", line).where("question <> ''")
+    return d.select("doc_id", F.array_join(Q.keywords(F.col("question")), " ").alias("keywords"), Q.is_multiple(F.col("question")).alias("several"))
+
+
+@query()
+def list_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of claims that list things, in order."""
+    c = table(spark, folder, "complaints").where("claims_items is not null")
+    return c.select("id", F.posexplode(Q.list_parts(F.col("claims_items"))).alias("n", "part"))
+
+
+@query()
+def keyword_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A Markdown answer made of the twelve best chunks for the keywords."""
+    documents, chunks = table(spark, folder, "kb_document"), table(spark, folder, "kb_chunk")
+    top = retrieval.keyword_top(documents, chunks, KEYWORDS, 12).select(F.lit(1).cast("bigint").alias("query_id"), F.col("knowledge_id").alias("id"), "score")
+    hits = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    asked = spark.createDataFrame([(1, " ".join(KEYWORDS))], "query_id bigint, question string")
+    return answers.answers(asked, answers.context_items(hits, chunks, documents))
