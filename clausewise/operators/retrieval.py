@@ -19,18 +19,24 @@ def active_documents(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("status").isNull() | F.col("status").isin(*ACTIVE))
 
 
+def comparable(rows: DataFrame) -> DataFrame:
+    """`rows` with the weighted fields in comparison form as columns of their own, so that each is made once however many keywords ask for it."""
+    return rows.withColumns({f"_{f}": X.comparison_form(F.col(f)) for f in FIELD_WEIGHTS})
+
+
 def keyword_score(keywords: list[str]) -> Column:
-    """The weighted count of keywords in a chunk joined with its document's title: 0 without content, less for a very short one, never negative."""
-    hits = [F.when(X.comparison_form(F.col(f)).contains(k), w).otherwise(0) for k in keywords for f, w in FIELD_WEIGHTS.items()]
+    """The weighted count of keywords in a comparable chunk joined with its document's title: 0 without content, less for a very short one, never negative."""
+    hits = [F.when(F.col(f"_{f}").contains(k), w).otherwise(0) for k in keywords for f, w in FIELD_WEIGHTS.items()]
     total = reduce(add, hits, F.lit(0)) - F.when(F.char_length("content") <= 10, 6).otherwise(0)
-    return F.when(X.comparison_form(F.col("content")) == "", 0).otherwise(F.greatest(total, F.lit(0)))
+    return F.when(F.col("_content") == "", 0).otherwise(F.greatest(total, F.lit(0)))
 
 
 def keyword_top(documents: DataFrame, chunks: DataFrame, keywords: list[str], n: int) -> DataFrame:
     """The n best chunks of active documents as knowledge items; ties go to the later chunk, then the larger id."""
     titled = active_documents(documents).select(F.col("id").alias("document_id"), "title", "doc_type")
-    scored = chunks.join(titled, "document_id").withColumn("score", keyword_score(keywords)).where("score > 0")
-    best = scored.orderBy(F.desc("score"), F.desc("chunk_no"), F.desc("id")).limit(n)
+    scored = comparable(chunks.join(titled, "document_id")).withColumn("score", keyword_score(keywords))
+    # filtered behind the limit: before it, the filter would make all scores a second time
+    best = scored.orderBy(F.desc("score"), F.desc("chunk_no"), F.desc("id")).limit(n).where("score > 0")
     return best.select(
         F.col("id").alias("knowledge_id"),
         F.col("document_id").alias("source_doc_id"),

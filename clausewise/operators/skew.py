@@ -35,3 +35,9 @@ def in_several(rows: DataFrame, key: str, owner: str, total: int) -> DataFrame:
 def salted(column: Column | str, parts: int) -> Column:
     """A number below `parts` that spreads the rows of one key over tasks, the same for the same value."""
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over as many tasks as the cluster has cores, if a small input came in fewer; for work that keeps a core busy long."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)

@@ -309,17 +309,19 @@ SELECT id, round(hybrid, 6) AS hybrid_score FROM h ORDER BY hybrid DESC, id LIMI
 def hybrid_rerank(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks by a mixed score: a keyword score in the vector score's place, and the lexical score as a share of the best."""
     titled = table(spark, folder, "kb_document").select(F.col("id").alias("document_id"), "title")
-    c = table(spark, folder, "kb_chunk").join(titled, "document_id")
+    c = retrieval.comparable(table(spark, folder, "kb_chunk").join(titled, "document_id"))
     joined = lambda *names: X.comparison_form(F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
-    parts = [F.when(X.comparison_form(F.col(f)).contains(k), w).otherwise(0) for k in KEYWORDS for f, w in retrieval.FIELD_WEIGHTS.items()]
+    c = c.withColumns({"_head": joined("section_no", "section_title", "subsection_no", "subsection_title"), "_body": joined("content", "title")})
+    parts = [F.when(F.col(f"_{f}").contains(k), w).otherwise(0) for k in KEYWORDS for f, w in retrieval.FIELD_WEIGHTS.items()]
     scored = c.select(
         "id",
         (sum(parts[1:], parts[0]) / 1000).alias("vector_score"),
-        retrieval.lexical_score(KEYWORDS, joined("section_no", "section_title", "subsection_no", "subsection_title"), joined("content", "title")).alias("lexical"),
-    ).where("lexical > 0")
+        retrieval.lexical_score(KEYWORDS, F.col("_head"), F.col("_body")).alias("lexical"),
+    )
     best = scored.agg(F.max("lexical").alias("best"))
-    mixed = scored.join(F.broadcast(best)).withColumn("hybrid_score", F.col("vector_score") + 0.35 * F.col("lexical") / F.col("best"))
-    return mixed.orderBy(F.desc("hybrid_score"), "id").limit(20).select("id", F.round("hybrid_score", 6).alias("hybrid_score"))
+    mixed = scored.join(F.broadcast(best)).withColumn("hybrid_score", F.col("vector_score") + F.when(F.col("best") > 0, 0.35 * F.col("lexical") / F.col("best")).otherwise(0.0))
+    # a row without lexical score has no other score either, so the filter may stand behind the limit
+    return mixed.orderBy(F.desc("hybrid_score"), "id").limit(20).where("lexical > 0").select("id", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
 @query("SELECT id, client_name, strftime(created_at, '%Y-%m-%d %H:%M') AS at FROM legal_opinions ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 10 OFFSET 10")
