@@ -38,6 +38,9 @@ def salted(column: Column | str, parts: int) -> Column:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` over as many tasks as the cluster has cores, if a small input came in fewer; for work that keeps a core busy long."""
+    """`rows` over as many tasks as the cluster has cores, if a small input came in fewer; for work that keeps a core busy long.
+
+    For tables as they are read: to count the tasks behind a shuffle, Spark would run it.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
