@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.operators.skew import spread
+
 #: Where the vocabulary files lie; a folder, so that a cluster can name its own.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -143,7 +145,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     `key` and `text` are ignored.
     """
     path = path or vocabulary_path()
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

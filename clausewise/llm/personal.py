@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.canonical import reading
+from clausewise.operators.skew import spread
 
 #: Placeholders by kind.
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -196,7 +197,7 @@ def personal_data(texts: DataFrame) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["field", "id", "kind", "value"])
 
-    return texts.where("text is not null").select("field", "id", "text").mapInArrow(run, "field string, id bigint, kind string, value string")
+    return spread(texts.where("text is not null").select("field", "id", "text"), "id").mapInArrow(run, "field string, id bigint, kind string, value string")
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def redacted(texts: DataFrame) -> DataFrame:
             clean = pa.array([redact(t) for t in batch.column("text").to_pylist()], type=pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("id"), clean], names=["field", "id", "text"])
 
-    return texts.select("field", "id", "text").mapInArrow(run, "field string, id bigint, text string")
+    return spread(texts.select("field", "id", "text"), "id").mapInArrow(run, "field string, id bigint, text string")
 
 
 def personal_texts(complaints: DataFrame, opinions: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from clausewise.llm.canonical import reading
 from clausewise.operators.durable import durable
-from clausewise.operators.skew import salted
+from clausewise.operators.skew import salted, spread
 
 #: What scanners confuse (fixed values, general knowledge of recognition errors): misread -> meant, in words.
 LETTER_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("n", "u"), ("u", "n"), ("b", "h"), ("h", "b"), ("e", "c"), ("c", "e"), ("0", "o"), ("1", "l"), ("i", "l"), ("l", "i"), ("5", "s"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("o", "c"), ("o", "a")]
@@ -376,6 +376,7 @@ def scanned_texts(chunks: DataFrame, documents: DataFrame, sources: DataFrame) -
 
     Only texts with line breaks have running lines, so only these are joined with their document's title.
     """
+    chunks, sources = spread(chunks, "id"), spread(sources, "id")
     c = chunks.where("content is not null and content not in ('', '.')").select(F.lit("kb_chunk.content").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"), "document_id")
     titles = documents.groupBy(F.col("id").alias("document_id")).agg(F.min("title").alias("title"))
     # a document may hold a large part of all rows: its rows are spread, its title is there for each part
