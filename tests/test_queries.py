@@ -38,3 +38,11 @@ def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).columns
     for name in set(entry.core.QUERIES) - set(CORE):
         assert entry.queries()[name](spark, str(DATA)).count() >= 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_packed_values_columns(spark):
+    got = entry.queries()["p1_found"](spark, str(DATA))
+    assert got.dtypes == [("field", "string"), ("id", "bigint"), ("pos", "int"), ("value", "string")]
+    rows = got.collect()
+    assert rows and len(set(rows)) == len(rows)
