@@ -22,8 +22,8 @@ def in_several(rows: DataFrame, key: str, owner: str, total: int) -> DataFrame:
     hot = shared.where(F.col("_n") >= hot_from).select(key, F.lit(True).alias("_hot"))
     cold = shared.where(F.col("_n") < hot_from).select(F.col(key).alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    # a hot row needs no partner any more: it is sent anywhere
-    to = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(key, owner, F.rand()))
+    # a hot row needs no partner any more: it is sent anywhere, and to the same place if a lost task is run again
+    to = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
     return (
         marked.withColumn("_to", to)
         .join(cold, F.col("_to") == F.col("_cold"), "left")
