@@ -335,7 +335,8 @@ def links(nodes: DataFrame) -> DataFrame:
     pairs = a.join(b, [*index, "other"]).where("a < b").select("a", "b").distinct()
     told = nodes.select("node", F.struct("kind", "place", "core", "trade", "spelled", "trades").alias("s"))
     both = pairs.join(told.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(told.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    wrong = {(r["wrong"], r["right"]) for r in misspelled_characters(nodes).limit(200_000).collect()}
+    # pairs of ideographs: their number is bounded by the script, not by the names
+    wrong = {(r["wrong"], r["right"]) for r in misspelled_characters(nodes).collect()}
     same = F.pandas_udf(lambda x, y: compare(x, y, wrong), T.BooleanType())
     return both.where(same("sa", "sb")).select("a", "b")
 
