@@ -164,7 +164,19 @@ def article_clauses(spark: SparkSession, folder: str) -> DataFrame:
     return a.select("doc_id", "seq", "clause_no", "clause_title", F.sha2("clause_text", 256).alias("clause_hash"))
 
 
-@query()
+_SOURCE_LINES = _LINES.replace("(text,", "(content_text,")
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT id, {_SOURCE_LINES} AS body FROM biz_source_documents WHERE content_text IS NOT NULL),
+k AS (SELECT id, body, list_filter(list_transform(regexp_split_to_array(body, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: length(x) >= 20) AS ps FROM t),
+l AS (SELECT id, CASE WHEN len(ps) > 0 THEN ps WHEN body <> '' THEN [body] ELSE [] END AS ps FROM k),
+p AS (SELECT id, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM l),
+r AS (SELECT id, i, para, 1 AS g, length(para) AS size FROM p WHERE i = 1
+  UNION ALL SELECT p.id, p.i, p.para, CASE WHEN r.size + length(p.para) <= 1200 THEN r.g ELSE r.g + 1 END, CASE WHEN r.size + length(p.para) <= 1200 THEN r.size + length(p.para) ELSE length(p.para) END FROM r JOIN p ON p.id = r.id AND p.i = r.i + 1),
+c AS (SELECT id, g, string_agg(para, chr(10) || chr(10) ORDER BY i) AS body FROM r GROUP BY id, g),
+h AS (SELECT *, {_strip("regexp_extract(body, '^[^。；;\n]*')")} AS head FROM c)
+SELECT id, CAST(g AS INTEGER) AS seq, 'AUTO-' || lpad(CAST(g AS VARCHAR), 3, '0') AS clause_no, CASE WHEN head = '' THEN '自动条款' || g ELSE head[1:36] END AS clause_title, sha256(body) AS clause_hash FROM h""")
 def packed_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs of the source documents packed to 1,200 characters."""
     p = sections.packed_paragraphs(table(spark, folder, "biz_source_documents"), "id", "content_text")
@@ -486,7 +498,13 @@ def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.array_join(Q.keywords(F.col("question")), " ").alias("keywords"), Q.is_multiple(F.col("question")).alias("several"))
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT id, regexp_replace({_squeezed('claims_items')}, '^[。；;]+|[。；;]+$', '', 'g') AS body FROM complaints WHERE claims_items IS NOT NULL),
+l AS (SELECT id, CASE WHEN regexp_matches(body, '[；;]') THEN regexp_split_to_array(body, '[；;]') WHEN len(regexp_extract_all(body, '。')) >= 2 THEN string_split(body, '。') WHEN len(regexp_extract_all(body, '、')) >= 2 THEN string_split(body, '、') ELSE [] END AS ls FROM b),
+u AS (SELECT id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l),
+c AS (SELECT id, i, regexp_replace(regexp_replace(x, '^[：:，,。；; ]+|[：:，,。；; ]+$', '', 'g'), '^\\s*(?:\\d+[.、)]|[(（]?[一二三四五六七八九十]{{1,3}}[、.)）])\\s*', '') AS part FROM u),
+d AS (SELECT id, part, min(i) AS i FROM c WHERE length(part) >= 2 GROUP BY id, part)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INTEGER) AS n, part FROM d""")
 def list_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The parts of claims that list things, in order."""
     c = table(spark, folder, "complaints").where("claims_items is not null")
