@@ -43,6 +43,9 @@ TYPE_SHARE = 0.002
 #: Candidates whose source-wide score is lower are not cut at, unless the pieces on both sides are quoted.
 DELIMITER_SCORE = 0.05
 
+#: Pieces are put together to values of at most so many characters, so that a field of very many pieces takes time in proportion; a piece that is longer by itself stays whole.
+LONGEST_VALUE = 2_000
+
 ATOMS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("gap", T.StringType()), T.StructField("piece", T.StringType())]))
 
 
@@ -137,6 +140,8 @@ def groups(parts: list[tuple[str, str, str]], types: dict[str, float], kinds: di
             if best[begin][0] + score > best[end][0] + 1e-9:
                 best[end] = (best[begin][0] + score, begin)
             text = gap + text
+            if len(text) > LONGEST_VALUE:
+                break
     out, end = [], n
     while end:
         begin = best[end][1]

@@ -60,3 +60,9 @@ def test_empty_table_repeats_and_other_columns(spark):
     assert P.unpack(rows(spark, [])).count() == 0
     twice = rows(spark, ["祝泽琛；庞慧珂"] * 1).union(rows(spark, ["祝泽琛；庞慧珂"])).selectExpr("*", "'x' as pos", "'y' as value")
     assert P.unpack(twice).count() == 2  # without known types a text stays whole
+
+
+def test_very_long_fields():
+    values = ["祝泽琛", "望川恒启拓能源有限公司"] * 3000
+    assert split("、".join(values)) == values
+    assert split("字" * 50_000) == ["字" * 50_000]
