@@ -20,7 +20,7 @@ EMPTY_BODIES = (".", "。", "-", "…")
 
 def stripped(c: Column) -> Column:
     """Without blanks of any kind at the ends; null gives ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)^\\s+|(?<!\\s)\\s+$", "")
 
 
 def collapsed(c: Column) -> Column:
