@@ -25,6 +25,8 @@ from clausewise.operators.durable import durable
 HAN_SUFFIX, LATIN_SUFFIX, COMMON, COMMON_REFINED = 1, 4, 40, 200
 #: Least ratio of the longest common subsequence to the longer core.
 LCS_RATIO = 0.66
+#: Longest suffix that is indexed, and longest word that is compared letter by letter; longer ones name the same only if they are equal.
+LONGEST_SUFFIX, LONGEST_WORD = 16, 200
 #: Dictionaries keep what this share of the names has, so they have at most so many entries: 1 / share.
 PLACE_SHARE, TRADE_SHARE = 1 / 2000, 1 / 500
 
@@ -142,7 +144,9 @@ def unaccented(s: str) -> str:
 
 
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
+    """Length of the longest common subsequence; of words over the limit, their length if they are equal, else 0."""
+    if max(len(a), len(b)) > LONGEST_WORD:
+        return len(a) if a == b else 0
     row = [0] * (len(b) + 1)
     for x in a:
         left = 0
@@ -161,6 +165,8 @@ def slip(a: str, b: str) -> bool:
     """Whether two words differ by one letter more or less, or by two neighbours changed round."""
     if a == b:
         return True
+    if max(len(a), len(b)) > LONGEST_WORD:
+        return False
     if abs(len(a) - len(b)) == 1:
         return lcs(a, b) == min(len(a), len(b)) and min(len(a), len(b)) >= 4
     return len(a) == len(b) >= 3 and lcs(a, b) == len(a) - 1 and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2
@@ -229,7 +235,7 @@ def suffix_keys(kind: str, core: str, trade: str, place: str) -> list[tuple[str,
     if kind in ("han", "firm"):
         for word, others in ((core, (place or trade, "")), (core + trade, (core[:1],))) if trade else ((core, (place, "")),):
             for w, mark in ((word, ""), (word[::-1], "<")):
-                for k in range(HAN_SUFFIX, len(w) + 1):
+                for k in range(HAN_SUFFIX, min(len(w), LONGEST_SUFFIX) + 1):
                     # the other end of the word refines a suffix too, and alone the shortest one
                     out += [(mark + w[-k:], o) for o in {(o or f"^{w[0]}") if k > 1 else f"^{w[0]}" for o in others}]
         return list(dict.fromkeys(out))
@@ -238,7 +244,7 @@ def suffix_keys(kind: str, core: str, trade: str, place: str) -> list[tuple[str,
         others = "".join(sorted(v[0] for j, v in enumerate(words) if j != i))
         w = w.rstrip(".")
         for v, mark in ((w, ""), (w[::-1], "<")):
-            out += [(mark + v[-k:], others[:2]) for k in range(LATIN_SUFFIX, len(v) + 1)]
+            out += [(mark + v[-k:], others[:2]) for k in range(LATIN_SUFFIX, min(len(v), LONGEST_SUFFIX) + 1)]
     return list(dict.fromkeys(out))
 
 
@@ -272,7 +278,7 @@ def misspelled_characters(nodes: DataFrame) -> DataFrame:
 
     Cores meet under their text with one character left out.
     """
-    cores = nodes.where("kind in ('han', 'firm') and length(core) >= 2").select("core").distinct()
+    cores = nodes.where(f"kind in ('han', 'firm') and length(core) between 2 and {LONGEST_WORD}").select("core").distinct()
     spots = cores.select("core", F.posexplode(F.split("core", "")).alias("at", "ch")).where("ch <> ''")
     spots = spots.withColumn("key", F.concat_ws("|", F.col("at"), F.expr("concat(substring(core, 1, at), '_', substring(core, at + 2))")))
     totals = spots.groupBy("ch").agg(F.count_distinct("core").alias("n"))

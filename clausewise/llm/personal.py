@@ -22,14 +22,15 @@ from clausewise.operators.skew import spread
 #: Placeholders by kind.
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 #: Ways to write an at sign and a dot (fixed values).
-AT = re.compile(r"\s*[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
-DOT = re.compile(r"\s*[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
+AT = re.compile(r"\s{0,4}[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
+DOT = re.compile(r"\s{0,4}[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
 SPELLED = str.maketrans("零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖", "0012345678912123456789"[:22])
 SPELLED_RUN = re.compile(r"[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖](?:[\s\-]?[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]){6,}")
 STRANGE = re.compile(r"[^\x00-\x7f一-鿿，。；：、“”（）À-ɏ]")
 KEPT = {c: c for c in map(ord, "，。；：、“”（）")}
 
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
+#: Repeats are bounded, so that no text makes a pattern go over it again from each of its places; a local part has at most 64 characters, a label 63.
+EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?)+")
 ID_NUMBER = re.compile(r"(?<![0-9A-Za-z])\d{6}(?:[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3}[0-9Xx](?![0-9A-Za-z])")
 #: The old resident number and passports say nothing by themselves, so they need a label before them.
 LABELLED_ID = re.compile(r"(?:身份证|证件|身份号码|护照|通行证|ID|[Pp]assport)(?:号码|号|件)*\s*[:：]?\s*(?:No\.?\s*)?([A-Z]{1,2}\d{7,8}|\d{6}[ \-]?\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3})(?![0-9A-Za-z])")

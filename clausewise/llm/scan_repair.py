@@ -40,9 +40,11 @@ SPREAD = 16
 NUMERAL = "零〇一二三四五六七八九十百千"
 PAGE_NUMBER = re.compile(rf"^[\s〔\[（(—–\-‐·•|~]*(?:第\s*[\d{NUMERAL}]+\s*页(?:\s*[/，,]?\s*共\s*[\d{NUMERAL}]+\s*页)?|(?:[Pp]age|[Pp]\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?|\d+\s*(?:/|of)\s*\d+|\d+)[\s〕\]）)—–\-‐·•|~]*$")
 OWNER_MARK = re.compile(r"内部资料|内部使用|内部文件|制度汇编|扫描件|密级|机密|(?i:internal use|confidential)")
+#: Longest line that may be a running one, and longest word or token that is held against others.
+LONGEST_LINE, LONGEST_UNIT = 100, 64
 PAGE_SUFFIX = re.compile(r"\s*(?:\s{2,}|[|·]\s*)\d+$")
 HYPHENS = "-‐‑­﹣－"
-FRAGMENTS = re.compile(rf"[A-Za-zÀ-ɏ-]*[{HYPHENS}][ \t]*\r?\n[ \t]*[A-Za-zÀ-ɏ-]*")
+FRAGMENTS = re.compile(rf"[A-Za-zÀ-ɏ-]{{0,64}}[{HYPHENS}][ \t]*\r?\n[ \t]*[A-Za-zÀ-ɏ-]*")
 LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*")
 #: A token between its neighbours.
 TOKEN = re.compile(r"([㐀-鿿，；。]?)([A-Za-z0-9]+(?:[-/.,][A-Za-z0-9]+)*)(?=([㐀-鿿，；。]?))")
@@ -109,7 +111,7 @@ def flowing(text: str) -> str:
 def join_lines(text: str) -> str:
     if "\n" not in text:
         return text
-    text = re.sub(r"[ \t]*\r?\n[ \t]*", "\n", text)
+    text = re.sub(r"(?<![ \t])[ \t]*\r?\n[ \t]*", "\n", text)
     return re.sub(r"(?<=[\x21-\x7e])\n(?=[\x21-\x7e])", " ", text).replace("\n", "")
 
 
@@ -192,7 +194,7 @@ def _deletes(word: str) -> list[str]:
 
 def misread_words(counts: DataFrame) -> DataFrame:
     """(unit, repair, n, m) of the words that misread a more frequent one."""
-    words = counts.where("kind = 'w' and length(unit) >= 2").select("unit", "n")
+    words = counts.where(f"kind = 'w' and length(unit) between 2 and {LONGEST_UNIT}").select("unit", "n")
     deletes = F.pandas_udf(lambda s: s.map(_deletes), T.ArrayType(T.StringType()))
     keyed = words.select("unit", "n", F.explode(deletes("unit")).alias("key"))
     frequent = keyed.where(F.col("n") >= LEAST * RATIO).select("key", F.col("unit").alias("repair"), F.col("n").alias("m"))
@@ -213,7 +215,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
 def misread_shapes(counts: DataFrame) -> DataFrame:
     """(unit, repair) of the shapes in which letters stand where a much more frequent shape has digits."""
-    shapes = counts.where("kind = 's'").select("unit", "n")
+    shapes = counts.where(f"kind = 's' and length(unit) <= {LONGEST_UNIT}").select("unit", "n")
     spots = F.pandas_udf(lambda s: s.map(_spots), T.ArrayType(T.StringType()))
     frequent = shapes.where(F.col("n") >= LEAST).select(F.col("unit").alias("repair"), F.col("n").alias("m"))
     # left out: one to three letters of the rare shape, read as digits; the frequent shape is met with as many digits in their place
@@ -258,12 +260,12 @@ def header_base(line: str) -> str:
 def running_lines(lines: list[str], title: str | None, whole: bool) -> tuple[set[int], set[int]]:
     """(places of running headers, of page numbers) among trimmed lines; `whole`: the text is a whole document, which may have its title at its head."""
     pages = {i for i, x in enumerate(lines) if PAGE_NUMBER.match(x)}
-    bases = [header_base(x) for x in lines]
+    bases = [header_base(x) if len(x) <= LONGEST_LINE else x for x in lines]
     tight = [re.sub(r"\s+", "", plain(x)) for x in bases]
     name = re.sub(r"\s+", "", plain(title or ""))
     headers = set()
     for i, base in enumerate(bases):
-        if i in pages or not base or base.endswith("。") or len(base) > 80:
+        if i in pages or not base or base.endswith("。") or len(lines[i]) > LONGEST_LINE:
             continue
         titled = len(name) >= 4 and (tight[i].startswith(name) or tight[i].endswith(name)) and len(tight[i]) - len(name) <= 12
         if titled or (len(base) <= 40 and OWNER_MARK.search(base) and not re.search(r"[，；。]", base)):

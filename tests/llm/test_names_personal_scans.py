@@ -27,6 +27,11 @@ def test_names(spark):
     assert N.same_names(spark.createDataFrame([], "name_group string, name string")).count() == 0
 
 
+def test_very_long_names(spark):
+    long = "甲乙丙" * 20_000
+    assert linked(spark, [("party", long), ("party", long[:-1]), ("party", long + "（盖章）"), ("party", "x" * 50_000), ("party", "x y " * 5_000)]) == {("party", long, long + "（盖章）")}
+
+
 def test_typed_characters_are_learned(spark):
     cores = [f"{s}{a}{b}" for s in "祝俞卢" for a in "泽诚盛恒" for b in "琛祥桐林"]
     wrong = ["祝择琛", "俞择祥", "卢择林"]
@@ -115,3 +120,11 @@ def test_scan_noise_without_a_table_of_units(spark, monkeypatch):
     d = spark.createDataFrame([("f", i, clean, None, False) for i in range(40)] + [("f", 99, "顶目负责人应当限期整改。", None, False)], "field string, id bigint, text string, title string, whole boolean")
     monkeypatch.setattr(R, "TABLE_UNITS", 0)
     assert [tuple(r) for r in R.scan_noise(d).collect()] == [("f", 99, "misread", "")]
+
+
+def test_very_long_texts():
+    for text in ["x" * 200_000 + " a@b.test", " " * 200_000 + "(at) a", "电话 " + "1" * 200_000, "路" * 200_000 + "1", "（" * 100_000]:
+        assert len(P.redact(text)) > 0
+    for text in ["a" * 200_000 + "-\n" + "b" * 100_000, " " * 200_000 + "\n" + "9" * 100_000, "第" * 100_000 + "\n5"]:
+        body, *_ = R.cleaned(text, "标题标题", False)
+        R.tokens(R.join_lines(R.flowing(R.mend_words(body)[0])))
