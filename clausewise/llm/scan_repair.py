@@ -381,9 +381,10 @@ def scanned_texts(chunks: DataFrame, documents: DataFrame, sources: DataFrame) -
     chunks, sources = spread(chunks, "id"), spread(sources, "id")
     c = chunks.where("content is not null and content not in ('', '.')").select(F.lit("kb_chunk.content").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"), "document_id")
     titles = documents.groupBy(F.col("id").alias("document_id")).agg(F.min("title").alias("title"))
-    # a document may hold a large part of all rows: its rows are spread, its title is there for each part
+    # a document may hold a large part of all rows: its rows are spread, its title is there for each part;
+    # titles grow with the documents, so they are not to be broadcast
     for_each_part = titles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    broken = c.where(F.col("text").contains("\n")).withColumn("part", salted("id", SPREAD)).join(for_each_part, ["document_id", "part"], "left").drop("part")
+    broken = c.where(F.col("text").contains("\n")).withColumn("part", salted("id", SPREAD)).join(for_each_part.hint("merge"), ["document_id", "part"], "left").drop("part")
     whole = c.where(~F.col("text").contains("\n")).withColumn("title", F.lit(None).cast("string"))
     s = sources.where("content_text is not null and content_text <> ''").select(F.lit("biz_source_documents.content_text").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content_text").alias("text"), "title", F.lit(True).alias("whole"))
     both = broken.unionByName(whole).select("field", "id", "text", "title", F.lit(False).alias("whole"))
