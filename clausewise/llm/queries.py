@@ -9,7 +9,7 @@ from clausewise.llm.encoding import encode_corpus
 from clausewise.llm.name_variants import firm_and_party_names, same_names
 from clausewise.llm.packing import pack
 from clausewise.llm.personal import personal_data, personal_texts, redacted
-from clausewise.llm.scan_repair import scan_noise, scanned_texts
+from clausewise.llm.scan_repair import scan_noise, scan_repaired, scanned_texts, unscanned_texts
 from clausewise.llm.shared_spans import shared_runs, shared_share
 from clausewise.sources.tables import table
 
@@ -39,6 +39,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise(scanned_texts(*(table(spark, folder, t) for t in ("kb_chunk", "kb_document", "biz_source_documents"))))
 
 
+def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, documents, sources = (table(spark, folder, t) for t in ("kb_chunk", "kb_document", "biz_source_documents"))
+    return scan_repaired(scanned_texts(chunks, documents, sources)).unionByName(unscanned_texts(chunks, sources))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_documents(spark, folder))
 
@@ -55,5 +60,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_redacted, p5_found, p6_ids, p7_packed, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_redacted, p5_found, p5_repaired, p6_ids, p7_packed, p8_found, p8_share)}
 SQL: dict[str, str] = {}

@@ -34,6 +34,8 @@ LIKE_SHAPES = """人入八 合台含 由甲申田电 项顶须 审宙 未末 限
 RATIO, LEAST = 8, 3
 #: Up to so many misread units go to every task as a table (some 32 MB); beyond, occurrences are joined with them.
 TABLE_UNITS = 1_000_000
+#: The same for units with their repairs, which take more room.
+TABLE_REPAIRS = 250_000
 #: Parts that a document's rows are spread over when they meet its title.
 SPREAD = 16
 
@@ -50,7 +52,10 @@ LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*")
 TOKEN = re.compile(r"([㐀-鿿，；。]?)([A-Za-z0-9]+(?:[-/.,][A-Za-z0-9]+)*)(?=([㐀-鿿，；。]?))")
 DIGIT_IN_WORD = re.compile(r"[A-Za-z]?[a-z]+[015][a-z015]*$|[015][a-z]{2,}$")
 ODD = re.compile(r"[^\x00-\x7fÀ-ɏ一-鿿，。；：（）、“”〔〕《》·—]")
-SENTENCE_END = tuple("。！？；：.!?;:")
+SENTENCE_END = tuple("。！？：.!?:")
+#: What a line opens with, or is, that stands by itself.
+OPENING = re.compile(rf"(?:第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节条款]|[（(][\d{NUMERAL}]{{1,4}}[）)]|[{NUMERAL}]{{1,4}}、|\d{{1,3}}[、．]|\d{{1,3}}\.(?!\d)|[•●■▪◆]|附件\s*\d{{0,3}}\s*[:：])")
+HEADING = re.compile(rf"第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节][^，。；]{{0,40}}$|附件\s*\d{{0,3}}\s*[:：][^，。；]{{0,40}}$")
 HYPHEN_END = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*")
 LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*$")
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}})
@@ -72,6 +77,10 @@ def plain(text: str) -> str:
     return text.translate(_READINGS) if ODD.search(text) else text
 
 
+def is_word(token: str) -> bool:
+    return token.isalpha() or ("-" in token and token.islower() and token.replace("-", "").isalpha()) or bool(DIGIT_IN_WORD.match(token))
+
+
 def tokens(text: str) -> tuple[list[str], list[str]]:
     """(words in order, shapes) of a text without line breaks.
 
@@ -79,7 +88,7 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
     """
     words, shapes = [], []
     for a, t, b in TOKEN.findall(text):
-        if t.isalpha() or ("-" in t and t.islower() and t.replace("-", "").isalpha()) or DIGIT_IN_WORD.match(t):
+        if is_word(t):
             words.append(t)
             if len(t) > 1:
                 continue
@@ -87,14 +96,23 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
     return words, shapes
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of three characters about an ideograph as numbers, their texts' places) of a batch of texts; the ends of a text count as a neighbour."""
-    joined = "\x02" + "\x02\x02".join(texts) + "\x02"
+def windows_at(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of three characters about an ideograph as numbers, places of those ideographs but one) of a text between marks."""
     codes = _CLASS[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
     middle = codes[1:-1]
     at = np.flatnonzero((middle >= 0x4E00) & (middle <= 0x9FFF))
+    return (codes[at] << 42) | (codes[at + 1] << 21) | codes[at + 2], at
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of three characters about an ideograph as numbers, their texts' places) of a batch of texts; the ends of a text count as a neighbour."""
+    numbers, at = windows_at("\x02" + "\x02\x02".join(texts) + "\x02")
     ends = np.cumsum([len(t) + 2 for t in texts])
-    return (codes[at] << 42) | (codes[at + 1] << 21) | codes[at + 2], np.searchsorted(ends, at + 1, side="right")
+    return numbers, np.searchsorted(ends, at + 1, side="right")
+
+
+def window_number(unit: str) -> int:
+    return ord(unit[0]) << 42 | ord(unit[1]) << 21 | ord(unit[2])
 
 
 def window_text(number: int) -> str:
@@ -130,7 +148,7 @@ def portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def unit_counts(texts: DataFrame) -> DataFrame:
-    """(kind, unit, n) over all (text): words 'w', neighbouring words 'b', shapes 's', windows 't'."""
+    """(kind, unit, n) over all (text, title, whole) without running lines: words 'w', neighbouring words 'b', shapes 's', windows 't'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {k: Counter() for k in "wbs"}
@@ -141,7 +159,8 @@ def unit_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "unit", "n"])
 
         for batch in batches:
-            texts = [flowing(t) for t in batch.column(0).to_pylist()]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "title", "whole")))
+            texts = [flowing(cleaned(*row)[0]) for row in rows]
             for part in portions(texts):
                 for text in part:
                     words, shapes = tokens(text)
@@ -158,7 +177,7 @@ def unit_counts(texts: DataFrame) -> DataFrame:
         if seen or any(counts.values()):
             yield out()
 
-    return texts.mapInArrow(run, "kind string, unit string, n bigint").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
+    return texts.select("text", "title", "whole").mapInArrow(run, "kind string, unit string, n bigint").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
 
 
 def confusion_cost(seen: str, meant: str) -> float:
@@ -192,15 +211,20 @@ def _deletes(word: str) -> list[str]:
     return list({f, *(f[:i] + f[i + 1 :] for i in range(len(f)))})
 
 
-def misread_words(counts: DataFrame) -> DataFrame:
-    """(unit, repair, n, m) of the words that misread a more frequent one."""
-    words = counts.where(f"kind = 'w' and length(unit) between 2 and {LONGEST_UNIT}").select("unit", "n")
+def near_words(rare: DataFrame, counts: DataFrame) -> DataFrame:
+    """(unit, repair, n, m, cost) of the words (unit, n) and the much more frequent ones that they may misread."""
     deletes = F.pandas_udf(lambda s: s.map(_deletes), T.ArrayType(T.StringType()))
-    keyed = words.select("unit", "n", F.explode(deletes("unit")).alias("key"))
-    frequent = keyed.where(F.col("n") >= LEAST * RATIO).select("key", F.col("unit").alias("repair"), F.col("n").alias("m"))
+    keyed = rare.where(f"length(unit) between 2 and {LONGEST_UNIT}").select("unit", "n", F.explode(deletes("unit")).alias("key"))
+    usual = counts.where(f"kind = 'w' and length(unit) between 2 and {LONGEST_UNIT}").where(F.col("n") >= LEAST * RATIO)
+    frequent = usual.select(F.col("unit").alias("repair"), F.col("n").alias("m"), F.explode(deletes("unit")).alias("key"))
     pairs = keyed.join(frequent, "key").where(F.col("unit") != F.col("repair")).where(F.col("n") * RATIO <= F.col("m")).select("unit", "repair", "n", "m").distinct()
     cost = F.pandas_udf(lambda a, b: pd.Series([confusion_cost(x, y) for x, y in zip(a, b)]), T.DoubleType())
-    near = pairs.withColumn("cost", cost("unit", "repair")).where(F.col("cost") < F.least(F.lit(1.0), 0.35 + 0.1 * F.length("unit")))
+    return pairs.withColumn("cost", cost("unit", "repair")).where(F.col("cost") < F.least(F.lit(1.0), 0.35 + 0.1 * F.length("unit")))
+
+
+def misread_words(counts: DataFrame) -> DataFrame:
+    """(unit, repair) of the words that misread a more frequent one."""
+    near = near_words(counts.where("kind = 'w'").select("unit", "n"), counts)
     # of several candidates the one that the word's neighbours know
     bigrams = counts.where("kind = 'b'").select(F.split("unit", " ").alias("w"), "n")
     by_word = bigrams.select(F.col("w")[1].alias("unit"), F.col("w")[0].alias("before"), F.col("n").alias("k")).join(near, "unit")
@@ -324,7 +348,7 @@ def noise(texts: DataFrame, misread: DataFrame) -> DataFrame:
     table = misread.select("kind", "unit").limit(TABLE_UNITS + 1).toPandas()
     small = len(table) <= TABLE_UNITS
     known = {k: set(g["unit"]) for k, g in table.groupby("kind")} if small else {}
-    bad = np.sort(np.array([ord(u[0]) << 42 | ord(u[1]) << 21 | ord(u[2]) for u in known.pop("t", ())], dtype=np.int64))
+    bad = np.sort(np.array([window_number(u) for u in known.pop("t", ())], dtype=np.int64))
     shared = spark.sparkContext.broadcast((known.get("w", set()), known.get("s", set()), bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,17 +421,190 @@ def scan_noise(texts: DataFrame) -> DataFrame:
     Kinds: running_header, page_number (the trimmed line), broken_word (the repaired word, with a hyphen
     if the corpus writes it so more often than without), misread (value '', once a field).  Null and empty texts have none.
     """
-    counts = durable(unit_counts(texts.select("text")))
+    counts = durable(unit_counts(texts))
     misread = durable(misread_units(counts))
     found = durable(noise(texts, misread))
-    words = counts.where("kind = 'w'").select("unit", "n")
-    # a broken word that is itself misread comes out put right
     broken = found.where("kind = 'broken_word'").select("field", "id", "kind", "value", "other")
-    forms = broken.select(F.explode(F.array(F.struct(F.col("value").alias("form"), F.col("value").alias("value")), F.struct(F.col("other").alias("form"), F.col("value").alias("value")))).alias("f")).select("f.*").distinct()
-    best = (
-        forms.join(words, F.lower("form") == F.col("unit"), "left")
-        .groupBy("value")
-        .agg(F.max_by("form", F.struct(F.coalesce("n", F.lit(0)), F.col("form") == F.col("value"))).alias("word"))
-    )
-    mended = broken.join(best, "value").select("field", "id", "kind", F.col("word").alias("value")).distinct()
-    return found.where("kind <> 'broken_word'").select("field", "id", "kind", "value").unionByName(mended)
+    mended = durable(broken.join(whole_words(broken, counts, misread), ["value", "other"]))
+    # a misread character may stand in no other place than a cut word
+    misread_cut = mended.where("misread").select("field", "id", F.lit("misread").alias("kind"), F.lit("").alias("value"))
+    misread_here = found.where("kind = 'misread'").select("field", "id", "kind", "value").unionByName(misread_cut).distinct()
+    rest = found.where("kind not in ('broken_word', 'misread')").select("field", "id", "kind", "value")
+    return rest.unionByName(mended.select("field", "id", "kind", F.col("word").alias("value")).distinct()).unionByName(misread_here)
+
+
+def cased(seen: str, word: str) -> str:
+    """A word in small letters with the capitals of its misreading."""
+    return word.upper() if len(seen) > 1 and seen.isupper() else word[:1].upper() + word[1:] if seen[:1].isupper() else word
+
+
+def whole_words(broken: DataFrame, counts: DataFrame, misread: DataFrame) -> DataFrame:
+    """(value, other, word, misread) of each cut word with its joined form `value` and its hyphened one `other`.
+
+    The form that the corpus writes more often is taken; one that it misreads, or does not know and
+    the index brings to a frequent word, comes out put right.
+    """
+    cut = durable(broken.select("value", "other").distinct())
+    forms = cut.select("value", "other", F.explode(F.array("value", "other")).alias("form")).withColumn("unit", F.lower("form"))
+    words = counts.where("kind = 'w'").select("unit", "n")
+    unknown = forms.select("unit").distinct().join(words, "unit", "left_anti").withColumn("n", F.lit(1).cast("bigint"))
+    # a cut word has no neighbours in the counts: the cheapest edit decides, then the count
+    found = near_words(unknown, counts).groupBy("unit").agg(F.max_by("repair", F.struct(-F.col("cost"), "m", "repair")).alias("repair"))
+    repairs = found.unionByName(misread.where("kind = 'w'").select("unit", "repair"))
+    case = F.pandas_udf(lambda a, b: pd.Series([x if y is None else cased(x, y) for x, y in zip(a, b)]), T.StringType())
+    told = forms.join(words, "unit", "left").join(repairs, "unit", "left").join(words.select(F.col("unit").alias("repair"), F.col("n").alias("m")), "repair", "left")
+    rank = F.struct(F.col("n").isNotNull() & F.col("repair").isNull(), F.coalesce("m", "n", F.lit(0)), F.col("form") == F.col("value"))
+    best = told.groupBy("value", "other").agg(F.max_by(F.struct("form", "repair"), rank).alias("b"))
+    return best.select("value", "other", case("b.form", "b.repair").alias("word"), F.col("b.repair").isNotNull().alias("misread"))
+
+
+def paragraphs(text: str, title: str | None) -> str:
+    """The text with the lines of each paragraph joined; a line ends one if it ends a sentence, is a title or heading, or stands before a blank, a heading or an item."""
+    if "\n" not in text:
+        return text
+    name = re.sub(r"\s+", "", plain(title or ""))
+
+    def alone(line: str) -> bool:
+        tight = re.sub(r"\s+", "", plain(line)) if len(line) <= LONGEST_LINE else ""
+        return bool(HEADING.match(line)) or (len(name) >= 4 and name in tight and len(tight) - len(name) <= 12)
+
+    lines = [x.strip() for x in re.split(r"\r?\n", text)]
+    out = [lines[0]]
+    for before, line in zip(lines, lines[1:]):
+        ended = not before or not line or before.rstrip("”’\"）)」』").endswith(SENTENCE_END) or OPENING.match(line) or alone(before) or alone(line)
+        out.append("\n" if ended else " " if before[-1] in _PRINTED and line[0] in _PRINTED else "")
+        out.append(line)
+    return "".join(out).strip("\n")
+
+
+_PRINTED = frozenset(map(chr, range(0x21, 0x7F)))
+
+
+def put_right(text: str, words: dict[str, str], shapes: dict[str, str], middles) -> str:
+    """The text with its misread units replaced; `middles` gives the ideographs meant in windows, by number, or 0.  Other characters stay as they are."""
+    flat, place = [], []
+    for i, c in enumerate(text):
+        if c == "\n":
+            after = text[i + 1 : i + 2]
+            c = " " if i and text[i - 1] in _PRINTED and (after in _PRINTED or after == "\n") else ""
+        elif c > "\x7f" and ODD.match(c):
+            c = _READINGS[c]
+        flat.append(c)
+        place += [i] * len(c)
+    joined = "".join(flat)
+    edits = []
+    numbers, at = windows_at(f"\x02{joined}\x02")
+    for k, meant in zip(at.tolist(), middles(numbers).tolist()):
+        if meant:
+            edits.append((place[k], place[k] + 1, chr(meant)))
+    for m in TOKEN.finditer(joined):
+        a, t, b = m.groups()
+        new = None
+        if is_word(t):
+            if (r := words.get(t.lower())) is not None:
+                new = cased(t, r)
+        if new is None and (len(t) == 1 or not is_word(t)) and (r := shapes.get(f"{a}{t.translate(_SHAPE)}{b}")):
+            new = "".join(DIGIT_LETTERS.get(c, c) if d == "9" else c for c, d in zip(t, r[len(a) :]))
+        if new is not None and new != t:
+            edits.append((place[m.start(2)], place[m.end(2) - 1] + 1, new))
+    for start, end, new in sorted(edits, reverse=True):
+        text = text[:start] + new + text[end:]
+    return text
+
+
+class Repairs:
+    """A table of (kind, unit, repair) for looking up: cut words 'c' by their two forms, words, shapes, windows."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]) -> None:
+        self.tables: dict[str, dict[str, str]] = {k: {} for k in "cws"}
+        seen = {}
+        for kind, unit, repair in rows:
+            if kind == "t":
+                seen[window_number(unit)] = ord(repair[1])
+            else:
+                self.tables[kind][unit] = repair
+        self.numbers = np.array(sorted(seen), dtype=np.int64)
+        self.meant = np.array([seen[x] for x in sorted(seen)], dtype=np.int64)
+
+    def middles(self, numbers: np.ndarray) -> np.ndarray:
+        if not len(self.numbers):
+            return np.zeros(len(numbers), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return np.where(self.numbers[at] == numbers, self.meant[at], 0)
+
+    def apply(self, text: str, title: str | None, whole: bool) -> str:
+        """The text as continuous paragraphs, without running lines and page numbers, its cut and misread words and misread characters put right."""
+        cuts, words, shapes = (self.tables[k] for k in "cws")
+        if "\n" in text:
+            body = cleaned(text, title, whole)[0]
+            text = paragraphs(mend_words(body, lambda joined, hyphened: cuts.get(f"{joined}\n{hyphened}", joined))[0], title)
+        flat = join_lines(plain(text))
+        low, forms = tokens(flat)
+        if self.middles(windows([flat])[0]).any() or not shapes.keys().isdisjoint(forms) or not words.keys().isdisjoint(map(str.lower, low)):
+            return put_right(text, words, shapes, self.middles)
+        return text
+
+
+def cut_words(texts: DataFrame) -> DataFrame:
+    """Distinct (value, other): joined and hyphened form of the cut words of the texts of `scanned_texts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {x for row in zip(*(batch.column(c).to_pylist() for c in ("text", "title", "whole"))) for x in mend_words(cleaned(*row)[0])[1]}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.string()) for i in (0, 1)], names=["value", "other"])
+
+    return texts.where(F.col("text").contains("\n")).select("text", "title", "whole").mapInArrow(run, "value string, other string").distinct()
+
+
+def units_of(texts: DataFrame) -> DataFrame:
+    """(field, id, kind, unit): the distinct units of each text, for joining them with their repairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field, key, text, title, whole in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
+                text, cuts = mend_words(cleaned(text, title, whole)[0])
+                # the breaks that stay part words, but no windows
+                flat = join_lines(plain(paragraphs(text, title)))
+                words, shapes = tokens(flat)
+                units = {("c", "\n".join(x)) for x in cuts} | {("w", x.lower()) for x in words} | {("s", x) for x in shapes} | {("t", window_text(x)) for x in set(windows([flat])[0].tolist())}
+                kinds, values = zip(*units) if units else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(units), type=pa.string()), pa.array([key] * len(units), type=pa.int64()), pa.array(kinds, type=pa.string()), pa.array(values, type=pa.string())], names=["field", "id", "kind", "unit"])
+
+    return texts.select("field", "id", "text", "title", "whole").mapInArrow(run, "field string, id bigint, kind string, unit string")
+
+
+def scan_repaired(texts: DataFrame) -> DataFrame:
+    """(field, id, text): the texts of `scanned_texts` repaired, one row for each.
+
+    Lines are joined to paragraphs, running lines and page numbers are gone, cut words whole, misread
+    words, digits and ideographs put right; all else stays verbatim.
+    """
+    counts = durable(unit_counts(texts))
+    misread = durable(misread_units(counts))
+    cuts = whole_words(cut_words(texts), counts, misread).where("word <> value").select(F.lit("c").alias("kind"), F.concat_ws("\n", "value", "other").alias("unit"), F.col("word").alias("repair"))
+    repairs = durable(misread.unionByName(cuts))
+    table = repairs.limit(TABLE_REPAIRS + 1).collect()
+    small = len(table) <= TABLE_REPAIRS
+    shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in table] if small else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Repairs(shared.value)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "title", "whole")))
+            own = [common] * len(batch) if small else [Repairs([(u["kind"], u["unit"], u["repair"]) for u in x or ()]) for x in batch.column("units").to_pylist()]
+            out = pa.array([r.apply(*row) for r, row in zip(own, rows)], type=pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("id"), out], names=["field", "id", "text"])
+
+    rows = texts.select("field", "id", "text", "title", "whole")
+    if not small:
+        # what a text is handed is bounded by its own units
+        hits = units_of(texts).join(repairs, ["kind", "unit"]).groupBy("field", "id").agg(F.collect_set(F.struct("kind", "unit", "repair")).alias("units"))
+        rows = rows.join(hits, ["field", "id"], "left")
+    return rows.mapInArrow(run, "field string, id bigint, text string")
+
+
+def unscanned_texts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(field, id, text) of the rows that `scanned_texts` leaves out: null, empty and title rows."""
+    c = chunks.where("content is null or content in ('', '.')").select(F.lit("kb_chunk.content").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"))
+    s = sources.where("content_text is null or content_text = ''").select(F.lit("biz_source_documents.content_text").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("content_text").alias("text"))
+    return c.unionByName(s)
