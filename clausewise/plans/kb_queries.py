@@ -492,10 +492,10 @@ def section_references(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    """Keywords of the questions that stand in the texts."""
-    line = F.regexp_extract("text", "(?m)^问：(.+)$", 1)
-    d = table(spark, folder, "documents").where(F.col("text").contains("问：")).withColumn("question", line).where("question <> ''")
-    return d.select("doc_id", F.array_join(Q.keywords(F.col("question")), " ").alias("keywords"), Q.is_multiple(F.col("question")).alias("several"))
+    """Keywords of each question that stands in the texts, with its place among the text's questions."""
+    lines = F.regexp_extract_all("text", F.lit("(?m)^问：(.+)$"), F.lit(1))
+    d = table(spark, folder, "documents").where(F.col("text").contains("问：")).select("doc_id", F.posexplode(lines).alias("p", "question"))
+    return d.select("doc_id", (F.col("p") + 1).cast("int").alias("question_no"), F.array_join(Q.keywords(F.col("question")), " ").alias("keywords"), Q.is_multiple(F.col("question")).alias("several"))
 
 
 @query(f"""
