@@ -28,10 +28,12 @@ from clausewise.operators.skew import salted, spread
 LETTER_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("n", "u"), ("u", "n"), ("b", "h"), ("h", "b"), ("e", "c"), ("c", "e"), ("0", "o"), ("1", "l"), ("i", "l"), ("l", "i"), ("5", "s"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("o", "c"), ("o", "a")]
 #: Letters read for digits.
 DIGIT_LETTERS = {"O": "0", "o": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "G": "6", "b": "6", "B": "8", "g": "9", "q": "9"}
-#: Ideographs of like shape: each group's members are taken for one another.
-LIKE_SHAPES = """人入八 合台含 由甲申田电 项顶须 审宙 未末 限恨根 期斯欺 司可 间问闻 同冋回 日曰目 报拫服 章竟竞 检捡险 账帐 干千于 土士 己已巳 署暑 百白自 大太犬 天夫 木本术 今令 戊戌戍 折拆析 贷货 处外 比此 力刀 贝见 万方 名各 开升 王玉主 几凡 广厂 乌鸟 住往 晴睛 盲育 兑免 哀衷 准淮 冶治 坏环 沫沬 裁栽 徒徙 师帅 辩辨 籍藉 苦若 酒洒 要耍 毫亳 侍待 佣拥 村材 现规 构购 付什 代伐 任仕 件仵 保促 值植 具且 则测 到倒 制刺 务条 华化 卫工 及反 发友 另叧 石右 员贝 周固 命合 和利 因困 围国 地他 型刑 境镜 备各 失矢 宁守 官宫 定走 实买 客容 密蜜 将奖 左右 式弍 当肖 形彤 得碍 心必 总怠 息恩 成戌 户尸 执热 技枝 投没 持特 接按 提堤 收牧 放故 效郊 数教 料科 新析 旋旅 明朋 是昰 最晸 有冇 机杌 来耒 查杳 标杯 次欠 正止 民氏 水氷 法沽 活话 清请情 源原 灭火 版板 状壮 用甩 直真 知如 示未 社杜 种钟 税脱 立产 第弟 等寺 管菅 类娄 紧繁 级极 结给 署著 者昔 职识 背肯 至致 般股 节苄 表衷 认讠 让计 议仪 记纪 证症 评坪 诉拆 词司 试式 语悟 调凋 财材 资贤 过达 还坏 进近 选洗 通道 部陪 重里 银根 长氏 门闩 阵陈 际标 除徐 验险"""
+#: Ideographs of like shape: each group's members are taken for one another; others at a higher cost, see FULL_RATIO.
+LIKE_SHAPES = """由甲申田电 人入八 合台含 限恨根 期斯欺 间问闻 同冋回 日曰目 千干于 己已巳 白百自 大太犬 戊戌戍 项顶须 报拫服 章竟竞 检捡险 木本术 折拆析 王玉主 清请情 审宙 未末 司可 账帐 土士 署暑 天夫 今令 侯候 贷货 处外 比此 办为 力刀 午牛 见贝 万方 名各 开升 无元 主生 几凡 儿几 又叉 广厂 子孑 小少 乌鸟 住往 晴睛 拔拨 析柝 盲育 历厉 兑免 兔免 哀衷 准淮 冶治 坏环 沫沬 裁栽 徒徙 师帅 汆氽 辩辨 籍藉 苦若 酒洒 要耍 毫亳 侍待 佣拥 借惜 估佑 材村 标际 权杈 规现 视现 约钓 线钱 结给 绩债 责贵 质贡 资贤 购构 付什 代伐 仟任 任仕 件仵 保促 值植 偿尝 具且 其共 分公 划戈 则测 到倒 制刺 加如 务条 包句 化华 单草 卫工 印卬 及反 发友 受爱 口囗 另叧 号另 后石 告吉 员贝 周固 命合 和利 品晶 商啇 善普 器嚣 因困 围国 图圄 在任 地他 场扬 型刑 境镜 增憎 备各 复夏 夕歹 失矢 妥安 委季 存在 守宁 官宫 定走 实买 客容 宜宣 家冢 密蜜 富当 导异 将奖 小卜 就龙 属屆 山出 工土 左右 币巾 年午 并井 序库 应庄 底低 建健 式弍 张弛 当肖 形彤 得碍 必心 总怠 息恩 意章 成戌 我找 户尸 扣扫 执热 扩护 批枇 技枝 投没 抄秒 押抻 担坦 持特 指捐 按桉 损捐 接按 推椎 措惜 提堤 支攴 收牧 改攺 放故 政攻 效郊 数教 文丈 料科 新析 旅旋 无旡 时吋 明朋 是昰 显昱 更史 最晸 月曰 有冇 服眼 机杌 来耒 查杳 标杯 样徉 核桉 案桉 档挡 次欠 款欵 止正 步歩 毁毀 每毎 氏民 水氷 求朮 汇江 法沽 注住 活话 测侧 消清 满蒲 源原 漏偏 火灭 点占 照煦 版板 物坳 状壮 独浊 率卒 理埋 用甩 界畍 留畄 登豋 直真 相柑 省着 知如 短矩 破坡 确硧 示未 社杜 票栗 禁棼 离禽 私和 种钟 秩铁 程桯 税脱 稳隐 立产 竣峻 符苻 第弟 等寺 签筌 算箅 管菅 类娄 系糸 紧繁 级极 纪记 经轻 结诘 统充 维推 缴激 网冈 罚罸 署著 者昔 耗秏 职识 联朕 背肯 至致 舍舎 般股 色巴 节苄 荐存 获荻 营菅 落洛 虚虑 行彳 表衷 被破 要妥 角甪 解觧 触独 订汀 认讠 让计 议仪 讲井 许午 论沦 设没 证症 评坪 识织 诉拆 词司 试式 该孩 详样 语悟 误娱 说脱 调凋 负贞 财材 贯贵 费弗 赁凭 起赴 超起 越赵 路跆 身自 转砖 轮沦 载栽 输榆 达过 运远 近斤 返近 还坏 进近 违讳 连莲 迟迡 追迫 退遇 送迭 适话 选洗 通道 逾愈 道遒 遇過 遵尊 邮抽 部陪 配酡 里重 金全 银根 错借 键健 长氏 门闩 阅阋 防仿 陈阵 随隋 障樟 难准 集隼 需霈 露雾 非菲 面而 须顺 预顶 题匙 额颔 风凤 首百 验险 石右 除徐"""
 #: A unit is a misreading if its counterpart is so many times as frequent, and has at least so many occurrences.
 RATIO, LEAST = 8, 3
+#: The same for ideographs that are not of like shape, and the share of all windows between the two neighbours that the counterpart has.
+FULL_RATIO, FULL_LEAST, FULL_SHARE = 40, 40, 0.9
 #: Up to so many misread units go to every task as a table (some 32 MB); beyond, occurrences are joined with them.
 TABLE_UNITS = 1_000_000
 #: The same for units with their repairs, which take more room.
@@ -262,13 +264,22 @@ def _spots(unit: str) -> list[str]:
 
 
 def misread_windows(counts: DataFrame) -> DataFrame:
-    """(unit, repair) of windows whose middle, left out, is nearly always another ideograph of like shape."""
+    """(unit, repair) of windows whose middle, left out, is nearly always another ideograph; one of like shape is the cheaper edit."""
     windows = counts.where("kind = 't'").select("unit", "n", F.concat(F.substring("unit", 1, 1), F.substring("unit", 3, 1)).alias("key"), F.substring("unit", 2, 1).alias("middle"))
     pairs = [(a, b) for g in LIKE_SHAPES.split() for a in g for b in g if a != b]
     like = F.broadcast(counts.sparkSession.createDataFrame(sorted(set(pairs)), "middle string, meant string"))
     frequent = windows.where(F.col("n") >= LEAST).select("key", F.col("middle").alias("meant"), F.col("n").alias("m"), F.col("unit").alias("repair"))
-    found = windows.join(like, "middle").join(frequent, ["key", "meant"]).where(F.col("n") * RATIO <= F.col("m"))
-    return found.groupBy("unit").agg(F.max_by("repair", F.struct("m", "repair")).alias("repair"))
+    cheap = windows.join(like, "middle").join(frequent, ["key", "meant"]).where(F.col("n") * RATIO <= F.col("m")).select("unit", "repair", F.lit(True).alias("cheap"), "m")
+    # any other ideograph: one that stands nearly alone between the two neighbours, and that either of them has much more often beside it
+    one = windows.groupBy("key").agg(F.sum("n").alias("all"), F.max_by(F.struct("unit", "middle", "n"), F.struct("n", "unit")).alias("best"))
+    sole = one.where((F.col("best.n") >= FULL_LEAST) & (F.col("best.n") >= FULL_SHARE * F.col("all"))).select("key", F.col("best.unit").alias("repair"), F.col("best.middle").alias("meant"), F.col("best.n").alias("m"))
+    other = windows.join(sole, "key").where((F.col("middle") != F.col("meant")) & (F.col("n") * FULL_RATIO <= F.col("m")))
+    for start in (1, 2):
+        beside = windows.groupBy(F.substring("unit", start, 2).alias("pair")).agg(F.sum("n").alias("k"))
+        rare, usual = beside.select(F.col("pair").alias("rare"), F.col("k").alias("few")), beside.select(F.col("pair").alias("usual"), F.col("k").alias("many"))
+        other = other.withColumn("rare", F.substring("unit", start, 2)).withColumn("usual", F.substring("repair", start, 2)).join(rare, "rare").join(usual, "usual").where(F.col("few") * FULL_RATIO <= F.col("many")).select("unit", "repair", "m")
+    found = cheap.unionByName(other.select("unit", "repair", F.lit(False).alias("cheap"), "m"))
+    return found.groupBy("unit").agg(F.max_by("repair", F.struct("cheap", "m", "repair")).alias("repair"))
 
 
 def misread_units(counts: DataFrame) -> DataFrame:

@@ -29,3 +29,12 @@ def test_paragraphs_keep_genuine_breaks():
     text = "砚山印章管理办法\n第一章 总则\n第一条 印章由专人\n保管。\n（一）公章；\n（二）合同章。\n附件7：清单\n\nThe owner\nshall act."
     assert R.paragraphs(text, "砚山印章管理办法") == text.replace("专人\n", "专人").replace("owner\n", "owner ")
     assert R.put_right("甲，\r\n乙", {}, {}, R.Repairs([]).middles) == "甲，\r\n乙"
+
+
+@pytest.mark.parametrize("seen,meant", [("视定", "规定"), ("没立", "设立"), ("负贵", "负责"), ("员貂", "员工")])
+def test_misread_ideographs_outside_a_short_list(spark, seen, meant):
+    clean = "按规定设立机构并由专人负责通知员工办理。"
+    rows = [("f", i, clean, None, False) for i in range(60)] + [("f", 99, clean.replace(meant, seen), None, False), ("f", 98, clean.replace("专人", "两名专人"), None, False)]
+    d = spark.createDataFrame(rows, TEXT)
+    assert [tuple(r) for r in R.scan_noise(d).select("id", "kind").collect()] == [(99, "misread")]
+    assert {r.text for r in R.scan_repaired(d).where("id = 99").collect()} == {clean}
