@@ -60,7 +60,10 @@ OPENING = re.compile(rf"(?:第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节条款]|[（(]
 HEADING = re.compile(rf"第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节][^，。；]{{0,40}}$|附件\s*\d{{0,3}}\s*[:：][^，。；]{{0,40}}$")
 HYPHEN_END = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*")
 LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*$")
-_SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}})
+#: Classes of characters in shapes: digits, letters read for digits (O, o), other letters (A, a).
+_SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{c: "O" if c.isupper() else "o" for c in DIGIT_LETTERS}})
+#: So many letters that are not read for digits may still stand for some.
+OTHER_LETTERS = 3
 _CLASS = np.arange(0x110000, dtype=np.uint32)
 _CLASS[48:58] = 57
 
@@ -92,7 +95,7 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
     for a, t, b in TOKEN.findall(text):
         if is_word(t):
             words.append(t)
-            if len(t) > 1:
+            if len(t) > 1 and (t.isalpha() or "-" in t):
                 continue
         shapes.append(f"{a}{t.translate(_SHAPE)}{b}")
     return words, shapes
@@ -240,27 +243,32 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
 
 def misread_shapes(counts: DataFrame) -> DataFrame:
-    """(unit, repair) of the shapes in which letters stand where a much more frequent shape has digits."""
-    shapes = counts.where(f"kind = 's' and length(unit) <= {LONGEST_UNIT}").select("unit", "n")
-    spots = F.pandas_udf(lambda s: s.map(_spots), T.ArrayType(T.StringType()))
-    frequent = shapes.where(F.col("n") >= LEAST).select(F.col("unit").alias("repair"), F.col("n").alias("m"))
-    # left out: one to three letters of the rare shape, read as digits; the frequent shape is met with as many digits in their place
-    pairs = shapes.select("unit", "n", F.explode(spots("unit")).alias("repair")).join(frequent, "repair").where(F.col("n") * RATIO <= F.col("m"))
-    return pairs.groupBy("unit").agg(F.max_by("repair", F.struct("m", "repair")).alias("repair"))
-
-
-def _spots(unit: str) -> list[str]:
-    at = [i for i, c in enumerate(unit) if c in "Aa"][:16]
-    out = set()
-    for a in range(len(at)):
-        one = unit[: at[a]] + "9" + unit[at[a] + 1 :]
-        out.add(one)
-        for b in range(a + 1, len(at)):
-            two = one[: at[b]] + "9" + one[at[b] + 1 :]
-            out.add(two)
-            for c in range(b + 1, min(len(at), b + 5)):
-                out.add(two[: at[c]] + "9" + two[at[c] + 1 :])
-    return list(out)
+    """(unit, repair) of the shapes in which letters stand where a much more frequent shape has digits.
+
+    Shapes meet under a key in which letters and digits are one class, so any number of letters may
+    stand for digits; place by place is told which do.  Rarity and repairs go by shapes with one class of letters.
+    """
+    shapes = counts.where("kind = 's'").select("unit", "n", F.translate("unit", "Oo", "Aa").alias("coarse"))
+    shapes = shapes.withColumn("key", F.translate("coarse", "Aa", "99"))
+    coarse = shapes.groupBy("key", "coarse").agg(F.sum("n").alias("m"))
+    frequent = coarse.where((F.col("m") >= LEAST) & F.col("coarse").contains("9")).select("key", F.col("coarse").alias("repair"), "m")
+    rare = shapes.where(F.col("unit").rlike("[AaOo]")).join(coarse.select("coarse", F.col("m").alias("all")), "coarse")
+    read = F.pandas_udf(lambda a, b: pd.Series([letters_read(x, y) for x, y in zip(a, b)], dtype="int32"), T.IntegerType())
+    pairs = rare.join(frequent, "key").where(F.col("all") * RATIO <= F.col("m")).withColumn("others", read("unit", "repair"))
+    near = pairs.where("others >= 0")
+    return near.groupBy("unit").agg(F.max_by("repair", F.struct(-F.col("others"), "m", "repair")).alias("repair"))
+
+
+def letters_read(unit: str, repair: str) -> int:
+    """How many letters that are not read for digits a shape has where the other has digits; -1 if they differ otherwise, or in too many of them."""
+    others = 0
+    for c, d in zip(unit, repair):
+        if d == "9" and c in "Aa":
+            others += 1
+        elif d != {"O": "A", "o": "a"}.get(c, c) and not (d == "9" and c in "Oo"):
+            return -1
+    digits = unit.count("9")
+    return others if unit != repair and others <= min(OTHER_LETTERS, digits) else -1
 
 
 def misread_windows(counts: DataFrame) -> DataFrame:
@@ -514,7 +522,7 @@ def put_right(text: str, words: dict[str, str], shapes: dict[str, str], middles)
         if is_word(t):
             if (r := words.get(t.lower())) is not None:
                 new = cased(t, r)
-        if new is None and (len(t) == 1 or not is_word(t)) and (r := shapes.get(f"{a}{t.translate(_SHAPE)}{b}")):
+        if new is None and (len(t) == 1 or not (t.isalpha() or is_word(t) and "-" in t)) and (r := shapes.get(f"{a}{t.translate(_SHAPE)}{b}")):
             new = "".join(DIGIT_LETTERS.get(c, c) if d == "9" else c for c, d in zip(t, r[len(a) :]))
         if new is not None and new != t:
             edits.append((place[m.start(2)], place[m.end(2) - 1] + 1, new))

@@ -38,3 +38,18 @@ def test_misread_ideographs_outside_a_short_list(spark, seen, meant):
     d = spark.createDataFrame(rows, TEXT)
     assert [tuple(r) for r in R.scan_noise(d).select("id", "kind").collect()] == [(99, "misread")]
     assert {r.text for r in R.scan_repaired(d).where("id = 99").collect()} == {clean}
+
+
+@pytest.mark.parametrize("seen", ["5oO3.ZO9S", "SO03.ZO9S", "50O3.2095"])
+def test_any_number_of_letters_read_for_digits(spark, seen):
+    rows = [("f", i, f"合计金额为{5000 + i}.{2000 + i}元整。", None, False) for i in range(60)] + [("f", 99, f"合计金额为{seen}元整。", None, False), ("f", 98, "合计金额为XKWT.VKRT元整。", None, False)]
+    d = spark.createDataFrame(rows, TEXT)
+    assert [tuple(r) for r in R.scan_noise(d).select("id", "kind").collect()] == [(99, "misread")]
+    assert {r.text for r in R.scan_repaired(d).where("id = 99").collect()} == {"合计金额为5003.2095元整。"}
+
+
+def test_long_tokens_and_days_with_letters(spark):
+    clean = "编号" + "1234567890" * 7 + "，共15个工作日。"
+    rows = [("f", i, clean, None, False) for i in range(60)] + [("f", 98, clean.replace("15", "l5"), None, False), ("f", 99, clean.replace("90123", "9O123"), None, False)]
+    d = spark.createDataFrame(rows, TEXT)
+    assert {r.id for r in R.scan_noise(d).collect()} == {98, 99}
