@@ -2,8 +2,8 @@
 
 Names are brought to a few parts (what kind of name, place, core, trade) with dictionaries that the
 names themselves teach.  Suffixes of the parts' words index the names; suffixes that too many names
-have count only together with another part, and are dropped if they still are too common.  Names
-that meet under a suffix are compared by the longest common subsequence of their cores, the other
+have count only together with another part, and are dropped if they still are too common, for every
+pair of names that may be one meets under an exact key too.  Names that meet are compared by the longest common subsequence of their cores, the other
 parts deciding what may differ; the classes of linked names are the entities.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -248,6 +249,67 @@ def suffix_keys(kind: str, core: str, trade: str, place: str) -> list[tuple[str,
     return list(dict.fromkeys(out))
 
 
+def _deleted(word: str) -> set[str]:
+    """A word and what one letter less makes of it; words that differ by a slip have one of these in common."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) <= LONGEST_WORD else set())
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def exact_keys(kind: str, place: str, core: str, trade: str, right: dict[str, set[str]]) -> list[str]:
+    """Keys of which any two names that `compare` may link have one in common; `right`: what stands for a mistyped ideograph."""
+    out: set[str] = set()
+    if kind in ("han", "firm"):
+        head = kind + "|"
+        for lead in {"", place}:
+            out.add(f"{head}={lead}{core}")
+            if 1 < len(core) <= LONGEST_WORD:
+                out.add(f"{head}~{lead}{''.join(sorted(core))}")
+                out |= {f"{head}={lead}{core[:i]}{r}{core[i + 1 :]}" for i, c in enumerate(core) for r in right.get(c, ())}
+        if not place:
+            # a place, or something else, that the other name may not have before its core
+            out |= {f"{head}~{core[:j]}{''.join(sorted(core[j:]))}" for j in (2, 3, 4) if j + 1 < len(core) <= LONGEST_WORD}
+            out |= {f"{head}={core[j:]}" for j in (2, 3, 4) if len(core) - j >= 3}
+        if place and trade and 1 < len(core) <= LONGEST_WORD:
+            out |= {f"{head}_{i}{core[:i]}_{core[i + 1 :]}|{place}|{trade}" for i in range(len(core))}
+        return sorted(out)
+    words = core.split()
+    hashes = [_hash(w) for w in words]
+    total = sum(hashes)
+    for i, w in enumerate(words):
+        rest = f"o|{len(words)}|{(total - hashes[i]) % (1 << 64)}|"
+        out |= {rest + x for x in _deleted(w)}
+        stem = w.rstrip(".")
+        out |= {f"{rest}^{stem}"} | {f"{rest}^{w[:k]}" for k in range(2, min(len(w), LONGEST_WORD))}
+        if len(w) >= 4 and kind == "latin":
+            initials = {c for j, v in enumerate(words) if j != i for x in SHORT.get(v, set()) | {v} for c in x[:2]}
+            out |= {f"p|{x}|{c}" for x in _deleted(w) for c in initials}
+    return sorted(out)
+
+
+def exact_pairs(nodes: DataFrame, wrong: set[tuple[str, str]]) -> DataFrame:
+    """(a, b), a < b: node numbers that meet under an exact key and whose places and trades may be one.
+
+    Names with another place or trade never meet; those without one, of which a core has as many as
+    there are places and trades, are held against all.
+    """
+    right: dict[str, set[str]] = {}
+    for w, r in wrong:
+        right.setdefault(w, set()).add(r)
+    keys = F.pandas_udf(lambda k, p, c, t: pd.Series([exact_keys(*x, right) for x in zip(k, p, c, t)]), T.ArrayType(T.StringType()))
+    keyed = nodes.select("name_group", "place", "trade", "node", F.col("kind").startswith("latin").alias("latin"), F.explode(keys("kind", "place", "core", "trade")).alias("k"))
+    keyed = keyed.select("name_group", "place", "trade", "node", "latin", F.xxhash64("k").alias("key"))
+    met = keyed.join(keyed.groupBy("name_group", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), ["name_group", "key"])
+    a, b = (met.select("name_group", "key", F.col("place").alias(f"place_{x}"), F.col("trade").alias(f"trade_{x}"), F.col("node").alias(x), "latin") for x in "ab")
+    alike = a.join(b.withColumnRenamed("place_b", "place_a").withColumnRenamed("trade_b", "trade_a").drop("latin"), ["name_group", "key", "place_a", "trade_a"])
+    fits = "(place_a = '' or place_b = '' or place_a = place_b) and (trade_a = '' or trade_b = '' or trade_a = trade_b) and (place_a <> place_b or trade_a <> trade_b)"
+    some = a.where("not latin and (place_a = '' or trade_a = '')").drop("latin").join(b.drop("latin"), ["name_group", "key"]).where(fits)
+    both = alike.select("a", "b").unionByName(some.select("a", "b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 PARTS = T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "place", "core", "trade")])
 KEYS = T.ArrayType(T.StructType([T.StructField("suffix", T.StringType()), T.StructField("other", T.StringType())]))
 
@@ -338,11 +400,11 @@ def links(nodes: DataFrame) -> DataFrame:
     fine = refined.groupBy(*index, "other").agg(F.count(F.lit(1)).alias("m")).where(F.col("m").between(2, COMMON_REFINED)).select(*index, "other")
     blocks = plain.unionByName(refined.join(fine, [*index, "other"], "left_semi"))
     a, b = blocks.withColumnRenamed("node", "a"), blocks.withColumnRenamed("node", "b")
-    pairs = a.join(b, [*index, "other"]).where("a < b").select("a", "b").distinct()
-    told = nodes.select("node", F.struct("kind", "place", "core", "trade", "spelled", "trades").alias("s"))
-    both = pairs.join(told.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(told.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     # pairs of ideographs: their number is bounded by the script, not by the names
     wrong = {(r["wrong"], r["right"]) for r in misspelled_characters(nodes).collect()}
+    pairs = a.join(b, [*index, "other"]).where("a < b").select("a", "b").unionByName(exact_pairs(nodes, wrong)).distinct()
+    told = nodes.select("node", F.struct("kind", "place", "core", "trade", "spelled", "trades").alias("s"))
+    both = pairs.join(told.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(told.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.pandas_udf(lambda x, y: compare(x, y, wrong), T.BooleanType())
     return both.where(same("sa", "sb")).select("a", "b")
 
