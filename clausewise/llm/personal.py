@@ -22,8 +22,8 @@ from clausewise.operators.skew import spread
 #: Placeholders by kind.
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 #: Ways to write an at sign and a dot (fixed values).
-AT = re.compile(r"\s{0,4}[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
-DOT = re.compile(r"\s{0,4}[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
+AT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
+DOT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
 SPELLED = str.maketrans("零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖", "0012345678912123456789"[:22])
 SPELLED_RUN = re.compile(r"[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖](?:[\s\-]?[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]){6,}")
 STRANGE = re.compile(r"[^\x00-\x7f一-鿿，。；：、“”（）À-ɏ]")
