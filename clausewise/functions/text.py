@@ -93,7 +93,7 @@ def numeral_value(c: Column) -> Column:
 
 
 def numeral_text(c: Column) -> Column:
-    """The usual Chinese numeral of a whole number from 1 to 9999, with 一 left out before the first 十; '' for any other."""
+    """The usual Chinese numeral of a whole number from 1 to 9999, the first 一十 in it written 十; '' for any other."""
     n = c.cast("int")
     word = F.array(*[F.lit(x) for x in "零一二三四五六七八九"])
     d = [F.floor(n / 10**k) % 10 for k in range(4)]
@@ -104,7 +104,7 @@ def numeral_text(c: Column) -> Column:
         F.when(d[1] > 0, F.concat(at(1), F.lit("十"))).when((d[2] > 0) & (d[0] > 0), F.lit("零")).otherwise(""),
         F.when(d[0] > 0, at(0)).otherwise(""),
     )
-    return F.when(n.between(1, 9999), F.regexp_replace(s, "^([^一]*)一十", "$1十")).otherwise("")
+    return F.when(n.between(1, 9999), F.regexp_replace(s, "^(.*?)一十", "$1十")).otherwise("")
 
 
 def section_refs(c: Column) -> Column:

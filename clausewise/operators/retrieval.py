@@ -5,8 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewise.functions import text as X
 
@@ -78,24 +82,47 @@ def clear_winner(scored: DataFrame, key: str, item: str, score: str, margin: flo
     return ranked.where((F.col("_rank") == 1) & (F.col("_second").isNull() | (F.col(score) > F.col("_second") + margin))).select(key, item, score)
 
 
-#: Up to so many terms go to every task; beyond, texts and terms meet by a join on substrings.
-BROADCAST_TERMS = 5_000
+#: Terms that one automaton holds; more are looked for in shards.
+SHARD_TERMS = 100_000
+#: Texts that meet a shard of terms in one task.
+BLOCK_TEXTS = 20_000
+
+
+def _hits(texts: list[str | None], words: list[str]) -> list[list[str]]:
+    """The different words that each text holds, by one pass over it."""
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    if not words:
+        return [[] for _ in texts]
+    automaton.make_automaton()
+    return [sorted({w for _, w in automaton.iter(t)}) if t else [] for t in texts]
 
 
 def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Each row of `texts` with each row of `terms` whose term its text holds; null and empty terms are in none.
 
-    Few terms are broadcast, their number checked.  Many meet the texts by an equi-join on the texts' substrings of the terms' lengths.
+    An automaton over the terms goes over each text once, so the work grows with the texts, not with texts times terms. Terms of
+    one shard, their number checked, go to every task; more are spread over shards, each of which meets the texts block by block.
     """
     terms = terms.where(F.col(term).isNotNull() & (F.col(term) != ""))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        return texts.join(F.broadcast(terms), F.col(text).contains(F.col(term)))
-    sizes = sorted(r[0] for r in terms.select(F.char_length(term)).distinct().collect())
-
-    def cuts(n: int) -> Column:
-        """All substrings of `n` characters."""
-        starts = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
-
-    cut = F.flatten(F.array(*[cuts(n) for n in sizes]))
-    return texts.withColumn("_part", F.explode(F.array_distinct(cut))).join(terms, F.col("_part") == F.col(term)).drop("_part")
+    count = terms.count()
+    if count <= SHARD_TERMS:
+        words = terms.sparkSession.sparkContext.broadcast(sorted({r[0] for r in terms.select(term).collect()}))
+        find = F.pandas_udf(lambda s: pd.Series(_hits(s.tolist(), words.value)), T.ArrayType(T.StringType()))
+        # not to be made again in a filter on what it gives
+        told = texts.withColumn("_part", F.explode(find.asNondeterministic()(text)))
+        return told.join(F.broadcast(terms), F.col("_part") == F.col(term)).drop("_part")
+    shards, blocks = -(-count // SHARD_TERMS), max(1, -(-texts.count() // BLOCK_TEXTS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = F.struct(*texts.columns)
+    left = texts.select(row.alias("_row"), F.col(text).alias("_text"), F.pmod(F.xxhash64(*texts.columns), F.lit(blocks)).alias("_block")).withColumn("_shard", every(shards))
+    right = terms.select(F.col(term).alias("_word")).distinct().withColumn("_shard", F.pmod(F.xxhash64("_word"), F.lit(shards)).cast("int")).withColumn("_block", every(blocks))
+
+    def find_in(a: pa.Table, b: pa.Table) -> pa.Table:
+        hits = pa.array(_hits(a.column("_text").to_pylist(), b.column("_word").to_pylist()), type=pa.list_(pa.string()))
+        return pa.table({"_row": a.column("_row"), "_part": hits})
+
+    schema = T.StructType([T.StructField("_row", texts.schema), T.StructField("_part", T.ArrayType(T.StringType()))])
+    met = left.withColumn("_block", F.col("_block").cast("int")).groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(find_in, schema)
+    return met.select("_row.*", F.explode("_part").alias("_part")).join(terms, F.col("_part") == F.col(term)).drop("_part")

@@ -19,8 +19,6 @@ from clausewise.streaming.ingest import ingest_available
 #: The question that the keyword queries ask, as keywords in comparison form, and words that make a topic.
 KEYWORDS = ["供应商", "价款支付", "授权委托书", "arbitration", "第三条"]
 TOPICS = {"supply": ["供应商", "采购", "招标"], "payment": ["价款", "付款", "费用", "收款"], "data": ["数据", "个人信息", "保密"], "dispute": ["诉讼", "仲裁", "争议"]}
-CATEGORY_WORDS = [("speech", ("讲话", "发言", "致辞", "演讲", "speech")), ("case", ("案例", "判决", "裁定", "裁判", "审判", "case", "judgment"))]
-NOISE = ["HTTP ERROR", "502 Bad Gateway", "404 Not Found"]
 SPACE = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -63,11 +61,11 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("id", F.sha2(clean, 256).alias("clean_hash"), F.char_length(clean).cast("bigint").alias("n_chars"))
 
 
-@query(f"SELECT id, title FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{'|'.join(NOISE)}')")
+@query(f"SELECT id, title FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{pipelines.NOISE}')")
 def noise_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Source documents that are neither stubs nor error pages."""
     d = table(spark, folder, "biz_source_documents")
-    bad = F.col("content_text").rlike("|".join(NOISE))
+    bad = F.col("content_text").rlike(pipelines.NOISE)
     return d.where((F.char_length(X.document_text(F.col("content_text"))) >= 30) & ~bad).select("id", "title")
 
 
@@ -88,7 +86,7 @@ def hash_agreement(spark: SparkSession, folder: str) -> DataFrame:
 def category_infer(spark: SparkSession, folder: str) -> DataFrame:
     """The category that a document's name suggests, beside the stored one."""
     d = table(spark, folder, "biz_source_documents")
-    return d.select("id", X.first_match(F.lower(F.concat_ws(" ", "file_name", "title")), CATEGORY_WORDS, "policy").alias("inferred"), "category")
+    return d.select("id", X.first_match(F.lower(F.concat_ws(" ", "file_name", "title")), pipelines.CATEGORY_WORDS, "policy").alias("inferred"), "category")
 
 
 _SCORE = " + ".join(f"CASE WHEN contains({_cmp(f)}, '{k}') THEN {w} ELSE 0 END" for k in KEYWORDS for f, w in retrieval.FIELD_WEIGHTS.items())
@@ -315,25 +313,28 @@ def _lexical_sql() -> str:
 
 
 @query(f"""
-WITH s AS (SELECT c.id, c.chunk_no, CAST({_SCORE} AS DOUBLE) / 1000 AS vector_score, CAST({_lexical_sql()} AS DOUBLE) AS lexical FROM kb_chunk c JOIN kb_document d ON d.id = c.document_id),
-h AS (SELECT id, vector_score + 0.35 * CASE WHEN max(lexical) OVER () > 0 THEN lexical / max(lexical) OVER () ELSE 0 END AS hybrid FROM s WHERE lexical > 0)
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1),
+v AS (SELECT vec_id AS id, list_inner_product(CAST(embedding AS DOUBLE[]), q.e) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q.e, q.e))) AS vector_score FROM embeddings, q WHERE embedding IS NOT NULL),
+s AS (SELECT c.id, coalesce(v.vector_score, 0) AS vector_score, CAST({_lexical_sql()} AS DOUBLE) AS lexical FROM kb_chunk c JOIN kb_document d ON d.id = c.document_id LEFT JOIN v ON v.id = c.id),
+h AS (SELECT id, vector_score + 0.35 * CASE WHEN max(lexical) OVER () > 0 THEN lexical / max(lexical) OVER () ELSE 0 END AS hybrid FROM s)
 SELECT id, round(hybrid, 6) AS hybrid_score FROM h ORDER BY hybrid DESC, id LIMIT 20""")
 def hybrid_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks by a mixed score: a keyword score in the vector score's place, and the lexical score as a share of the best."""
+    """Chunks by a mixed score: the likeness of their stored vector to a question's (the first stored one), and the lexical score as a share of the best."""
     titled = table(spark, folder, "kb_document").select(F.col("id").alias("document_id"), "title")
-    c = retrieval.comparable(table(spark, folder, "kb_chunk").join(titled, "document_id"))
     joined = lambda *names: X.comparison_form(F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
-    c = c.withColumns({"_head": joined("section_no", "section_title", "subsection_no", "subsection_title"), "_body": joined("content", "title")})
-    parts = [F.when(F.col(f"_{f}").contains(k), w).otherwise(0) for k in KEYWORDS for f, w in retrieval.FIELD_WEIGHTS.items()]
-    scored = c.select(
-        "id",
-        (sum(parts[1:], parts[0]) / 1000).alias("vector_score"),
-        retrieval.lexical_score(KEYWORDS, F.col("_head"), F.col("_body")).alias("lexical"),
-    )
+    c = table(spark, folder, "kb_chunk").join(titled, "document_id")
+    c = c.select("id", joined("section_no", "section_title", "subsection_no", "subsection_title").alias("_head"), joined("content", "title").alias("_body"))
+    lexical = c.select("id", retrieval.lexical_score(KEYWORDS, F.col("_head"), F.col("_body")).alias("lexical"))
+    stored = table(spark, folder, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    # one row
+    asked = stored.orderBy("id").limit(1).select(F.col("e").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    vectors = stored.join(F.broadcast(asked)).select("id", (dot("e", "q") / (F.sqrt(dot("e", "e")) * F.sqrt(dot("q", "q")))).alias("vector_score"))
+    # scores are made once: their best is asked for before their rows
+    scored = durable(lexical.join(vectors, "id", "left").select("id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), "lexical"))
     best = scored.agg(F.max("lexical").alias("best"))
     mixed = scored.join(F.broadcast(best)).withColumn("hybrid_score", F.col("vector_score") + F.when(F.col("best") > 0, 0.35 * F.col("lexical") / F.col("best")).otherwise(0.0))
-    # a row without lexical score has no other score either, so the filter may stand behind the limit
-    return mixed.orderBy(F.desc("hybrid_score"), "id").limit(20).where("lexical > 0").select("id", F.round("hybrid_score", 6).alias("hybrid_score"))
+    return mixed.orderBy(F.desc("hybrid_score"), "id").limit(20).select("id", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
 @query("SELECT id, client_name, strftime(created_at, '%Y-%m-%d %H:%M') AS at FROM legal_opinions ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 10 OFFSET 10")
@@ -357,12 +358,17 @@ def token_documents(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("documents")).where("documents >= 5")
 
 
-@query("SELECT id, CAST(subsection_no AS BIGINT) AS number, subsection_title AS written FROM kb_chunk WHERE subsection_title IS NOT NULL AND subsection_no IS NOT NULL")
+_UP_TO_99 = "concat(CASE WHEN k >= 20 THEN '一二三四五六七八九'[k // 10] ELSE '' END, CASE WHEN k >= 10 THEN '十' ELSE '零' END, CASE WHEN k % 10 > 0 THEN '一二三四五六七八九'[k % 10] ELSE '' END)"
+
+
+@query(f"""WITH t AS (SELECT id, CAST(subsection_no AS BIGINT) AS number, subsection_title AS written, CAST(subsection_no AS BIGINT) % 99 + 1 AS k FROM kb_chunk WHERE subsection_title IS NOT NULL AND subsection_no IS NOT NULL)
+SELECT id, number, written, '一百' || {_UP_TO_99} AS past_hundred, '一千' || CASE WHEN k < 10 THEN {_UP_TO_99} ELSE '零' || {_UP_TO_99} END AS past_thousand FROM t""")
 def article_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """The number that an article's title writes, and the number written again."""
+    """The number that an article's title writes, the number written again, and numbers past a hundred and a thousand made of it."""
     c = table(spark, folder, "kb_chunk").where("subsection_title is not null and subsection_no is not null")
     number = X.numeral_value(F.regexp_extract("subsection_title", f"第\\s*([{X.NUMERAL}]+)\\s*条", 1))
-    return c.select("id", number.alias("number"), F.concat(F.lit("第"), X.numeral_text(number), F.lit("条")).alias("written"))
+    past = lambda n: X.numeral_text(number % 99 + 1 + n)
+    return c.select("id", number.alias("number"), F.concat(F.lit("第"), X.numeral_text(number), F.lit("条")).alias("written"), past(100).alias("past_hundred"), past(1000).alias("past_thousand"))
 
 
 @query("WITH p AS (SELECT id, unnest(regexp_split_to_array(content, '（[一二三四五六七八九十]+）')[2:]) AS item, generate_subscripts(regexp_split_to_array(content, '（[一二三四五六七八九十]+）')[2:], 1) AS n FROM kb_chunk WHERE regexp_matches(content, '（[一二三四五六七八九十]+）')) SELECT id, CAST(n AS INTEGER) AS n, trim(regexp_replace(item, '\\s+', ' ', 'g')) AS item FROM p")
@@ -374,15 +380,18 @@ def list_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT title, arg_min(content_hash, id) AS h, min(id) AS i FROM biz_source_documents GROUP BY title), l AS (SELECT title, arg_max(content_hash, id) AS h, max(id) AS i FROM biz_source_documents GROUP BY title HAVING count(*) > 1 OR max(id) > 100),
-o AS (SELECT * FROM f WHERE i <= 150)
+WITH c AS (SELECT (epoch_us(min(created_at)) + epoch_us(max(created_at))) // 2 AS cut FROM biz_source_documents),
+s AS (SELECT title, content_hash, id, coalesce(epoch_us(created_at) < cut, true) AS early FROM biz_source_documents, c),
+o AS (SELECT title, arg_max(content_hash, id) AS h FROM s WHERE early GROUP BY title), l AS (SELECT title, arg_max(content_hash, id) AS h FROM s WHERE NOT early GROUP BY title)
 SELECT coalesce(l.title, o.title) AS title, CASE WHEN o.title IS NULL THEN 'insert' WHEN l.title IS NULL THEN 'absent' WHEN o.h = l.h THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN l ON l.title = o.title""")
 def manifest_actions(spark: SparkSession, folder: str) -> DataFrame:
-    """What a later ingest does to an earlier one, title by title and by content hash."""
-    d = table(spark, folder, "biz_source_documents")
-    old = d.groupBy("title").agg(F.min_by("content_hash", "id").alias("h"), F.min("id").alias("i")).where("i <= 150")
-    new = d.groupBy("title").agg(F.max_by("content_hash", "id").alias("h"), F.max("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1 or i > 100")
-    return merge.merge_actions(new, old, ["title"], "h").select("title", "action")
+    """What the ingests of the later half of the time do to those of the earlier half, title by title and by the hash of the last content; rows without a time count as early."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at)")
+    d = table(spark, folder, "biz_source_documents").select("title", "content_hash", "id", at.alias("at"))
+    cut = d.agg(F.expr("(min(at) + max(at)) div 2").alias("cut"))
+    told = d.join(F.broadcast(cut)).withColumn("early", F.coalesce(F.col("at") < F.col("cut"), F.lit(True)))
+    last = lambda side: told.where(side).groupBy("title").agg(F.max_by("content_hash", "id").alias("h"))
+    return merge.merge_actions(last(~F.col("early")), last(F.col("early")), ["title"], "h").select("title", "action")
 
 
 @query("WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL AND text <> ''), f AS (SELECT min(doc_id) AS doc_id, h FROM h GROUP BY h) SELECT f.doc_id FROM f ANTI JOIN biz_source_documents b ON b.content_hash = f.h")
@@ -440,7 +449,7 @@ def type_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return levels.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query(f"SELECT DISTINCT sha256(content_text) AS content_hash, CAST(length({_CLEAN}) AS INTEGER) AS n_chars FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{'|'.join(NOISE)}')")
+@query(f"SELECT DISTINCT sha256(content_text) AS content_hash, CAST(length({_CLEAN}) AS INTEGER) AS n_chars FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{pipelines.NOISE}')")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The different source texts worth keeping, by a stream over the files there are."""
     ensure_checkpoint_dir(spark)

@@ -62,45 +62,72 @@ def table_rows(frame: pd.DataFrame, stem: str) -> list[tuple[str, str]]:
     return out
 
 
-def parse(extension: str, stem: str, raw: bytes) -> list[tuple[str, str]]:
-    """(title, content) documents of one file; formats whose library is not installed give none."""
+def parse(extension: str, stem: str, raw: bytes) -> tuple[list[tuple[str, str]], str | None]:
+    """(title, content) documents of one file in order, and what was wrong with it: its library is not installed, or it cannot be read."""
     try:
         if extension in ("txt", "md"):
-            return [(stem, decode(raw).strip())]
+            return [(stem, decode(raw).strip())], None
         if extension == "csv":
-            return table_rows(pd.read_csv(io.StringIO(decode(raw)), dtype=str), stem)
+            return table_rows(pd.read_csv(io.StringIO(decode(raw)), dtype=str), stem), None
         if extension in ("xlsx", "xls"):
-            return table_rows(pd.read_excel(io.BytesIO(raw), dtype=str), stem)
+            return table_rows(pd.read_excel(io.BytesIO(raw), dtype=str), stem), None
         if extension == "pdf":
             from pypdf import PdfReader
 
-            return [(stem, "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages))]
+            return [(stem, "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages))], None
         if extension == "docx":
             import docx
 
-            return [(stem, "\n".join(p.text for p in docx.Document(io.BytesIO(raw)).paragraphs if p.text.strip()))]
-    except (ImportError, ValueError, OSError):
-        return []
-    return []
+            return [(stem, "\n".join(p.text for p in docx.Document(io.BytesIO(raw)).paragraphs if p.text.strip()))], None
+    except ImportError as e:
+        return [], f"no reader: {e.name}"
+    except (ValueError, OSError) as e:
+        return [], f"unreadable: {type(e).__name__}"
+    return [], "unknown kind"
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """(path, title, content) of scanned files; an unreadable or empty file gives no row."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, place, title, content, problem) of scanned files: their documents in order, from place 1; one without any has a row with its problem, or 'empty'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, t, c) for p, e, s, raw in zip(pdf["path"], pdf["extension"], pdf["stem"], pdf["content"]) for t, c in parse(e, s, bytes(raw)) if c]
-            yield pd.DataFrame(rows, columns=["path", "title", "content"])
+            rows = []
+            for path, extension, stem, raw in zip(pdf["path"], pdf["extension"], pdf["stem"], pdf["content"]):
+                found, problem = parse(extension, stem, bytes(raw))
+                found = [(t, c) for t, c in found if c]
+                rows += [(path, i, t, c, None) for i, (t, c) in enumerate(found, 1)] or [(path, 0, None, None, problem or "empty")]
+            yield pd.DataFrame(rows, columns=["path", "place", "title", "content", "problem"])
+
+    return files.select("path", "extension", "stem", "content").mapInPandas(run, "path string, place int, title string, content string, problem string")
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """(path, title, content) of scanned files; an unreadable or empty file gives no row (see `parsed` for why)."""
+    return parsed(files).where("problem is null").select("path", "title", "content")
+
+
+def table_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, content) of CSV files of any size in UTF-8, read by Spark in splits: the first of the usual columns that says something counts.
+
+    Rows without a content are left out; one without a title has none, as rows have no number across splits.
+    """
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).withColumn("_path", F.input_file_name())
+
+    def first(names: list[str]):
+        some = [F.when(~F.lower(F.trim(F.col(f"`{n}`"))).isin("", "nan", "none", "null"), F.trim(F.col(f"`{n}`"))) for n in names if n in rows.columns]
+        return F.coalesce(*some, F.lit(None).cast("string"))
 
-    return files.select("path", "extension", "stem", "content").mapInPandas(run, DOCUMENT)
+    return rows.select(F.col("_path").alias("path"), first(TITLE_COLUMNS).alias("title"), first(CONTENT_COLUMNS).alias("content")).where("content is not null")
 
 
 def uploads(files: DataFrame) -> DataFrame:
-    """(path, title, content, problem) of uploaded files: too large, of no known kind, or empty ones come with a problem; long ones are cut with a mark."""
+    """(path, title, content, problem) of uploaded files: too large, of no known kind, unreadable or empty ones come with a problem; rows of a table keep their order; long ones are cut with a mark."""
     known = files.withColumn("problem", F.when(F.col("size") > UPLOAD_BYTES, "too large").when(~F.col("extension").isin(*EXTENSIONS), "unknown kind"))
-    good = documents(known.where("problem is null")).groupBy("path").agg(F.min("title").alias("title"), F.array_join(F.sort_array(F.collect_list("content")), "\n").alias("content"))
-    cut = F.when(F.char_length("content") > UPLOAD_CHARS, F.concat(F.substring("content", 1, UPLOAD_CHARS), F.lit(TRUNCATED))).otherwise(F.col("content"))
-    return known.select("path", "problem").join(good, "path", "left").select("path", "title", cut.alias("content"), F.coalesce("problem", F.when(F.col("content").isNull(), "empty")).alias("problem"))
+    rows = parsed(known.where("problem is null"))
+    # an upload has few bytes, so one row holds its rows
+    whole = rows.groupBy("path").agg(F.min_by("title", "place").alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "\n").alias("content"), F.max("problem").alias("why"))
+    cut = F.when(F.char_length("content") > UPLOAD_CHARS, F.concat(F.substring("content", 1, UPLOAD_CHARS), F.lit(TRUNCATED))).when(F.col("content") != "", F.col("content"))
+    return known.select("path", "problem").join(whole, "path", "left").select("path", "title", cut.alias("content"), F.coalesce("problem", "why").alias("problem"))
 
 
 def requests(messages: DataFrame) -> DataFrame:

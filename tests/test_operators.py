@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewise.operators import merge, retrieval, sections
+from clausewise.operators import merge, retrieval, sections, vectors
 from clausewise.operators.components import connected
 from clausewise.operators.skew import in_several
 from clausewise.operators.vectors import vector_top
@@ -88,16 +88,19 @@ def test_clear_winner(spark):
     assert {(r.k, r.i) for r in retrieval.clear_winner(d, "k", "i", "s", 2).collect()} == {(2, 10), (3, 10)}
 
 
-@pytest.mark.parametrize("broadcast", [5000, 0])
-def test_containing(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", broadcast)
+@pytest.mark.parametrize("shard,block", [(100_000, 20_000), (1, 20_000), (2, 1)])
+def test_containing(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(retrieval, "SHARD_TERMS", shard)
+    monkeypatch.setattr(retrieval, "BLOCK_TEXTS", block)
     texts = spark.createDataFrame([(1, "采购合同"), (2, ""), (3, None), (4, "合同合同")], "id int, t string")
     terms = spark.createDataFrame([("合同",), ("采购合同",), ("",), (None,), ("无",)], "w string")
     got = sorted((r.id, r.w) for r in retrieval.containing(texts, "t", terms, "w").collect())
     assert got == [(1, "合同"), (1, "采购合同"), (4, "合同")]
 
 
-def test_vector_top_against_brute_force(spark):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_vector_top_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
     m = rng.normal(size=(60, 8))
     m[7] = m[9]

@@ -20,8 +20,14 @@ def test_files(spark, tmp_path):
 def test_uploads_requests_and_pages(spark, tmp_path):
     (tmp_path / "long.txt").write_text("长" * 30_000)
     (tmp_path / "empty.txt").write_text("  ")
+    (tmp_path / "rows.csv").write_text("标题,正文\n一,乙\n二,甲\n三,丙\n")
+    (tmp_path / "bad.csv").write_bytes(b"")
     got = {r.path.rsplit("/", 1)[1]: r for r in files.uploads(files.scan(spark, str(tmp_path))).collect()}
     assert got["long.txt"].content.endswith(files.TRUNCATED) and got["empty.txt"].problem == "empty"
+    assert got["rows.csv"].content == "乙\n甲\n丙" and got["rows.csv"].title == "一" and got["rows.csv"].problem is None
+    assert "bad.csv" not in got  # a file without a byte is no upload
+    assert sorted((r.title, r.content) for r in files.table_documents(spark, str(tmp_path / "rows.csv")).collect()) == [("一", "乙"), ("三", "丙"), ("二", "甲")]
+    assert files.parse("csv", "x", b"")[1] == "unreadable: EmptyDataError" and files.parse("bin", "x", b"1")[1] == "unknown kind"
     r = spark.createDataFrame([(1, "问", None), (2, "问", "文"), (3, " ", "文"), (4, None, "")], "request_id int, message string, file_text string")
     assert [(x.request_id, x.text, x.input_mode) for x in files.requests(r).orderBy("request_id").collect()] == [(1, "问", "text"), (2, "问\n\n文", "text+file"), (3, "文", "file")]
     p = spark.createDataFrame([("d", 1, "第一条\n\n- 3 -\n 正文 "), ("d", 2, None)], "document string, page_no int, text string")
@@ -71,3 +77,8 @@ def test_stream(spark, tmp_path):
     d.write.parquet(str(tmp_path / "in"))
     got = ingest.ingest_available(spark, str(tmp_path / "i[n]"), d.schema, str(tmp_path / "out"), str(tmp_path / "state"))
     assert got.count() == 1
+    # a date far ahead does not make later rows late; what is stored already is not stored again
+    more = spark.createDataFrame([(5, "另文" * 20, "2090-01-01 00:00:00"), (6, "旧文" * 20, "1999-01-01 00:00:00"), (7, "正文" * 20, "2024-01-03 00:00:00")], "id bigint, content_text string, at string")
+    more.select("id", "content_text", F.to_timestamp_ntz("at").alias("created_at")).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = ingest.ingest_available(spark, str(tmp_path / "i[n]"), d.schema, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert again.count() == 3

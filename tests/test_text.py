@@ -13,7 +13,7 @@ def test_numeral_value(spark, text, value):
     assert one(spark, text, X.numeral_value) == value
 
 
-@pytest.mark.parametrize("number,text", [(1, "一"), (10, "十"), (12, "十二"), (20, "二十"), (101, "一百零一"), (2005, "二千零五"), (0, ""), (10000, "")])
+@pytest.mark.parametrize("number,text", [(1, "一"), (10, "十"), (12, "十二"), (20, "二十"), (101, "一百零一"), (2005, "二千零五"), (110, "一百十"), (117, "一百十七"), (210, "二百十"), (1010, "一千零十"), (1110, "一千一百十"), (0, ""), (10000, "")])
 def test_numeral_text(spark, number, text):
     assert one(spark, str(number), X.numeral_text) == text
 
