@@ -1,19 +1,24 @@
 """Personal data in free text, found behind its disguises and replaced by typed placeholders.
 
-Small transducers bring a text to a plain form (usual widths and letters for look-alikes, digits for
-spelled digits, '@' and '.' for their disguises) and keep for each character where it came from.
+Small transducers bring a text to a plain form (usual widths and letters for look-alikes, ligatures
+apart, nothing for invisible characters, digits for digits spelled in Chinese or English, '@' and '.' for
+their disguises) and keep for each character where it came from.
 Identifiers are detected in the plain form, and their spans mapped back to the source, so what is
-reported or replaced is the verbatim text.
+reported or replaced is the verbatim text.  Names stand behind labels; the characters and words that
+labelled names of the whole corpus are made of tell names elsewhere.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.canonical import reading
@@ -25,12 +30,20 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "add
 AT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
 DOT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
 SPELLED = str.maketrans("零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖", "0012345678912123456789"[:22])
-SPELLED_RUN = re.compile(r"[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖](?:[\s\-]?[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]){6,}")
+#: Seven or more digits, three of them spelled one behind the other.
+SPELLED_RUN = re.compile(r"[\d零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖](?:[\s\-]?[\d零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]){6,}")
+SPELLED_PART = re.compile(r"(?:[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖][\s\-]?){3}")
+#: Digits in English words (fixed values).
+WORD_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_WORD = "(?:" + "|".join(WORD_DIGITS) + ")"
+#: Spelled digits one behind the other; digits about them stay as they are.
+WORD_RUN = re.compile(rf"(?<![A-Za-z0-9]){_WORD}(?:[\s\-]+{_WORD})+(?![A-Za-z0-9])", re.I)
+WORD_PART = re.compile(rf"({_WORD})(?:[\s\-]+(?={_WORD}))?", re.I)
 STRANGE = re.compile(r"[^\x00-\x7f一-鿿，。；：、“”（）À-ɏ]")
 KEPT = {c: c for c in map(ord, "，。；：、“”（）")}
 
-#: Repeats are bounded, so that no text makes a pattern go over it again from each of its places; a local part has at most 64 characters, a label 63.
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?)+")
+#: A local part begins only where the run of its characters does, and a domain behind the at sign, so no text makes the pattern go over it again from each of its places.
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[._%+\-]*([A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)")
 ID_NUMBER = re.compile(r"(?<![0-9A-Za-z])\d{6}(?:[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3}[0-9Xx](?![0-9A-Za-z])")
 #: The old resident number and passports say nothing by themselves, so they need a label before them.
 LABELLED_ID = re.compile(r"(?:身份证|证件|身份号码|护照|通行证|ID|[Pp]assport)(?:号码|号|件)*\s*[:：]?\s*(?:No\.?\s*)?([A-Z]{1,2}\d{7,8}|\d{6}[ \-]?\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3})(?![0-9A-Za-z])")
@@ -48,10 +61,10 @@ _CJK = "一-鿿"
 #: An ideograph of a place name: none of the words that lead up to an address.
 _PLACE = rf"(?![在于至住为寄址到与和，])[{_CJK}]"
 _AREA = rf"(?:(?:{_PLACE}){{2,4}}(?:省|自治区))?(?:(?:{_PLACE}){{2,4}}(?:市|自治州|地区|盟))?(?:(?:{_PLACE}){{1,4}}[区县旗])?"
-_UNITS = rf"(?:\d+号院\d*|\d+号楼\d*|\d+(?:号|弄|栋|幢|座|单元|室|层|楼|组|户|房)|[{_CJK}]{{2,8}}?(?:大厦|广场|中心|国际|公寓|花园|小区|大楼)|[A-Z]座)"
+_UNITS = rf"(?:\d+号院(?:\d+号楼\d*|\d+(?!号))?|\d+号楼\d*|\d+(?:号|弄|栋|幢|座|单元|室|层|楼|组|户|房)|[{_CJK}]{{2,8}}?(?:大厦|广场|中心|国际|公寓|花园|小区|大楼)|[A-Z]座)"
 ADDRESS = re.compile(
     rf"(?:住所地|户籍地|居住地|经营地|注册地|通讯地址|邮寄地址|送达地址|地址|住址|住所|确认为|现住|送达|寄往|寄至|住|在|为|于|至|到)?"
-    rf"({_AREA}(?:(?:{_PLACE}){{2,4}}(?:街道|镇|乡))?(?:(?:{_PLACE}){{2,6}}?(?:大道|路|街|巷|道|里|胡同)\d+|(?:{_PLACE}){{2,4}}村\d+组?\d*)(?:号院\d*|号楼\d*|号|弄|组)?{_UNITS}*)"
+    rf"({_AREA}(?:(?:{_PLACE}){{2,4}}(?:街道|镇|乡))?(?:(?:{_PLACE}){{2,6}}?(?:大道|路|街|巷|道|里|胡同)\d+|(?:{_PLACE}){{2,4}}村\d+组?\d*)(?:号院(?:\d+号楼\d*|\d+(?!号))?|号楼\d*|号|弄|组)?{_UNITS}*)"
 )
 #: Where an address may be, for a quick look, and where the clause it is in begins.
 STREET = re.compile(r"(?:道|路|街|巷|里|胡同|村)\d")
@@ -63,58 +76,101 @@ _HAN_NAME = rf"[{_CJK}]{{2,4}}"
 _NAME = rf"({_LATIN_NAME}|{_HAN_NAME})"
 #: Titles and roles before a name, and what may follow it; the name is what stands between.
 NAME_BEFORE = re.compile(
-    rf"(?:(?:^|\n)\s*(?:原告|被告|第三人|申请人|被申请人|上诉人|被上诉人|具状人|起诉人|致)(?:[（(][^）)\n]{{1,8}}[）)])?\s*[:：]\s*"
-    rf"|(?:^|\n|，|。|；)\s*(?:法定代表人|法人代表|负责人)\s*[:：]?\s*"
+    rf"(?:(?:^|\n)[^\S\n]*(?:原告|被告|第三人|申请人|被申请人|上诉人|被上诉人|具状人|起诉人|致)(?:[（(][^）)\n]{{1,8}}[）)])?\s*[:：]\s*"
+    rf"|(?:^|\n|，|。|；)[^\S\n]*(?:法定代表人|法人代表|负责人)\s*[:：]?\s*"
     rf"|(?:委托代理人|委托诉讼代理人|代理律师|承办律师|经办律师|律师签名|签字律师|代理人)\s*[:：]?\s*"
     rf"|(?:经办人|担保人|收件人|联系人|保证人|收货人|证人|签收人)\s*[:：]?\s*"
     rf"|(?:handed to|delivered to|served on) )"
     rf"{_NAME}(?=$|[\s，。；、（(,;.]|先生|女士|[男女]，)"
 )
-NAME_IN_FLOW = re.compile(rf"(?:与|联系){_NAME}(?=联系|接洽)|(?:，|^|\n|：|。|；)\s*{_NAME}(?=在[^，。；\n]{{2,60}}?签收)|(?<=[\s，；]){_NAME}收(?=$|[\s，；（(])")
+NAME_IN_FLOW = re.compile(rf"(?:与|联系){_NAME}(?=联系|接洽)|(?:，|^|\n|：|。|；)[^\S\n]*{_NAME}(?=在[^，。；\n]{{2,60}}?签收)|(?<=[\s，；]){_NAME}收(?=$|[\s，；（(])")
 #: Endings of organisations, offices and titles, which are no personal names.
 NO_PERSON = re.compile(r"(?:公司|集团|厂|店|事务所|律所|法院|委员会|中心|银行|部门|部|局|处|所|会|院|方|人|等|律师)$|\b(?:Inc|Ltd|LLC|GmbH|Limited|Holdings|Company|Corporation|Corp|Group|Co)\b")
 
 
+#: What a name without a label stands behind, if not a mark or a line's start, and what says of whom it is (fixed values, common usage).
+NAME_FREE = re.compile(
+    rf"(?:(?<![{_CJK}])|(?<=[由经向与和给据对请让后]))(?![由经向与和给据对请让后])([{_CJK}]{{2,4}}?)"
+    r"(?=住在|住于|现住|居住|家住|[，,（(][男女](?![一-鿿])|的?(?:身份证|手机|联系电话|电话|住址|住所|邮箱)|先生|女士|辩称|陈述称|出生于|到庭|出庭|签收|签字|签名)"
+)
+LATIN_FREE = re.compile(rf"(?<![A-Za-z0-9])({_LATIN_NAME})(?![A-Za-z0-9])")
+#: Names of labels' words, which stand where names do.
+ROLES = re.compile(r"原告|被告|第三人|申请人|上诉|法定|代理|律师|负责|联系|收件|担保|保证|证人|经办|签收|公司|法院|本人|双方|甲方|乙方|各方|对方|当事|委托|有限")
+#: What a part of names is worth knowing from on: its share of the labelled names, and their least number; so there are at most 1 / share of each kind.
+NAME_SHARE, NAME_LEAST = 1 / 5000, 2
+
+
+class Names(NamedTuple):
+    """What labelled names are made of: their first ideographs, their other ideographs, their first words in Latin letters."""
+
+    first: frozenset[str] = frozenset()
+    given: frozenset[str] = frozenset()
+    latin: frozenset[str] = frozenset()
+
+    def knows(self, name: str) -> bool:
+        if name[0].isascii():
+            return name.split()[0] in self.latin
+        return name[0] in self.first and all(c in self.given for c in name[1:]) and not ROLES.search(name)
+
+
 class _Readings(dict):
     def __missing__(self, cp: int) -> str:
-        r = reading(chr(cp))
-        r = self[cp] = KEPT.get(cp) and chr(cp) or (r if len(r) == 1 else chr(cp))
+        r = self[cp] = chr(cp) if cp in KEPT else reading(chr(cp))
         return r
 
 
 _READINGS = _Readings()
 
 
-def plain_form(text: str) -> tuple[str, list[tuple[int, int]] | None]:
-    """(plain text, marks): marks (place in the plain text, shift to the source) where lengths changed, or None."""
-    s = text.translate(_READINGS) if STRANGE.search(text) else text
-    if m := SPELLED_RUN.search(s):
-        s = SPELLED_RUN.sub(lambda m: m[0].translate(SPELLED), s)
-    marks: list[tuple[int, int]] | None = None
-    lowered = "at" in s or "AT" in s or "艾特" in s or "dot" in s
-    if lowered and (AT.search(s) or DOT.search(s)):
-        edits = sorted([(m.start(), m.end(), "@") for m in AT.finditer(s)] + [(m.start(), m.end(), ".") for m in DOT.finditer(s)])
-        out, at, marks, shift, size = [], 0, [], 0, 0
-        for a, b, c in edits:
-            if a < at:
-                continue
-            out += [s[at:a], c]
-            size += a - at + 1
-            shift += b - a - 1
-            marks.append((size, shift))
+class Plain:
+    """A text in plain form, and from where to where in the source each of its characters comes; None while nothing changed its place."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.begin: list[int] | None = None
+        self.end: list[int] | None = None
+
+    def edit(self, edits: list[tuple[int, int, str]]) -> None:
+        """Replaces spans of the text, in order and apart from each other; each character of a replacement comes from the whole of its span."""
+        if not edits:
+            return
+        if self.begin is None:
+            self.begin, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
+        out, begin, end, at = [], [], [], 0
+        for a, b, new in edits:
+            out += [self.text[at:a], new]
+            begin += self.begin[at:a] + [self.begin[a]] * len(new)
+            end += self.end[at:a] + [self.end[b - 1]] * len(new)
             at = b
-        s = "".join(out) + s[at:]
-    return s, marks
-
-
-def source_span(span: tuple[int, int], marks: list[tuple[int, int]] | None) -> tuple[int, int]:
-    """A span of the plain text in the source."""
-    if not marks:
-        return span
-    def back(i: int) -> int:
-        k = bisect_right(marks, (i, 1 << 60)) - 1
-        return i + (marks[k][1] if k >= 0 else 0)
-    return back(span[0]), back(span[1] - 1) + 1 if span[1] > span[0] else back(span[1])
+        self.text = "".join(out) + self.text[at:]
+        self.begin, self.end = begin + self.begin[at:], end + self.end[at:]
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """A span of the plain text in the source."""
+        return (a, b) if self.begin is None or a >= b else (self.begin[a], self.end[b - 1])
+
+
+def plain_form(text: str) -> Plain:
+    """The plain form of a text, by one transducer after the other."""
+    p = Plain(text)
+    if STRANGE.search(text):
+        longer = [(m.start(), m.end(), r) for m in STRANGE.finditer(text) if len(r := _READINGS[ord(m[0])]) != 1]
+        same = {ord(m[0]): _READINGS[ord(m[0])] for m in STRANGE.finditer(text) if len(_READINGS[ord(m[0])]) == 1}
+        p.text = text.translate(same)
+        p.edit(longer)
+    if SPELLED_PART.search(p.text):
+        p.text = SPELLED_RUN.sub(lambda m: m[0].translate(SPELLED) if SPELLED_PART.search(m[0]) else m[0], p.text)
+    p.edit([(run.start() + m.start(), run.start() + m.end(), WORD_DIGITS[m[1].lower()]) for run in WORD_RUN.finditer(p.text) for m in WORD_PART.finditer(run[0])])
+    s = p.text
+    if ("at" in s or "AT" in s or "At" in s or "艾特" in s or "dot" in s or "DOT" in s or "Dot" in s) and (AT.search(s) or DOT.search(s)):
+        both = sorted([(m.start(), m.end(), "@") for m in AT.finditer(s)] + [(m.start(), m.end(), ".") for m in DOT.finditer(s)])
+        apart, at = [], 0
+        for a, b, c in both:
+            if a >= at:
+                apart.append((a, b, c))
+                at = b
+        p.edit(apart)
+    return p
 
 
 #: What follows the first words of a company's name.
@@ -130,22 +186,37 @@ def is_person(s: str, start: int, end: int) -> bool:
     return not NO_PERSON.search(s[start:end]) and not (COMPANY_TAIL if s[start].isascii() else COMPANY_TAIL_HAN).match(s, end)
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal data in a text, in order, without overlaps."""
+def labelled_names(s: str) -> Iterator[tuple[int, int]]:
+    """The places of the persons' names behind labels in a plain text."""
+    for pattern in (NAME_BEFORE, NAME_IN_FLOW):
+        for m in pattern.finditer(s):
+            if is_person(s, *m.span(m.lastindex)):
+                yield m.span(m.lastindex)
+
+
+def find(text: str | None, names: Names = Names()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the personal data in a text, in order, without overlaps; `names`: what tells names that have no label."""
     if not text:
         return []
-    s, marks = plain_form(text)
+    p = plain_form(text)
+    s = p.text
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            found.append((*source_span((a, b), marks), kind))
+    #: What is taken, in order: begins and ends.
+    begins: list[int] = []
+    ends: list[int] = []
+
+    def add(a: int, b: int, kind: str) -> bool:
+        k = bisect_right(begins, a)
+        if k and ends[k - 1] > a or k < len(begins) and begins[k] < b:
+            return False
+        begins.insert(k, a)
+        ends.insert(k, b)
+        found.append((*p.source(a, b), kind))
+        return True
 
     if "@" in s:
         for m in EMAIL.finditer(s):
-            add(*m.span(), "email")
+            add(*m.span(1), "email")
     for m in ID_NUMBER.finditer(s):
         if not NOT_PERSONAL.search(s, max(0, m.start() - 12), m.start()):
             add(*m.span(), "id_number")
@@ -157,59 +228,115 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     end = 0
     for street in STREET.finditer(s):
         if street.start() >= end:
-            # the area stands in the same clause before the street
-            clause = CLAUSE_START.search(s, max(end, street.start() - 48), street.start())
-            if m := ADDRESS.search(s, clause.end() if clause else max(end, street.start() - 48)):
+            # the area stands in the same clause before the street, and has no digits
+            clause = CLAUSE_START.search(s, end, street.start())
+            starts = range(clause.end() if clause else end, street.start() + 1)
+            if m := next(filter(None, (ADDRESS.match(s, i) for i in starts)), None):
                 add(*m.span(1), "address")
                 end = m.end()
+            else:
+                end = street.end()
     if "," in s:
         for m in ADDRESS_EN.finditer(s):
             add(*m.span(), "address")
-    for pattern in (NAME_BEFORE, NAME_IN_FLOW):
+    here = {s[a:b] for a, b in labelled_names(s) if add(a, b, "person_name") or True}
+    for pattern in (NAME_FREE, LATIN_FREE) if names.first or names.latin else ():
         for m in pattern.finditer(s):
-            if is_person(s, *m.span(m.lastindex)):
-                add(*m.span(m.lastindex), "person_name")
+            if names.knows(m[1]) and is_person(s, *m.span(1)) and add(*m.span(1), "person_name"):
+                here.add(m[1])
+    if here:
+        # a name that the text tells counts wherever it stands in it, but for organisations named after it
+        automaton = ahocorasick.Automaton()
+        for name in here:
+            automaton.add_word(name, len(name))
+        automaton.make_automaton()
+        for last, size in automaton.iter(s):
+            a, b = last + 1 - size, last + 1
+            if is_person(s, a, b) and not NAMED_AFTER.match(s, b) and stands_alone(s, a, b):
+                add(a, b, "person_name")
     return sorted(found)
 
 
-def redact(text: str | None) -> str | None:
+#: An organisation that a name goes on to.
+NAMED_AFTER = re.compile(rf"[{_CJK}（）()]{{0,20}}?(?:公司|集团|事务所|厂|店|商行|工作室|经营部)")
+
+
+def stands_alone(s: str, a: int, b: int) -> bool:
+    """Whether a name at this place is no part of a longer word: Latin letters and names of two ideographs need an end of the word at one side, or both."""
+    if s[a].isascii():
+        return not (a and s[a - 1].isalnum() and s[a - 1].isascii()) and not (b < len(s) and s[b].isalnum() and s[b].isascii())
+    return b - a > 2 or not (a and "一" <= s[a - 1] <= "鿿") or not (b < len(s) and "一" <= s[b] <= "鿿")
+
+
+def redact(text: str | None, names: Names = Names()) -> str | None:
     """The text with each piece of personal data replaced by the placeholder of its kind; null stays null."""
     if not text:
         return text
     out, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in find(text, names):
         out += [text[at:a], PLACEHOLDER[kind]]
         at = b
     return "".join(out) + text[at:]
 
 
+def learned_names(texts: DataFrame) -> Names:
+    """What the labelled names of all (field, id, text) are made of.
+
+    What reaches the driver is bounded by NAME_SHARE: 5,000 entries of each of three kinds at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                if text:
+                    s = plain_form(text).text
+                    for name in {s[a:b] for a, b in labelled_names(s)}:
+                        if name[0].isascii():
+                            seen["latin", name.split()[0]] += 1
+                        else:
+                            seen["first", name[0]] += 1
+                            seen.update(("given", c) for c in set(name[1:]))
+            rows = [(*k, n) for k, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "part", "n"])
+
+    counts = texts.where("text is not null").select("text").mapInArrow(run, "kind string, part string, n bigint").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    share = Window.partitionBy("kind")
+    kept = counts.withColumn("all", F.sum("n").over(share)).where((F.col("n") >= NAME_LEAST) & (F.col("n") >= F.col("all") * NAME_SHARE)).select("kind", "part").collect()
+    return Names(*(frozenset(r["part"] for r in kept if r["kind"] == kind) for kind in Names._fields))
+
+
 def personal_data(texts: DataFrame) -> DataFrame:
     """(field, id, kind, value) of each distinct piece of personal data of (field, id, text), verbatim.
 
     Null, empty and blank texts have none; masked data is none; repeated rows count under their own ids.
     """
+    rows = spread(texts.where("text is not null").select("field", "id", "text"), "id")
+    names = learned_names(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for field, key, text in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text"))):
-                rows += {(field, key, kind, text[a:b]) for a, b, kind in find(text)}
+                rows += {(field, key, kind, text[a:b]) for a, b, kind in find(text, names)}
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["field", "id", "kind", "value"])
 
-    return spread(texts.where("text is not null").select("field", "id", "text"), "id").mapInArrow(run, "field string, id bigint, kind string, value string")
+    return rows.mapInArrow(run, "field string, id bigint, kind string, value string")
 
 
 def redacted(texts: DataFrame) -> DataFrame:
     """(field, id, text) of each (field, id, text) with placeholders; null and empty texts stay as they are."""
+    rows = spread(texts.select("field", "id", "text"), "id")
+    names = learned_names(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = pa.array([redact(t) for t in batch.column("text").to_pylist()], type=pa.string())
+            clean = pa.array([redact(t, names) for t in batch.column("text").to_pylist()], type=pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("id"), clean], names=["field", "id", "text"])
 
-    return spread(texts.select("field", "id", "text"), "id").mapInArrow(run, "field string, id bigint, text string")
+    return rows.mapInArrow(run, "field string, id bigint, text string")
 
 
 def personal_texts(complaints: DataFrame, opinions: DataFrame) -> DataFrame:
