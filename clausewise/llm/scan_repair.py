@@ -4,7 +4,8 @@ A frequency lexicon of the whole corpus has three kinds of units: words, shapes
 digits, and windows of three ideographs.  A symmetric-delete index over it, a join on the units
 with some characters left out, finds for every rare unit the frequent ones it may be
 a misreading of; a weighted edit distance, in which only pairs that scanners confuse are cheap, and the counts
-of the neighbouring word decide.  Occurrences are then looked up in the table of misread units.
+of the neighbouring word decide.  A sieve of fixed size, which knows every misread unit and few others, takes the units
+worth asking for from the texts; these are joined with the misread ones.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,21 +36,15 @@ LIKE_SHAPES = """由甲申田电 人入八 合台含 限恨根 期斯欺 间问
 RATIO, LEAST = 8, 3
 #: The same for ideographs that are not of like shape, and the share of all windows between the two neighbours that the counterpart has.
 FULL_RATIO, FULL_LEAST, FULL_SHARE = 40, 40, 0.9
-#: Up to so many misread units go to every task as a table (some 32 MB); beyond, occurrences are joined with them.
-TABLE_UNITS = 1_000_000
-#: The same for units with their repairs, which take more room.
-TABLE_REPAIRS = 250_000
+#: Bits of the sieve, as a power of two: 8 MB, however many units are misread; the more there are, the more others it lets pass.
+SIEVE = 26
 #: Parts that a document's rows are spread over when they meet its title.
 SPREAD = 16
 
 NUMERAL = "零〇一二三四五六七八九十百千"
 PAGE_NUMBER = re.compile(rf"^[\s〔\[（(—–\-‐·•|~]*(?:第\s*[\d{NUMERAL}]+\s*页(?:\s*[/，,]?\s*共\s*[\d{NUMERAL}]+\s*页)?|(?:[Pp]age|[Pp]\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?|\d+\s*(?:/|of)\s*\d+|\d+)[\s〕\]）)—–\-‐·•|~]*$")
 OWNER_MARK = re.compile(r"内部资料|内部使用|内部文件|制度汇编|扫描件|密级|机密|(?i:internal use|confidential)")
-#: Longest line that may be a running one, and longest word or token that is held against others.
-LONGEST_LINE, LONGEST_UNIT = 100, 64
-PAGE_SUFFIX = re.compile(r"\s*(?:\s{2,}|[|·]\s*)\d+$")
 HYPHENS = "-‐‑­﹣－"
-FRAGMENTS = re.compile(rf"[A-Za-zÀ-ɏ-]{{0,64}}[{HYPHENS}][ \t]*\r?\n[ \t]*[A-Za-zÀ-ɏ-]*")
 LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*")
 #: A token between its neighbours.
 TOKEN = re.compile(r"([㐀-鿿，；。]?)([A-Za-z0-9]+(?:[-/.,][A-Za-z0-9]+)*)(?=([㐀-鿿，；。]?))")
@@ -59,7 +55,7 @@ SENTENCE_END = tuple("。！？：.!?:")
 OPENING = re.compile(rf"(?:第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节条款]|[（(][\d{NUMERAL}]{{1,4}}[）)]|[{NUMERAL}]{{1,4}}、|\d{{1,3}}[、．]|\d{{1,3}}\.(?!\d)|[•●■▪◆]|附件\s*\d{{0,3}}\s*[:：])")
 HEADING = re.compile(rf"第\s*[\d{NUMERAL}]{{1,8}}\s*[编章节][^，。；]{{0,40}}$|附件\s*\d{{0,3}}\s*[:：][^，。；]{{0,40}}$")
 HYPHEN_END = re.compile(rf"[{HYPHENS}][ \t]*\r?\n[ \t]*")
-LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*$")
+_IN_WORD = re.compile(r"[A-Za-zÀ-ɏ-]")
 #: Classes of characters in shapes: digits, letters read for digits (O, o), other letters (A, a).
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{c: "O" if c.isupper() else "o" for c in DIGIT_LETTERS}})
 #: So many letters that are not read for digits may still stand for some.
@@ -128,7 +124,25 @@ def flowing(text: str) -> str:
     """A text for counting: cut words left out, lines joined."""
     if "\n" not in text:
         return plain(text)
-    return join_lines(plain(FRAGMENTS.sub(" \n", text) if HYPHEN_END.search(text) else text))
+    if HYPHEN_END.search(text):
+        out, done = [], 0
+        for m in HYPHEN_END.finditer(text):
+            if m.start() < done:
+                continue
+            end = m.end()
+            while end < len(text) and _IN_WORD.match(text, end):
+                end += 1
+            out += [text[done : word_start(text, m.start(), done)], " \n"]
+            done = end
+        text = "".join(out) + text[done:]
+    return join_lines(plain(text))
+
+
+def word_start(text: str, end: int, done: int) -> int:
+    """Where the word that ends at `end` begins, not before `done`."""
+    while end > done and _IN_WORD.match(text, end - 1):
+        end -= 1
+    return end
 
 
 def join_lines(text: str) -> str:
@@ -185,22 +199,40 @@ def unit_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text", "title", "whole").mapInArrow(run, "kind string, unit string, n bigint").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
 
 
+#: What a cheap edit costs, and how far lengths may differ for a cost below 1, the least that any other edit costs.
+CHEAP, BAND = 0.3, 3
+
+
 def confusion_cost(seen: str, meant: str) -> float:
-    """Weighted edit distance: 0.3 for a pair that scanners confuse, 1 for any other edit."""
+    """Weighted edit distance up to 1: 0.3 for a pair that scanners confuse, 1 for any other edit.
+
+    Below 1 there are at most three edits, each of which shifts places by one, so a band of places about
+    the diagonal is exact and long words take time in proportion; from 1 on the cost is given as 1.
+    """
     a, b = len(seen), len(meant)
-    cost = [[0.0] * (b + 1) for _ in range(a + 1)]
+    if abs(a - b) > BAND:
+        return 1.0
+    cost: dict[tuple[int, int], float] = {(0, 0): 0.0}
     for i in range(a + 1):
-        for j in range(b + 1):
+        for j in range(max(0, i - BAND), min(b, i + BAND) + 1):
             if not i and not j:
                 continue
-            best = min(cost[i - 1][j] + 1 if i else 9e9, cost[i][j - 1] + 1 if j else 9e9)
-            if i and j:
-                best = min(best, cost[i - 1][j - 1] + (seen[i - 1] != meant[j - 1]))
-            for x, y in LETTER_PAIRS:
-                if seen.endswith(x, 0, i) and meant.endswith(y, 0, j):
-                    best = min(best, cost[i - len(x)][j - len(y)] + 0.3)
-            cost[i][j] = best
-    return cost[a][b]
+            best = cost.get((i - 1, j - 1), 1.0) if i and j and seen[i - 1] == meant[j - 1] else 1.0
+            if i and j and best:
+                for x, y in _PAIRS_BY_END.get((seen[i - 1], meant[j - 1]), ()):
+                    if seen.endswith(x, 0, i) and meant.endswith(y, 0, j):
+                        best = min(best, cost.get((i - len(x), j - len(y)), 1.0) + CHEAP)
+            if best < 1:
+                cost[i, j] = best
+        if i > 3:
+            for j in range(max(0, i - 3 - BAND), i - 3 + BAND + 1):
+                cost.pop((i - 3, j), None)
+    return cost.get((a, b), 1.0)
+
+
+_PAIRS_BY_END: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _x, _y in LETTER_PAIRS:
+    _PAIRS_BY_END.setdefault((_x[-1], _y[-1]), []).append((_x, _y))
 
 
 #: Members of one class stand for each other in the keys of the index, so a key with one character left out meets words several confusions apart.
@@ -211,16 +243,28 @@ def fold(word: str) -> str:
     return word.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("li", "h").translate(_FOLD)
 
 
-def _deletes(word: str) -> list[str]:
-    f = fold(word)
-    return list({f, *(f[:i] + f[i + 1 :] for i in range(len(f)))})
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _deletes(word: str) -> list[int]:
+    """Hashes of the folded word and of what one letter less makes of it, made of those of the parts before and behind it."""
+    codes = list(map(ord, fold(word)))
+    n = len(codes)
+    ahead, behind, power = [0] * (n + 1), [0] * (n + 1), [1] * (n + 1)
+    for i, c in enumerate(codes):
+        ahead[i + 1] = (ahead[i] * _BASE + c * c + c) & _MASK
+        power[i + 1] = power[i] * _BASE & _MASK
+    for i in range(n - 1, -1, -1):
+        behind[i] = ((codes[i] * codes[i] + codes[i]) * power[n - 1 - i] + behind[i + 1]) & _MASK
+    found = {ahead[n]} | {(ahead[i] * power[n - 1 - i] + behind[i + 1]) & _MASK for i in range(n)}
+    return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
 def near_words(rare: DataFrame, counts: DataFrame) -> DataFrame:
     """(unit, repair, n, m, cost) of the words (unit, n) and the much more frequent ones that they may misread."""
-    deletes = F.pandas_udf(lambda s: s.map(_deletes), T.ArrayType(T.StringType()))
-    keyed = rare.where(f"length(unit) between 2 and {LONGEST_UNIT}").select("unit", "n", F.explode(deletes("unit")).alias("key"))
-    usual = counts.where(f"kind = 'w' and length(unit) between 2 and {LONGEST_UNIT}").where(F.col("n") >= LEAST * RATIO)
+    deletes = F.pandas_udf(lambda s: s.map(_deletes), T.ArrayType(T.LongType()))
+    keyed = rare.where("length(unit) > 1").select("unit", "n", F.explode(deletes("unit")).alias("key"))
+    usual = counts.where("kind = 'w' and length(unit) > 1").where(F.col("n") >= LEAST * RATIO)
     frequent = usual.select(F.col("unit").alias("repair"), F.col("n").alias("m"), F.explode(deletes("unit")).alias("key"))
     pairs = keyed.join(frequent, "key").where(F.col("unit") != F.col("repair")).where(F.col("n") * RATIO <= F.col("m")).select("unit", "repair", "n", "m").distinct()
     cost = F.pandas_udf(lambda a, b: pd.Series([confusion_cost(x, y) for x, y in zip(a, b)]), T.DoubleType())
@@ -238,7 +282,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return (
         near.join(seen, ["unit", "repair"], "left")
         .groupBy("unit")
-        .agg(F.max_by("repair", F.struct(F.coalesce("supported", F.lit(0)), -F.col("cost"), "m")).alias("repair"))
+        .agg(F.max_by("repair", F.struct(F.coalesce("supported", F.lit(0)), -F.col("cost"), "m", "repair")).alias("repair"))
     )
 
 
@@ -297,24 +341,34 @@ def misread_units(counts: DataFrame) -> DataFrame:
 
 
 def header_base(line: str) -> str:
-    return PAGE_SUFFIX.sub("", line).strip()
+    """A line without a page number behind it, set off by a mark or by two blanks or more."""
+    digits = len(line)
+    while digits and line[digits - 1].isdecimal():
+        digits -= 1
+    head = line[:digits].rstrip()
+    if digits == len(line):
+        return line.strip()
+    if head.endswith(("|", "·")):
+        return head[:-1].strip()
+    return head.strip() if digits - len(head) > 1 else line.strip()
 
 
 def running_lines(lines: list[str], title: str | None, whole: bool) -> tuple[set[int], set[int]]:
     """(places of running headers, of page numbers) among trimmed lines; `whole`: the text is a whole document, which may have its title at its head."""
     pages = {i for i, x in enumerate(lines) if PAGE_NUMBER.match(x)}
-    bases = [header_base(x) if len(x) <= LONGEST_LINE else x for x in lines]
-    tight = [re.sub(r"\s+", "", plain(x)) for x in bases]
     name = re.sub(r"\s+", "", plain(title or ""))
-    headers = set()
-    for i, base in enumerate(bases):
-        if i in pages or not base or base.endswith("。") or len(lines[i]) > LONGEST_LINE:
+    headers, bare = set(), set()
+    for i, line in enumerate(lines):
+        base = "" if i in pages else header_base(line)
+        if not base or base.endswith("。"):
             continue
-        titled = len(name) >= 4 and (tight[i].startswith(name) or tight[i].endswith(name)) and len(tight[i]) - len(name) <= 12
+        tight = re.sub(r"\s+", "", plain(base)) if len(name) >= 4 else ""
+        titled = len(name) >= 4 and (tight.startswith(name) or tight.endswith(name)) and len(tight) - len(name) <= 12
         if titled or (len(base) <= 40 and OWNER_MARK.search(base) and not re.search(r"[，；。]", base)):
             headers.add(i)
+            if tight == name:
+                bare.add(i)
     if whole:
-        bare = {i for i in headers if tight[i] == name}
         # a bare title at the head of a document is no noise, unless that is the form of its running lines or stands at a page's edge
         head = bare & {0, 1}
         if head and len(bare) == 1 and not (pages and (head == {1} or (1 in pages and headers == head))):
@@ -343,35 +397,70 @@ def mend_words(text: str, choose=lambda joined, hyphened: joined) -> tuple[str,
     for m in HYPHEN_END.finditer(text):
         if m.start() < done:
             continue
-        begin = max(done, m.start() - 64)
-        left, right = LAST_WORD.search(text[begin : m.start()]), LETTERS.match(text, m.end())
-        if not left or not right:
+        begin = word_start(text, m.start(), done)
+        while begin < m.start() and text[begin] == "-":
+            begin += 1
+        left, right = text[begin : m.start()], LETTERS.match(text, m.end())
+        if not left or not right or "--" in left or left.endswith("-"):
             continue
-        joined, hyphened = left[0] + right[0], f"{left[0]}-{right[0]}"
+        joined, hyphened = left + right[0], f"{left}-{right[0]}"
         end = right.end()
         # a word cut more than once
         while (again := HYPHEN_END.match(text, end)) and (tail := LETTERS.match(text, again.end())):
             joined, hyphened, end = joined + tail[0], f"{hyphened}-{tail[0]}", tail.end()
         found.append((joined, hyphened))
-        out += [text[done : begin + left.start()], choose(joined, hyphened)]
+        out += [text[done:begin], choose(joined, hyphened)]
         done = end
     return ("".join(out) + text[done:], found) if found else (text, found)
 
 
+def _bucket(kind: str, unit: str) -> int:
+    """The bit of a unit in a sieve."""
+    return int(_window_buckets(np.array([window_number(unit)], dtype=np.int64))[0]) if kind == "t" else crc32(f"{kind}{unit}".encode("utf-8", "surrogatepass")) & ((1 << SIEVE) - 1)
+
+
+def _window_buckets(numbers: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE)).astype(np.int64)
+
+
+class Sieve(dict):
+    """Which units may be misread; those of text, looked up one by one, are kept for the next time."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, unit: tuple[str, str]) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        b = _bucket(*unit)
+        r = self[unit] = bool(int(self.bits[b >> 6]) >> (b & 63) & 1)
+        return r
+
+    def windows(self, numbers: np.ndarray) -> np.ndarray:
+        b = _window_buckets(numbers)
+        return (self.bits[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def sieve(units: DataFrame) -> np.ndarray:
+    """The bits of a sieve for (kind, unit), made where the units are; at most 2**SIEVE bits, in numbers of 64, come to the driver."""
+    bucket = F.pandas_udf(lambda k, u: pd.Series([_bucket(*x) for x in zip(k, u)], dtype="int64"), T.LongType())
+    set_bits = units.select(bucket("kind", "unit").alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).toPandas()
+    bits = np.zeros(1 << (SIEVE - 6), dtype=np.int64)
+    bits[set_bits["at"].to_numpy(dtype=np.int64)] = set_bits["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
+
+
 def noise(texts: DataFrame, misread: DataFrame) -> DataFrame:
     """(field, id, kind, value, other) found in (field, id, text, title, whole).
 
     A broken word comes with its joined form as `value` and its hyphened one as `other`.
     """
-    spark = texts.sparkSession
-    table = misread.select("kind", "unit").limit(TABLE_UNITS + 1).toPandas()
-    small = len(table) <= TABLE_UNITS
-    known = {k: set(g["unit"]) for k, g in table.groupby("kind")} if small else {}
-    bad = np.sort(np.array([window_number(u) for u in known.pop("t", ())], dtype=np.int64))
-    shared = spark.sparkContext.broadcast((known.get("w", set()), known.get("s", set()), bad))
+    shared = texts.sparkSession.sparkContext.broadcast(sieve(misread))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad_words, bad_shapes, bad_windows = shared.value
+        worth = Sieve(shared.value)
         for batch in batches:
             rows, keys, bodies = [], [], []
             for field, key, text, title, whole in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
@@ -386,33 +475,19 @@ def noise(texts: DataFrame, misread: DataFrame) -> DataFrame:
             place = 0
             for part in portions(bodies):
                 codes, owners = windows(part)
-                if small:
-                    hits = set()
-                    if len(bad_windows):
-                        at = np.minimum(np.searchsorted(bad_windows, codes), len(bad_windows) - 1)
-                        hits = set(owners[bad_windows[at] == codes].tolist())
-                    for k, text in enumerate(part):
-                        if k not in hits:
-                            words, shapes = tokens(text)
-                            if bad_shapes.isdisjoint(shapes) and bad_words.isdisjoint(map(str.lower, words)):
-                                continue
-                        rows.append((*keys[place + k], "misread", "", None))
-                else:
-                    rows += [(*keys[place + o], "t", window_text(c), None) for c, o in set(zip(codes.tolist(), owners.tolist()))]
-                    for k, text in enumerate(part):
-                        words, shapes = tokens(text)
-                        rows += [(*keys[place + k], "w", x, None) for x in {y.lower() for y in words}] + [(*keys[place + k], "s", x, None) for x in set(shapes)]
+                hit = worth.windows(codes)
+                rows += [(*keys[place + o], "t", window_text(c), None) for c, o in set(zip(codes[hit].tolist(), owners[hit].tolist()))]
+                for k, text in enumerate(part):
+                    words, shapes = tokens(text)
+                    rows += [(*keys[place + k], "w", x, None) for x in {y.lower() for y in words} if worth["w", x]] + [(*keys[place + k], "s", x, None) for x in set(shapes) if worth["s", x]]
                 place += len(part)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["field", "id", "kind", "value", "other"])
 
-    found = texts.select("field", "id", "text", "title", "whole").mapInArrow(run, "field string, id bigint, kind string, value string, other string")
-    if small:
-        return found
-    found = durable(found)
-    hits = found.join(misread.select("kind", F.col("unit").alias("value")), ["kind", "value"], "left_semi").select("field", "id").distinct()
-    rest = found.where(F.length("kind") > 1)
+    found = durable(texts.select("field", "id", "text", "title", "whole").mapInArrow(run, "field string, id bigint, kind string, value string, other string"))
+    hits = found.where("length(kind) = 1").join(misread.select("kind", F.col("unit").alias("value")), ["kind", "value"], "left_semi").select("field", "id").distinct()
+    rest = found.where("length(kind) > 1")
     return rest.unionByName(hits.select("field", "id", F.lit("misread").alias("kind"), F.lit("").alias("value"), F.lit(None).cast("string").alias("other")))
 
 
@@ -484,7 +559,7 @@ def paragraphs(text: str, title: str | None) -> str:
     name = re.sub(r"\s+", "", plain(title or ""))
 
     def alone(line: str) -> bool:
-        tight = re.sub(r"\s+", "", plain(line)) if len(line) <= LONGEST_LINE else ""
+        tight = re.sub(r"\s+", "", plain(line)) if len(name) >= 4 else ""
         return bool(HEADING.match(line)) or (len(name) >= 4 and name in tight and len(tight) - len(name) <= 12)
 
     lines = [x.strip() for x in re.split(r"\r?\n", text)]
@@ -575,19 +650,23 @@ def cut_words(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("text").contains("\n")).select("text", "title", "whole").mapInArrow(run, "value string, other string").distinct()
 
 
-def units_of(texts: DataFrame) -> DataFrame:
-    """(field, id, kind, unit): the distinct units of each text, for joining them with their repairs."""
+def units_of(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(field, id, kind, unit): the distinct units of each text that a sieve lets pass, for joining them with their repairs."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worth = Sieve(shared.value)
         for batch in batches:
+            rows = []
             for field, key, text, title, whole in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
                 text, cuts = mend_words(cleaned(text, title, whole)[0])
                 # the breaks that stay part words, but no windows
                 flat = join_lines(plain(paragraphs(text, title)))
                 words, shapes = tokens(flat)
-                units = {("c", "\n".join(x)) for x in cuts} | {("w", x.lower()) for x in words} | {("s", x) for x in shapes} | {("t", window_text(x)) for x in set(windows([flat])[0].tolist())}
-                kinds, values = zip(*units) if units else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([field] * len(units), type=pa.string()), pa.array([key] * len(units), type=pa.int64()), pa.array(kinds, type=pa.string()), pa.array(values, type=pa.string())], names=["field", "id", "kind", "unit"])
+                codes = np.unique(windows([flat])[0])
+                units = {("c", "\n".join(x)) for x in cuts} | {("w", x.lower()) for x in words} | {("s", x) for x in shapes}
+                rows += [(field, key, *u) for u in units if worth[u]] + [(field, key, "t", window_text(c)) for c in codes[worth.windows(codes)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["field", "id", "kind", "unit"])
 
     return texts.select("field", "id", "text", "title", "whole").mapInArrow(run, "field string, id bigint, kind string, unit string")
 
@@ -596,29 +675,23 @@ def scan_repaired(texts: DataFrame) -> DataFrame:
     """(field, id, text): the texts of `scanned_texts` repaired, one row for each.
 
     Lines are joined to paragraphs, running lines and page numbers are gone, cut words whole, misread
-    words, digits and ideographs put right; all else stays verbatim.
+    words, digits and ideographs put right; all else stays verbatim.  A text is handed the repairs of its own units.
     """
     counts = durable(unit_counts(texts))
     misread = durable(misread_units(counts))
     cuts = whole_words(cut_words(texts), counts, misread).where("word <> value").select(F.lit("c").alias("kind"), F.concat_ws("\n", "value", "other").alias("unit"), F.col("word").alias("repair"))
     repairs = durable(misread.unionByName(cuts))
-    table = repairs.limit(TABLE_REPAIRS + 1).collect()
-    small = len(table) <= TABLE_REPAIRS
-    shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in table] if small else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = Repairs(shared.value)
+        none = Repairs([])
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("text", "title", "whole")))
-            own = [common] * len(batch) if small else [Repairs([(u["kind"], u["unit"], u["repair"]) for u in x or ()]) for x in batch.column("units").to_pylist()]
+            own = (Repairs([(u["kind"], u["unit"], u["repair"]) for u in x]) if x else none for x in batch.column("units").to_pylist())
             out = pa.array([r.apply(*row) for r, row in zip(own, rows)], type=pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("id"), out], names=["field", "id", "text"])
 
-    rows = texts.select("field", "id", "text", "title", "whole")
-    if not small:
-        # what a text is handed is bounded by its own units
-        hits = units_of(texts).join(repairs, ["kind", "unit"]).groupBy("field", "id").agg(F.collect_set(F.struct("kind", "unit", "repair")).alias("units"))
-        rows = rows.join(hits, ["field", "id"], "left")
+    hits = units_of(texts, sieve(repairs)).join(repairs, ["kind", "unit"]).groupBy("field", "id").agg(F.collect_set(F.struct("kind", "unit", "repair")).alias("units"))
+    rows = texts.select("field", "id", "text", "title", "whole").join(hits, ["field", "id"], "left")
     return rows.mapInArrow(run, "field string, id bigint, text string")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from clausewise.llm import scan_repair as R
@@ -12,9 +13,11 @@ def rows(spark):
     return spark.createDataFrame([("f", i, CLEAN, None, False) for i in range(60)] + [("f", 100, NOISY, "页眉测试管理办法", False), ("f", 101, CUT_ONLY, None, False)], TEXT)
 
 
-@pytest.mark.parametrize("most", [R.TABLE_REPAIRS, 0])
-def test_texts_come_out_repaired(spark, monkeypatch, most):
-    monkeypatch.setattr(R, "TABLE_REPAIRS", most)
+@pytest.mark.parametrize("worth", [None, True])
+def test_texts_come_out_repaired(spark, monkeypatch, worth):
+    if worth:
+        # a sieve that lets everything pass gives the same
+        monkeypatch.setattr(R, "sieve", lambda units: np.full(1 << (R.SIEVE - 6), (1 << 64) - 1, dtype=np.uint64))
     got = {r.id: r.text for r in R.scan_repaired(rows(spark)).collect()}
     assert got[100] == CLEAN.replace("。The", "。\nThe") and got[101] == CLEAN.split("。")[1] and {got[i] for i in range(60)} == {CLEAN}
     assert R.scan_repaired(rows(spark).limit(0)).count() == 0
@@ -53,3 +56,40 @@ def test_long_tokens_and_days_with_letters(spark):
     rows = [("f", i, clean, None, False) for i in range(60)] + [("f", 98, clean.replace("15", "l5"), None, False), ("f", 99, clean.replace("90123", "9O123"), None, False)]
     d = spark.createDataFrame(rows, TEXT)
     assert {r.id for r in R.scan_noise(d).collect()} == {98, 99}
+
+
+def test_long_words_and_lines_have_no_limit(spark):
+    long = "procurement" * 60
+    rows = [("f", i, f"The {long} clause applies.", None, False) for i in range(60)] + [("f", 99, f"The {long[:300]}-\n{long[300:]} clause applies.", None, False), ("f", 98, f"The {long[:-4]}rnent clause applies.", None, False)]
+    d = spark.createDataFrame(rows, TEXT)
+    assert {(r.id, r.kind, r.value) for r in R.scan_noise(d).collect()} == {(99, "broken_word", long), (98, "misread", "")}
+    assert {r.text for r in R.scan_repaired(d).collect()} == {f"The {long} clause applies."}
+    title = "采购与供应商管理办法" * 15
+    assert R.cleaned(f"甲\n{title}\n乙。", title, False) == ("甲\n乙。", [title], [])
+    assert R.header_base("办法 | 12") == "办法" and R.header_base("办法  12") == "办法" and R.header_base("办法 12") == "办法 12"
+
+
+def test_banded_cost_equals_the_full_one():
+    def full(seen, meant):
+        cost = {}
+        for i in range(len(seen) + 1):
+            for j in range(len(meant) + 1):
+                best = 0.0 if not i and not j else 9e9
+                if i:
+                    best = min(best, cost[i - 1, j] + 1)
+                if j:
+                    best = min(best, cost[i, j - 1] + 1)
+                if i and j:
+                    best = min(best, cost[i - 1, j - 1] + (seen[i - 1] != meant[j - 1]))
+                    best = min([best] + [cost[i - len(x), j - len(y)] + 0.3 for x, y in R.LETTER_PAIRS if seen.endswith(x, 0, i) and meant.endswith(y, 0, j)])
+                cost[i, j] = best
+        return min(1.0, cost[len(seen), len(meant)])
+
+    rng = np.random.default_rng(2)
+    for _ in range(1500):
+        a = "".join(rng.choice(list("rnmclidhvwu"), size=rng.integers(1, 9)))
+        b = a
+        for _ in range(rng.integers(0, 4)):
+            x, y = R.LETTER_PAIRS[rng.integers(len(R.LETTER_PAIRS))]
+            b = b.replace(x, y, 1)
+        assert abs(R.confusion_cost(a, b) - full(a, b)) < 1e-9
