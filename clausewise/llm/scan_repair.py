@@ -149,7 +149,7 @@ def join_lines(text: str) -> str:
     if "\n" not in text:
         return text
     text = re.sub(r"(?<![ \t])[ \t]*\r?\n[ \t]*", "\n", text)
-    return re.sub(r"(?<=[\x21-\x7e])\n(?=[\x21-\x7e])", " ", text).replace("\n", "")
+    return re.sub(r"(?<=[\x21-\x7e])\n+(?=[\x21-\x7e])", " ", text).replace("\n", "")
 
 
 def portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
@@ -579,8 +579,13 @@ def put_right(text: str, words: dict[str, str], shapes: dict[str, str], middles)
     flat, place = [], []
     for i, c in enumerate(text):
         if c == "\n":
-            after = text[i + 1 : i + 2]
-            c = " " if i and text[i - 1] in _PRINTED and (after in _PRINTED or after == "\n") else ""
+            # as join_lines has it: one blank for a run of line ends between printed characters
+            first = not i or text[i - 1] != "\n"
+            if first:
+                behind = i + 1
+                while behind < len(text) and text[behind] == "\n":
+                    behind += 1
+            c = " " if first and i and text[i - 1] in _PRINTED and text[behind : behind + 1] in _PRINTED else ""
         elif c > "\x7f" and ODD.match(c):
             c = _READINGS[c]
         flat.append(c)

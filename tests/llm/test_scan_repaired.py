@@ -93,3 +93,9 @@ def test_banded_cost_equals_the_full_one():
             x, y = R.LETTER_PAIRS[rng.integers(len(R.LETTER_PAIRS))]
             b = b.replace(x, y, 1)
         assert abs(R.confusion_cost(a, b) - full(a, b)) < 1e-9
+
+
+def test_words_at_the_end_of_a_paragraph_are_put_right(spark):
+    rows = [("f", i, "The owner should periodically act on 2017-09-26 here.", None, False) for i in range(60)] + [("f", 99, "The owner sbould\n\nperiodically act on 20I7-09-26\n\nhere.", None, False)]
+    d = spark.createDataFrame(rows, TEXT)
+    assert {r.text for r in R.scan_repaired(d).where("id = 99").collect()} == {"The owner should\n\nperiodically act on 2017-09-26\n\nhere."}
