@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +25,8 @@ from clausewise.operators.durable import durable
 HAN_SUFFIX, LATIN_SUFFIX, COMMON, COMMON_REFINED = 1, 4, 40, 200
 #: Least ratio of the longest common subsequence to the longer core.
 LCS_RATIO = 0.66
-#: Longest suffix that is indexed, and longest word that is compared letter by letter; longer ones name the same only if they are equal.
-LONGEST_SUFFIX, LONGEST_WORD = 16, 200
+#: Spellings of one class that meet in one task.
+CLASS_PART = 1_000
 #: Dictionaries keep what this share of the names has, so they have at most so many entries: 1 / share.
 PLACE_SHARE, TRADE_SHARE = 1 / 2000, 1 / 500
 
@@ -145,17 +144,16 @@ def unaccented(s: str) -> str:
 
 
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence; of words over the limit, their length if they are equal, else 0."""
-    if max(len(a), len(b)) > LONGEST_WORD:
-        return len(a) if a == b else 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+    """Length of the longest common subsequence, by one addition of whole numbers for each letter of `b`."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & where.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -163,14 +161,18 @@ def ratio(a: str, b: str) -> float:
 
 
 def slip(a: str, b: str) -> bool:
-    """Whether two words differ by one letter more or less, or by two neighbours changed round."""
+    """Whether two words differ by one letter more or less, or by one that stands at another place."""
     if a == b:
         return True
-    if max(len(a), len(b)) > LONGEST_WORD:
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3:
         return False
-    if abs(len(a) - len(b)) == 1:
-        return lcs(a, b) == min(len(a), len(b)) and min(len(a), len(b)) >= 4
-    return len(a) == len(b) >= 3 and lcs(a, b) == len(a) - 1 and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if len(a) != len(b):
+        long, short = (a, b) if len(a) > len(b) else (b, a)
+        return len(short) >= 4 and long[i + 1 :] == short[i:]
+    j = next(k for k in range(len(a) - 1, -1, -1) if a[k] != b[k])
+    turned = a[i] == b[j] and a[j] == b[i] and a[i + 1 : j] == b[i + 1 : j]
+    return turned and (a[i + 1 : j + 1] == b[i:j] or a[i:j] == b[i + 1 : j + 1])
 
 
 def same_given(a: str, b: str) -> bool:
@@ -230,76 +232,101 @@ def abbreviates(short: str, full: str) -> bool:
     return short.endswith(".") and len(short) >= 3 and full.startswith(short[:-1]) and len(full) > len(short)
 
 
+class Hashed:
+    """Hashes of a word, of its beginnings and ends, and of what one letter less or another makes of it, each made of those of its parts."""
+
+    BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def __init__(self, word: str) -> None:
+        self.codes = [c * c + c + 1 for c in map(ord, word)]
+        n = len(word)
+        self.begins, self.ends, self.power = [0] * (n + 1), [0] * (n + 1), [1] * (n + 1)
+        for i, c in enumerate(self.codes):
+            self.begins[i + 1] = (self.begins[i] * self.BASE + c) & self.MASK
+            self.power[i + 1] = self.power[i] * self.BASE & self.MASK
+        for k in range(1, n + 1):
+            # of the last k letters
+            self.ends[k] = (self.codes[n - k] * self.power[k - 1] + self.ends[k - 1]) & self.MASK
+
+    def whole(self) -> int:
+        return self.begins[-1]
+
+    def without(self, i: int) -> int:
+        k = len(self.codes) - i - 1
+        return (self.begins[i] * self.power[k] + self.ends[k]) & self.MASK
+
+    def replaced(self, i: int, letter: str) -> int:
+        k, c = len(self.codes) - i - 1, ord(letter)
+        return ((self.begins[i] * self.BASE + c * c + c + 1) * self.power[k] + self.ends[k]) & self.MASK
+
+    def deleted(self) -> set[int]:
+        """Of the word and of what one letter less makes of it; words that differ by a slip have one of these in common."""
+        return {self.whole()} | {self.without(i) for i in range(len(self.codes))}
+
+
 def suffix_keys(kind: str, core: str, trade: str, place: str) -> list[tuple[str, str]]:
-    """(suffix, what refines it) of a name's words, read from either end."""
+    """(suffix by its length and hash, what refines it) of a name's words, read from either end."""
     out: list[tuple[str, str]] = []
     if kind in ("han", "firm"):
         for word, others in ((core, (place or trade, "")), (core + trade, (core[:1],))) if trade else ((core, (place, "")),):
             for w, mark in ((word, ""), (word[::-1], "<")):
-                for k in range(HAN_SUFFIX, min(len(w), LONGEST_SUFFIX) + 1):
+                ends = Hashed(w).ends
+                for k in range(HAN_SUFFIX, len(w) + 1):
                     # the other end of the word refines a suffix too, and alone the shortest one
-                    out += [(mark + w[-k:], o) for o in {(o or f"^{w[0]}") if k > 1 else f"^{w[0]}" for o in others}]
+                    out += [(f"{mark}{k}:{ends[k]}", o) for o in {(o or f"^{w[0]}") if k > 1 else f"^{w[0]}" for o in others}]
         return list(dict.fromkeys(out))
     words = core.split()
     for i, w in enumerate(words):
         others = "".join(sorted(v[0] for j, v in enumerate(words) if j != i))
         w = w.rstrip(".")
         for v, mark in ((w, ""), (w[::-1], "<")):
-            out += [(mark + v[-k:], others[:2]) for k in range(LATIN_SUFFIX, min(len(v), LONGEST_SUFFIX) + 1)]
+            ends = Hashed(v).ends
+            out += [(f"{mark}{k}:{ends[k]}", others[:2]) for k in range(LATIN_SUFFIX, len(v) + 1)]
     return list(dict.fromkeys(out))
 
 
-def _deleted(word: str) -> set[str]:
-    """A word and what one letter less makes of it; words that differ by a slip have one of these in common."""
-    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) <= LONGEST_WORD else set())
-
-
-def _hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-
-
 def exact_keys(kind: str, place: str, core: str, trade: str, right: dict[str, set[str]]) -> list[str]:
     """Keys of which any two names that `compare` may link have one in common; `right`: what stands for a mistyped ideograph."""
     out: set[str] = set()
     if kind in ("han", "firm"):
         head = kind + "|"
+        of = lambda w: Hashed(w).whole()
         for lead in {"", place}:
-            out.add(f"{head}={lead}{core}")
-            if 1 < len(core) <= LONGEST_WORD:
-                out.add(f"{head}~{lead}{''.join(sorted(core))}")
-                out |= {f"{head}={lead}{core[:i]}{r}{core[i + 1 :]}" for i, c in enumerate(core) for r in right.get(c, ())}
+            h = Hashed(lead + core)
+            out.add(f"{head}={h.whole()}")
+            if len(core) > 1:
+                out.add(f"{head}~{lead}{of(''.join(sorted(core)))}")
+                out |= {f"{head}={h.replaced(len(lead) + i, r)}" for i, c in enumerate(core) for r in right.get(c, ())}
         if not place:
             # a place, or something else, that the other name may not have before its core
-            out |= {f"{head}~{core[:j]}{''.join(sorted(core[j:]))}" for j in (2, 3, 4) if j + 1 < len(core) <= LONGEST_WORD}
-            out |= {f"{head}={core[j:]}" for j in (2, 3, 4) if len(core) - j >= 3}
-        if place and trade and 1 < len(core) <= LONGEST_WORD:
-            out |= {f"{head}_{i}{core[:i]}_{core[i + 1 :]}|{place}|{trade}" for i in range(len(core))}
+            out |= {f"{head}~{core[:j]}{of(''.join(sorted(core[j:])))}" for j in (2, 3, 4) if j + 1 < len(core)}
+            out |= {f"{head}={of(core[j:])}" for j in (2, 3, 4) if len(core) - j >= 3}
+        if place and trade and len(core) > 1:
+            h = Hashed(core)
+            out |= {f"{head}_{i}_{h.without(i)}|{place}|{trade}" for i in range(len(core))}
         return sorted(out)
     words = core.split()
-    hashes = [_hash(w) for w in words]
-    total = sum(hashes)
-    for i, w in enumerate(words):
-        rest = f"o|{len(words)}|{(total - hashes[i]) % (1 << 64)}|"
-        out |= {rest + x for x in _deleted(w)}
-        stem = w.rstrip(".")
-        out |= {f"{rest}^{stem}"} | {f"{rest}^{w[:k]}" for k in range(2, min(len(w), LONGEST_WORD))}
+    hashes = [Hashed(w) for w in words]
+    total = sum(h.whole() for h in hashes)
+    for i, (w, h) in enumerate(zip(words, hashes)):
+        rest = f"o|{len(words)}|{(total - h.whole()) & Hashed.MASK}|"
+        out |= {f"{rest}{x}" for x in h.deleted()}
+        # a short form, and what it may be short for
+        out |= {f"{rest}^{h.begins[len(w.rstrip('.'))]}"} | {f"{rest}^{h.begins[k]}" for k in range(2, len(w))}
         if len(w) >= 4 and kind == "latin":
             initials = {c for j, v in enumerate(words) if j != i for x in SHORT.get(v, set()) | {v} for c in x[:2]}
-            out |= {f"p|{x}|{c}" for x in _deleted(w) for c in initials}
+            out |= {f"p|{x}|{c}" for x in h.deleted() for c in initials}
     return sorted(out)
 
 
-def exact_pairs(nodes: DataFrame, wrong: set[tuple[str, str]]) -> DataFrame:
+def exact_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: node numbers that meet under an exact key and whose places and trades may be one.
 
     Names with another place or trade never meet; those without one, of which a core has as many as
     there are places and trades, are held against all.
     """
-    right: dict[str, set[str]] = {}
-    for w, r in wrong:
-        right.setdefault(w, set()).add(r)
-    keys = F.pandas_udf(lambda k, p, c, t: pd.Series([exact_keys(*x, right) for x in zip(k, p, c, t)]), T.ArrayType(T.StringType()))
-    keyed = nodes.select("name_group", "place", "trade", "node", F.col("kind").startswith("latin").alias("latin"), F.explode(keys("kind", "place", "core", "trade")).alias("k"))
+    keys = F.pandas_udf(lambda k, p, c, t, r: pd.Series([exact_keys(*x[:4], rights(x[4])) for x in zip(k, p, c, t, r)]), T.ArrayType(T.StringType()))
+    keyed = nodes.select("name_group", "place", "trade", "node", F.col("kind").startswith("latin").alias("latin"), F.explode(keys("kind", "place", "core", "trade", "rights")).alias("k"))
     keyed = keyed.select("name_group", "place", "trade", "node", "latin", F.xxhash64("k").alias("key"))
     met = keyed.join(keyed.groupBy("name_group", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), ["name_group", "key"])
     a, b = (met.select("name_group", "key", F.col("place").alias(f"place_{x}"), F.col("trade").alias(f"trade_{x}"), F.col("node").alias(x), "latin") for x in "ab")
@@ -310,6 +337,14 @@ def exact_pairs(nodes: DataFrame, wrong: set[tuple[str, str]]) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def rights(pairs) -> dict[str, set[str]]:
+    """What may be meant for each mistyped ideograph of one core, from its (wrong, right) pairs."""
+    out: dict[str, set[str]] = {}
+    for p in pairs if pairs is not None else ():
+        out.setdefault(p["wrong"], set()).add(p["right"])
+    return out
+
+
 PARTS = T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "place", "core", "trade")])
 KEYS = T.ArrayType(T.StructType([T.StructField("suffix", T.StringType()), T.StructField("other", T.StringType())]))
 
@@ -338,11 +373,12 @@ def named_parts(names: DataFrame) -> DataFrame:
 def misspelled_characters(nodes: DataFrame) -> DataFrame:
     """(wrong, right): an ideograph that is rare in cores and mostly stands where another core has a usual one.
 
-    Cores meet under their text with one character left out.
+    Cores meet under their text with one character left out. A key and a character make a core, so no more cores meet
+    under a key than there are ideographs, however many names there are.
     """
-    cores = nodes.where(f"kind in ('han', 'firm') and length(core) between 2 and {LONGEST_WORD}").select("core").distinct()
-    spots = cores.select("core", F.posexplode(F.split("core", "")).alias("at", "ch")).where("ch <> ''")
-    spots = spots.withColumn("key", F.concat_ws("|", F.col("at"), F.expr("concat(substring(core, 1, at), '_', substring(core, at + 2))")))
+    cores = nodes.where("kind in ('han', 'firm') and length(core) > 1").select("core").distinct()
+    without = F.pandas_udf(lambda s: s.map(spots_of), SPOTS)
+    spots = cores.select("core", F.explode(without("core")).alias("s")).select("core", "s.ch", "s.key")
     totals = spots.groupBy("ch").agg(F.count_distinct("core").alias("n"))
     rare = totals.select(F.col("ch").alias("wrong"), F.col("n").alias("nw"))
     usual = totals.select(F.col("ch").alias("right"), F.col("n").alias("nr"))
@@ -352,9 +388,35 @@ def misspelled_characters(nodes: DataFrame) -> DataFrame:
     return met.where("met >= nw * 0.5").select("wrong", "right")
 
 
-def compare(a: pd.DataFrame, b: pd.DataFrame, wrong: set[tuple[str, str]]) -> pd.Series:
+def spots_of(core: str) -> list[dict[str, str]]:
+    """Each character of a core with the place and the rest of it as its key."""
+    h = Hashed(core)
+    return [{"ch": c, "key": f"{i}|{h.without(i)}"} for i, c in enumerate(core)]
+
+
+SPOTS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("ch", "key")]))
+
+
+def with_rights(nodes: DataFrame) -> DataFrame:
+    """`nodes` with `rights`: for the characters of its own core, what the corpus shows to be meant by them."""
+    wrong = durable(misspelled_characters(nodes))
+    chars = nodes.where("kind in ('han', 'firm')").select("node", F.explode(F.array_distinct(F.split("core", ""))).alias("wrong"))
+    own = chars.join(wrong, "wrong").groupBy("node").agg(F.collect_list(F.struct("wrong", "right")).alias("rights"))
+    return durable(nodes.join(own, "node", "left"))
+
+
+def weighed(a: str, b: str, same: set[tuple[str, str]]) -> float:
+    """The ratio of the longest common subsequence to the longer core, where pairs of characters that `same` has count as one."""
+    if same and len(a) == len(b):
+        b = "".join(x if (x, y) in same else y for x, y in zip(a, b))
+    return ratio(a, b)
+
+
+def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    """Whether two names are one by the ratio of the longest common subsequence of their cores, weighed by what the corpus and the other parts say of the characters that differ."""
     out = []
-    for ka, pa_, ca, ta, ra, oa, kb, pb, cb, tb, rb, ob in zip(*(a[c] for c in ("kind", "place", "core", "trade", "spelled", "trades")), *(b[c] for c in ("kind", "place", "core", "trade", "spelled", "trades"))):
+    columns = ("kind", "place", "core", "trade", "spelled", "trades", "rights")
+    for ka, pa_, ca, ta, ra, oa, wa, kb, pb, cb, tb, rb, ob, wb in zip(*(a[c] for c in columns), *(b[c] for c in columns)):
         if ka.startswith("latin"):
             org = "latin_org" in (ka, kb)
             out.append(same_org(ca, cb) if org else same_latin(ca, cb))
@@ -373,23 +435,23 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, wrong: set[tuple[str, str]]) -> pd
             # another trade, or a name without one whose core has several
             out.append(False)
             continue
-        if ca == cb:
-            out.append(True)
-            continue
-        if len(ca) != len(cb) or len(ca) < 2 or ratio(ca, cb) < LCS_RATIO - 0.17 * (len(ca) == 2):
-            out.append(False)
+        if ca == cb or len(ca) != len(cb) or len(ca) < 2:
+            out.append(ca == cb)
             continue
         off = [(x, y) for x, y in zip(ca, cb) if x != y]
+        # the evidence: two that changed places; one that the corpus shows to be mistyped; one in a core that only one or two
+        # strings have, beside a company of its place and trade that more have
         turned = len(off) == 2 and sorted(ca) == sorted(cb)
-        typed = len(off) == 1 and (off[0] in wrong or off[0][::-1] in wrong)
-        # a core that only one or two strings have, beside a company of its place and trade that more have
+        typed = len(off) == 1 and (off[0][1] in rights(wa).get(off[0][0], ()) or off[0][0] in rights(wb).get(off[0][1], ()))
         lonely = len(off) == 1 and bool(ta) and ta == tb and bool(pa_) and pa_ == pb and min(ra, rb) <= 2 and max(ra, rb) >= 3
-        out.append(turned or typed or lonely)
+        least = LCS_RATIO - 0.17 * (len(ca) == 2)
+        out.append(ratio(ca, cb) >= least and weighed(ca, cb, set(off) if turned or typed or lonely else set()) == 1.0)
     return pd.Series(out, dtype=bool)
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): node numbers of (name_group, node, kind, place, core, trade, spelled, trades) that name one entity."""
+    nodes = with_rights(nodes)
     keys = F.pandas_udf(lambda k, c, t, p: pd.Series([suffix_keys(*x) for x in zip(k, c, t, p)]), KEYS)
     indexed = nodes.withColumn("family", F.when(F.col("kind").startswith("latin"), "latin").otherwise("han")).select("name_group", "family", "node", F.explode(keys("kind", "core", "trade", "place")).alias("k")).select("name_group", "family", "node", "k.*")
     index = ["name_group", "family", "suffix"]
@@ -400,31 +462,40 @@ def links(nodes: DataFrame) -> DataFrame:
     fine = refined.groupBy(*index, "other").agg(F.count(F.lit(1)).alias("m")).where(F.col("m").between(2, COMMON_REFINED)).select(*index, "other")
     blocks = plain.unionByName(refined.join(fine, [*index, "other"], "left_semi"))
     a, b = blocks.withColumnRenamed("node", "a"), blocks.withColumnRenamed("node", "b")
-    # pairs of ideographs: their number is bounded by the script, not by the names
-    wrong = {(r["wrong"], r["right"]) for r in misspelled_characters(nodes).collect()}
-    pairs = a.join(b, [*index, "other"]).where("a < b").select("a", "b").unionByName(exact_pairs(nodes, wrong)).distinct()
-    told = nodes.select("node", F.struct("kind", "place", "core", "trade", "spelled", "trades").alias("s"))
+    pairs = a.join(b, [*index, "other"]).where("a < b").select("a", "b").unionByName(exact_pairs(nodes)).distinct()
+    told = nodes.select("node", F.struct("kind", "place", "core", "trade", "spelled", "trades", "rights").alias("s"))
     both = pairs.join(told.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(told.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.pandas_udf(lambda x, y: compare(x, y, wrong), T.BooleanType())
+    same = F.pandas_udf(compare, T.BooleanType())
     return both.where(same("sa", "sb")).select("a", "b")
 
 
-def same_names(names: DataFrame) -> DataFrame:
-    """(name_group, name_a, name_b), name_a < name_b, of different spellings of one entity among (name_group, name).
+def name_classes(names: DataFrame) -> DataFrame:
+    """(name_group, name, class, spellings) of each different (name_group, name): the entity it names, by its smallest spelling, and how many spellings that has.
 
-    Null, empty and blank names name nothing.  Repeated names count once; a name alone gives no row.
+    Null, empty and blank names name nothing and are left out, as are names of nothing but a legal form or title. Repeated names count once.
     """
     distinct = names.where("name is not null and trim(name) <> ''").select("name_group", "name").distinct()
     told = durable(named_parts(durable(distinct)).where("core <> ''"))
     what = ["name_group", "kind", "place", "core", "trade"]
-    nodes = told.groupBy(*what).agg(F.count(F.lit(1)).alias("spelled_here"))
     by_core = told.groupBy("name_group", "core").agg(F.count(F.lit(1)).alias("spelled"), F.count_distinct(F.when(F.col("trade") != "", F.col("trade"))).alias("trades"))
-    nodes = durable(nodes.join(by_core, ["name_group", "core"]).withColumn("node", F.xxhash64(*what)))
+    nodes = durable(told.select(*what).distinct().join(by_core, ["name_group", "core"]).withColumn("node", F.xxhash64(*what)))
     classes = connected(links(nodes))
-    entity = nodes.join(classes, "node", "left").select(*what, F.coalesce("class", "node").alias("class"))
-    member = durable(told.join(entity, what).select("name_group", "name", "class"))
-    a, b = member.withColumnRenamed("name", "name_a"), member.withColumnRenamed("name", "name_b")
-    return a.join(b, ["name_group", "class"]).where("name_a < name_b").select("name_group", "name_a", "name_b")
+    entity = nodes.join(classes, "node", "left").select(*what, F.coalesce("class", "node").alias("entity"))
+    member = durable(told.join(entity, what).select("name_group", "name", "entity"))
+    whole = member.groupBy("name_group", "entity").agg(F.min("name").alias("class"), F.count(F.lit(1)).alias("spellings"))
+    return member.join(whole, ["name_group", "entity"]).select("name_group", "name", "class", "spellings")
+
+
+def same_names(names: DataFrame) -> DataFrame:
+    """(name_group, name_a, name_b), name_a < name_b, of different spellings of one entity among (name_group, name).
+
+    A name alone gives no row. Spellings of a class of many meet in parts, so none of its tasks has all its pairs.
+    """
+    member = durable(name_classes(names).where("spellings > 1"))
+    parts = F.ceil(F.col("spellings") / CLASS_PART)
+    a = member.select("name_group", "class", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), parts).alias("part"))
+    b = member.select("name_group", "class", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    return a.join(b, ["name_group", "class", "part"]).where("name_a < name_b").select("name_group", "name_a", "name_b")
 
 
 def firm_and_party_names(opinions: DataFrame, complaints: DataFrame) -> DataFrame:
