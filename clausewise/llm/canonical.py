@@ -1,20 +1,23 @@
 """One form for text that reads the same.
 
-Texts are exploded to positioned code points, which a broadcast join decomposes, folds to the
-usual look-alike or removes; combining marks are then ordered by class behind their base,
-composed with it where a single code point exists, and the strings built again.
+Every text is exploded to positioned code points, a batch of texts at a time and as columns, not as rows: these meet a
+broadcast table, which decomposes them, folds them to the usual look-alike or removes them; combining marks are then ordered by
+class behind their base, composed with it where a single code point exists, and the strings built again.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clausewise.operators.durable import durable
+from clausewise.operators.skew import spread
 
 #: Look-alike letters (fixed values): Greek and Cyrillic letters with the shape of a Latin one.
 LOOK_ALIKE = {
@@ -29,12 +32,6 @@ LOOK_ALIKE = {
 MORE_DASHES = "−⁃˗"
 #: Compatibility decompositions that keep the reading: the tags of width, breaking and font, and single equivalents.
 READING_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
-#: Code points that stay or change one for one, so that a text of these alone needs no exploding.
-PLAIN = "\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u00ff\\u3001-\\u3015\\u4e00-\\u9fff\\uff01-\\uff5e\\u3000\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026\\u00b7"
-
-MAPPING = T.StructType([T.StructField("ch", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("out", T.StringType()), T.StructField("ccc", T.IntegerType())])
-
-
 def reading(ch: str, depth: int = 0) -> str:
     """What a code point reads as, decomposed; '' for one that is invisible."""
     if ch in LOOK_ALIKE and LOOK_ALIKE[ch] != ch:
@@ -55,115 +52,180 @@ def reading(ch: str, depth: int = 0) -> str:
     return "".join(reading(chr(int(x, 16)), depth + 1) for x in parts)
 
 
-def mapping_rows() -> list[tuple[str, int, str, int]]:
-    """(ch, seq, out, ccc) for each code point of the first three planes that changes or is a combining mark: some 5,000 rows, by rule."""
-    out = []
-    for cp in range(0x30000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        r = reading(ch)
-        if r != ch or unicodedata.combining(ch):
-            out += [(ch, i, c, unicodedata.combining(c)) for i, c in enumerate(r)] or [(ch, 0, "", 0)]
-    return out
+#: Code points taken at a time; a longer text is taken by itself.
+PORTION = 1_000_000
+#: Rows of one form that meet in one task.
+FORM_PART = 1_000
+
+
+class Table(NamedTuple):
+    """What each code point becomes, by rule from the Unicode tables of Python: some 10 MB, whatever the data."""
+
+    #: How many code points come out of each, and where they stand in `pool`; -1 for one that stays.
+    size: np.ndarray
+    offset: np.ndarray
+    pool: np.ndarray
+    #: Combining class of each code point, 0 for a base.
+    order: np.ndarray
+    #: What two code points compose to.
+    pairs: dict[tuple[int, int], int]
 
 
-def compositions() -> list[tuple[str, str]]:
-    """(decomposed cluster, composed character) for each base with marks that has one code point."""
-    out = []
-    for cp in range(0xA0, 0x30000):
-        if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
-            continue
+def mapping() -> Table:
+    size, offset, order = np.ones(0x110000, dtype=np.uint8), np.full(0x110000, -1, dtype=np.int32), np.zeros(0x110000, dtype=np.uint8)
+    pool: list[int] = []
+    pairs: dict[tuple[int, int], int] = {}
+    for cp in (*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
-        full = unicodedata.normalize("NFD", ch)
-        if len(full) > 1 and unicodedata.normalize("NFC", full) == ch:
-            out.append((full, ch))
-    return out
-
-
-def one_for_one(text: Column) -> Column:
-    """The form of a text of plain code points: a translation of single characters."""
-    pairs = [(chr(c), reading(chr(c))) for r in ([0xA1, 0x100], [0x3000, 0x3016], [0xFF01, 0xFF5F], [0x2014, 0x2015]) for c in range(*r)] + [("\t", " ")]
-    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
-    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
-
-
-def explode_and_rebuild(rows: DataFrame) -> DataFrame:
-    """(key, form) of (key, text) by way of code points; `key` must be unique, empty texts give no row."""
-    spark = rows.sparkSession
-    # both tables are made by rule from the Unicode tables of Python, a fixed bound on their size
-    table = F.broadcast(spark.createDataFrame(mapping_rows(), MAPPING))
-    composed = F.broadcast(spark.createDataFrame(compositions(), "cluster_text string, composed string"))
-    points = rows.repartition("key").select("key", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
-    mapped = points.join(table, "ch", "left").select("key", "pos", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("out", "ch").alias("out"), F.coalesce("ccc", F.lit(0)).alias("ccc")).where("out <> ''")
-    order = Window.partitionBy("key").orderBy("pos", "seq")
-    # a cluster is a base and the marks behind it; marks of one class keep their order
-    clusters = mapped.withColumn("cluster", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order))
-    marks = F.col("ccc") > 0
-    has_mark = F.max(marks.cast("int")).over(Window.partitionBy("key", "cluster"))
-    clusters = clusters.withColumn("joined", has_mark)
-    plain = clusters.where("joined = 0").select("key", "cluster", "out")
-    joined = (
-        clusters.where("joined = 1")
-        .groupBy("key", "cluster")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "seq", "out"))), lambda x: x["out"]), "").alias("cluster_text"))
-    )
-    joined = joined.join(composed, "cluster_text", "left").select("key", "cluster", F.coalesce("composed", _compose("cluster_text")).alias("out"))
-    return (
-        plain.unionByName(joined)
-        .groupBy("key")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "out"))), lambda x: x["out"]), "").alias("form"))
-    )
-
-
-@F.pandas_udf(T.StringType())
-def _compose(clusters: pd.Series) -> pd.Series:
-    """For a base with more marks than any one code point has: what of it composes."""
-    return clusters.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+        order[cp] = unicodedata.combining(ch)
+        r = reading(ch)
+        if r != ch:
+            size[cp], offset[cp] = len(r), len(pool)
+            pool += map(ord, r)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", unicodedata.normalize("NFD", ch)) == ch:
+            pairs[int(parts[0], 16), int(parts[1], 16)] = cp
+    return Table(size, offset, np.array(pool, dtype=np.uint32), order, pairs)
+
+
+def composed(cluster: list[int], table: Table) -> list[int]:
+    """A base and its ordered marks, with the marks that compose with it taken in; one that another of its class stands before does not."""
+    base, rest, last = cluster[0], [], 0
+    for mark in cluster[1:]:
+        cls = int(table.order[mark])
+        both = table.pairs.get((base, mark)) if not rest or last < cls else None
+        if both is None:
+            rest.append(mark)
+            last = cls
+        else:
+            base = both
+    return [base, *rest]
+
+
+def rebuilt(texts: list[str], table: Table) -> list[str]:
+    """The forms of some texts."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    # every position meets the table; what comes out of it keeps the position's place
+    size, offset = table.size[codes].astype(np.int64), table.offset[codes]
+    if offset.max(initial=-1) >= 0:
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at, stays, row = np.repeat(offset, size), np.repeat(codes, size), np.repeat(row, size)
+        codes = np.where(at < 0, stays, table.pool[np.minimum(at.clip(0) + nth, len(table.pool) - 1)])
+    order = table.order[codes]
+    if order.any():
+        # a cluster is a base and the marks behind it; marks of one class keep their order
+        first = (order == 0) | np.r_[True, row[1:] != row[:-1]]
+        cluster = np.cumsum(first)
+        codes = codes[np.lexsort((order, cluster))]
+        starts = np.flatnonzero(first)
+        ends = np.r_[starts[1:], len(codes)]
+        kept = np.ones(len(codes), dtype=bool)
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            new = composed(codes[a:b].tolist(), table)
+            codes[a : a + len(new)] = new
+            kept[a + len(new) : b] = False
+        codes, row = codes[kept], row[kept]
+    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+    return [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def canonical_forms(rows: DataFrame) -> DataFrame:
-    """(key, text, form) of each (key, text): equal forms read the same.
+    """`rows` (text and any others) with `form`: equal forms read the same.
 
     Width, invisible characters, kind of blank or dash, way of composing and look-alike code
-    points make no difference; letters, digits, words and line breaks do.  A null text has a null form, an empty one the
-    empty form.  `key` must be unique; other columns are ignored.  Texts that are plain, whose form
-    needs no neighbours, are translated in place; both ways give the same form.
+    points make no difference; letters, digits, words and line breaks do.  A null text has a null form, an empty one, or one of
+    nothing but invisible characters, the empty form.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(mapping())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            forms = iter([f for part in portions([t for t in texts if t is not None]) for f in rebuilt(part, shared.value)])
+            made = pa.array([None if t is None else next(forms) for t in texts], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "form"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{columns}, form string")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """`rows` with 128-bit hashes in the place of their text and form: `text_key`, `form_key`."""
+    hashed = lambda c: F.unhex(F.md5(c))
+    return canonical_forms(rows).withColumn("text_key", hashed("text")).withColumn("form_key", hashed("form")).drop("text", "form")
+
+
+def reading_classes(keys: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., form_key, class, texts, rows) of each form that several different texts have: its smallest id, how many they are and in how many rows."""
+    # a text of many rows is counted where they are first
+    texts = keys.groupBy(*group, "form_key", "text_key").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("rows"))
+    return texts.groupBy(*group, "form_key").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows")).where("texts > 1")
+
+
+def same_reading(keys: DataFrame, classes: DataFrame, group: list[str]) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of the rows (group..., id, text_key, form_key) of one class whose texts differ.
+
+    Rows of a form of many meet in parts, so none of its tasks has all its pairs.
+    """
+    parts = F.ceil(F.col("rows") / FORM_PART)
+    several = keys.join(classes.select(*group, "form_key", parts.alias("parts")), [*group, "form_key"])
+    a = several.select(*group, "form_key", F.col("id").alias("id_a"), F.col("text_key").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    b = several.select(*group, "form_key", F.col("id").alias("id_b"), F.col("text_key").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, [*group, "form_key", "part"]).where("id_a < id_b and a <> b").select("id_a", "id_b")
+
+
+def clause_texts(chunks: DataFrame) -> DataFrame:
+    """(field, id, text) of the contents and section titles of all chunks."""
+    pick = lambda c: chunks.select(F.lit(f"kb_chunk.{c}").alias("field"), F.col("id").cast("bigint").alias("id"), F.col(c).alias("text"))
+    return pick("content").unionByName(pick("section_title"))
+
+
+def clause_forms(chunks: DataFrame) -> DataFrame:
+    """(field, id, form): the contents and section titles of all chunks in one consistent form; null stays null."""
+    return canonical_forms(spread(clause_texts(chunks), "id")).select("field", "id", "form")
+
+
+def clause_keys(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contents (id, text_key, form_key) by rows, and titles (document_id, id, text_key, form_key) by documents, in which a title goes by the smallest id that carries it.
+
+    Null fields and the contents of title rows ('.' and '') are no cases.
     """
-    rows = rows.select("key", "text")
-    odd = F.regexp_like("text", F.lit(f"[^{PLAIN}]"))
-    rebuilt = explode_and_rebuild(rows.where(odd))
-    kept = rows.where(F.col("text").isNull() | ~odd).select("key", "text", one_for_one(F.col("text")).alias("form"))
-    # an odd text of nothing but invisible characters has no code points left
-    odd_rows = rows.where(odd).join(rebuilt, "key", "left").select("key", "text", F.coalesce("form", F.lit("")).alias("form"))
-    return kept.unionByName(odd_rows)
+    chunks = spread(chunks, "id")
+    contents = chunks.where("content is not null and content not in ('', '.')").select(F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"))
+    titles = chunks.where("section_title is not null and document_id is not null").groupBy("document_id", F.col("section_title").alias("text")).agg(F.min("id").cast("bigint").alias("id"))
+    return durable(keyed(contents)), durable(keyed(titles))
 
 
-def same_reading(forms: DataFrame, group: list[str] = ()) -> DataFrame:
-    """(group..., form, id_a, id_b) of rows (group..., id, text, form) whose texts differ but have one form, id_a < id_b."""
-    keys = [*group, "form"]
-    several = forms.groupBy(*keys).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select(*keys)
-    left = forms.join(several, keys, "left_semi")
-    a = left.select(*keys, F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = left.select(*keys, F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, keys).where("id_a < id_b and text_a <> text_b").select(*keys, "id_a", "id_b")
+def clause_classes(chunks: DataFrame) -> DataFrame:
+    """(field, document_id, class, texts, rows) of the contents that read the same, and of the titles that do within a document, where their strings differ."""
+    contents, titles = clause_keys(chunks)
+    c = reading_classes(contents, []).select(F.lit("kb_chunk.content").alias("field"), F.lit(None).cast("bigint").alias("document_id"), "class", "texts", "rows")
+    t = reading_classes(titles, ["document_id"]).select(F.lit("kb_chunk.section_title").alias("field"), "document_id", "class", "texts", "rows")
+    return c.unionByName(t)
 
 
 def equal_clauses(chunks: DataFrame) -> DataFrame:
     """(field, id_a, id_b) of kb_chunk rows: contents that read the same, and section titles that do within a document.
 
     Contents are compared row by row; a title stands for all rows of its document that carry it
-    and goes by the smallest chunk id among them.  Null fields and the contents of title rows ('.' and '') are no cases.
-    Exact copies of a text are formed once.
+    and goes by the smallest chunk id among them.
     """
-    contents = chunks.where("content is not null and content not in ('', '.')").select(F.col("id").cast("bigint").alias("id"), F.col("content").alias("text"))
-    titles = chunks.where("section_title is not null and document_id is not null").groupBy("document_id", F.col("section_title").alias("text")).agg(F.min("id").cast("bigint").alias("id"))
-    texts = contents.select("text").union(titles.select("text")).distinct()
-    # a short key stands for a text while its code points are apart; it stays the same once the texts are written
-    texts = durable(texts.withColumn("key", F.monotonically_increasing_id()))
-    # only forms that several texts have can pair rows; the rest of the rows ends here
-    forms = durable(canonical_forms(texts).select("text", "form"))
-    forms = forms.join(forms.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("form"), "form", "left_semi")
-    c = same_reading(durable(contents.join(forms, "text"))).select(F.lit("kb_chunk.content").alias("field"), "id_a", "id_b")
-    t = same_reading(durable(titles.join(forms, "text")), ["document_id"]).select(F.lit("kb_chunk.section_title").alias("field"), "id_a", "id_b")
+    contents, titles = clause_keys(chunks)
+    c = same_reading(contents, reading_classes(contents, []), []).select(F.lit("kb_chunk.content").alias("field"), "id_a", "id_b")
+    t = same_reading(titles, reading_classes(titles, ["document_id"]), ["document_id"]).select(F.lit("kb_chunk.section_title").alias("field"), "id_a", "id_b")
     return c.unionByName(t)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm.canonical import equal_clauses
+from clausewise.llm.canonical import clause_classes, clause_forms, equal_clauses
 from clausewise.llm.encoding import encode_corpus
-from clausewise.llm.name_variants import firm_and_party_names, same_names
+from clausewise.llm.name_variants import firm_and_party_names, name_classes, same_names
 from clausewise.llm.packing import pack
 from clausewise.llm.personal import personal_data, personal_texts, redacted
 from clausewise.llm.scan_repair import scan_noise, scan_repaired, scanned_texts, unscanned_texts
@@ -23,10 +23,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return equal_clauses(table(spark, folder, "kb_chunk"))
 
 
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return clause_forms(table(spark, folder, "kb_chunk"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return clause_classes(table(spark, folder, "kb_chunk"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_names(firm_and_party_names(table(spark, folder, "legal_opinions"), table(spark, folder, "complaints")))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return name_classes(firm_and_party_names(table(spark, folder, "legal_opinions"), table(spark, folder, "complaints")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(personal_texts(table(spark, folder, "complaints"), table(spark, folder, "legal_opinions")))
 
@@ -60,5 +72,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_redacted, p5_found, p5_repaired, p6_ids, p7_packed, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p3_found, p3_classes, p4_found, p4_redacted, p5_found, p5_repaired, p6_ids, p7_packed, p8_found, p8_share)}
 SQL: dict[str, str] = {}

@@ -1,7 +1,6 @@
+import random
 import unicodedata
 
-from pyspark.sql import functions as F
-
 from clausewise.llm import canonical as C
 
 
@@ -42,12 +41,28 @@ def test_edges(spark):
     assert C.canonical_forms(d).count() == 0
 
 
-def test_translation_equals_rebuilding(spark):
-    texts = ["（一）合同：ＡＢＣ１２３，。；", "plain ascii\twith tab", "Señor Bañó — “引号”", "①"[0:0] + "　缩进\n下一行"]
-    d = spark.createDataFrame([(t, t) for t in texts], "key string, text string")
-    rebuilt = {r.key: r.form for r in C.explode_and_rebuild(d).collect()}
-    direct = {r.text: r.f for r in d.select("text", C.one_for_one(F.col("text")).alias("f")).collect()}
-    assert rebuilt == direct
+def test_marks_are_ordered_and_composed_as_the_standard_has_it(spark):
+    rng = random.Random(4)
+    letters = ["a", "e", "o", "x", "ế", "Å", "中", "\u0301", "\u0302", "\u0323", "\u0327", "\u0308", "\u0338"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(400)]
+    assert forms(spark, texts) == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_many_rows_of_one_form(spark, monkeypatch):
+    rows = [(i, None, "第１条" if i % 2 else "第1条", None) for i in range(30)]
+    d = spark.createDataFrame(rows, "id bigint, document_id bigint, content string, section_title string")
+    whole = {tuple(r) for r in C.equal_clauses(d).collect()}
+    assert whole == {("kb_chunk.content", i, j) for i in range(30) for j in range(i + 1, 30) if (i - j) % 2}
+    monkeypatch.setattr(C, "FORM_PART", 4)
+    assert {tuple(r) for r in C.equal_clauses(d).collect()} == whole
+    assert [tuple(r) for r in C.clause_classes(d).collect()] == [("kb_chunk.content", None, 0, 2, 30)]
+    assert {r.form for r in C.clause_forms(d).where("field = 'kb_chunk.content'").collect()} == {"第1条"}
+
+
+def test_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(C, "PORTION", 5)
+    texts = ["Ａ" * 12, "e\u0301" * 9, "", "甲" * 5, "\u200b" * 7, "\u0301x"]
+    assert forms(spark, texts) == ["A" * 12, "é" * 9, "", "甲" * 5, "", "\u0301x"]
 
 
 def test_equal_clauses(spark):

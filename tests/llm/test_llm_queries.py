@@ -7,10 +7,14 @@ import __spark_entry__ as entry
 DATA = Path("/root/testdata/sf0.001")
 COLUMNS = {
     "p2_found": "field string, id_a bigint, id_b bigint",
+    "p2_forms": "field string, id bigint, form string",
+    "p2_classes": "field string, document_id bigint, class bigint, texts bigint, rows bigint",
     "p3_found": "name_group string, name_a string, name_b string",
+    "p3_classes": "name_group string, name string, class string, spellings bigint",
     "p4_found": "field string, id bigint, kind string, value string",
     "p4_redacted": "field string, id bigint, text string",
     "p5_found": "field string, id bigint, kind string, value string",
+    "p5_repaired": "field string, id bigint, text string",
     "p6_ids": "doc_id bigint, ids array<int>",
     "p7_packed": "doc_id bigint, piece int, container string, tokens int",
     "p8_found": "doc_id bigint, span_start int, span_end int",
