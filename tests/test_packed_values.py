@@ -1,3 +1,7 @@
+import math
+import time
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,7 +63,69 @@ def test_enumeration_inside_values_stays(spark):
 def test_empty_table_repeats_and_other_columns(spark):
     assert P.unpack(rows(spark, [])).count() == 0
     twice = rows(spark, ["祝泽琛；庞慧珂"] * 1).union(rows(spark, ["祝泽琛；庞慧珂"])).selectExpr("*", "'x' as pos", "'y' as value")
-    assert P.unpack(twice).count() == 2  # without known types a text stays whole
+    assert P.unpack(twice).count() == 4
+
+
+def test_sources_in_which_every_row_is_packed(spark):
+    d = spark.createDataFrame([("a", i, f"{x}公司；{x}甲公司；丙{x}公司") for i, x in enumerate("东南西北")] + [("b", i, f"a{i}|b2|c{i}3") for i in range(5)] + [("c", i, f"{x}公司诉某人，并称合同无效、价款已付") for i, x in enumerate("东南西北")], "field string, id bigint, text string")
+    got = {}
+    for r in P.unpack(d).orderBy("field", "id", "pos").collect():
+        got.setdefault((r.field, r.id), []).append(r.value)
+    assert got["a", 0] == ["东公司", "东甲公司", "丙东公司"] and got["b", 4] == ["a4", "b2", "c43"]
+
+
+def unbounded(parts, types, kinds):
+    """All segmentations by the plain recurrence, without any short way."""
+    n, best = len(parts), [(0.0, 0)]
+    for end in range(1, n + 1):
+        found, text = (-math.inf, 0), ""
+        for begin in range(end - 1, -1, -1):
+            kind, gap, piece = parts[begin]
+            text = piece + text
+            quoted = P.bare(piece) != piece.strip() and begin == end - 1
+            score = 0.0 if P.piece_type(text) in types or quoted else -3.0
+            k = kinds.get(kind, 0.0)
+            score += 0.0 if not begin else 0.5 if quoted else 0.5 * k if k >= P.DELIMITER_SCORE else -3.0
+            if best[begin][0] + score > found[0] + 1e-9:
+                found = (best[begin][0] + score, begin)
+            text = gap + text
+        best.append(found)
+    return best[n][0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*VALUES, "甲公司", "诉称合同", "无效", "Foods Co.", "Ltd.", "（曾用名）", "之二", "祝泽琛案之三", "x1"]), min_size=1, max_size=9), st.lists(st.sampled_from(["、", "；", "|", ", ", "，", "和"]), min_size=9, max_size=9), st.sets(st.sampled_from(["name3", "hanzi-司", "latin2", "latin1", "hanzi-案", "hanzi-效"])))
+def test_best_segmentation_equals_the_plain_recurrence(values, marks, known):
+    parts = P.atoms("".join(v + m for v, m in zip(values, marks))[:-1])
+    types, kinds = dict.fromkeys(known, 0.3), {"enumeration": 0.6, "semicolon": 1.0, "bar": 1.0, "comma": 0.3, "conjunction": 0.01}
+    if not parts:
+        return
+    got = P.groups(parts, types, kinds)
+    # the value of what came out, by the same scores
+    flat, places, at = "", [], 0
+    for i, (_, g, p) in enumerate(parts):
+        flat += (g if i else "") + p
+        places.append(len(flat) - len(p))
+    score, seen = 0.0, 0
+    for v in got:
+        at = flat.index(v, at)
+        begin = max(i for i, x in enumerate(places) if x <= at)
+        end = at + len(v)
+        last = max(i for i, x in enumerate(places) if x < end)
+        piece = parts[begin][2]
+        quoted = P.bare(piece) != piece.strip() and begin == last
+        k = kinds.get(parts[begin][0], 0.0)
+        score += (0.0 if quoted or P.piece_type(v) in types else -3.0) + (0.0 if not begin else 0.5 if quoted else 0.5 * k if k >= P.DELIMITER_SCORE else -3.0)
+        at, seen = end, seen + 1
+    assert abs(score - unbounded(parts, types, kinds)) < 1e-6
+
+
+@pytest.mark.parametrize("text", ["(" * 100_000, "甲、" * 50_000, "甲乙丙丁戊己庚辛壬癸，" * 20_000, "a, b; " * 20_000, "“" * 50_000, "1、" * 50_000])
+def test_long_fields_take_time_in_proportion(text):
+    began = time.time()
+    for types in ({}, {"hanzi-癸": 0.1}, {"latin1": 0.2}):
+        P.groups(P.atoms(text) or [("start", "", "x")], types, KINDS)
+    assert time.time() - began < 30
 
 
 def test_very_long_fields():
