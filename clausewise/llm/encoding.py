@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +146,13 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     `key` and `text` are ignored.
     """
     path = path or vocabulary_path()
+    # executors that do not have the file at this place get it
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     rows = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path if os.path.exists(path) else SparkFiles.get(name))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             # a batch of long texts goes in parts, so that its ids stay small in memory

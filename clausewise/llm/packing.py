@@ -1,14 +1,13 @@
 """Filling containers of fixed capacity with documents, lexical neighbours together.
 
-Documents go to shards of bounded size.  In a shard, an inverted index with BM25 weights
-returns the unused neighbours of a seed document, which fill its container greedily as
-long as the rest can still be closed by some unused document; the best fitting ones close it.  What badly filled containers
+Documents go to shards of bounded size.  In a shard, an inverted index with BM25 weights over all tokens
+returns the unused neighbours of a seed document, which fill its container greedily, the likest first, as
+long as what is left can still be closed by another neighbour; if none can, the neighbour that fits best is taken.  What badly filled containers
 held is packed again in later rounds, in fewer shards.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,11 @@ from clausewise.llm.encoding import encoder, encode_corpus, vocabulary_path
 from clausewise.operators.durable import durable
 
 CAPACITY = 2048
-#: Containers' worth of tokens in a shard; with it, the size of the largest group is fixed.
-SHARD_CONTAINERS = 600
-#: Usual BM25 parameters; terms of a seed that are looked up, the heaviest first; neighbours looked at for one container.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 64
-#: Tokens that may stay empty when a neighbour is preferred to the best fitting document.
+#: Containers' worth of tokens in a shard, and texts; with them, the size of the largest group is fixed.
+SHARD_CONTAINERS, SHARD_TEXTS = 600, 10_000
+#: Usual BM25 parameters.
+K1, B = 1.2, 0.75
+#: Tokens that may stay empty when a neighbour is preferred to the best fitting one.
 SLACK = 8
 #: Containers emptier than this share are packed again; rounds of it.
 LOOSE, ROUNDS = 0.004, 3
@@ -55,77 +54,60 @@ def sized(documents: DataFrame, capacity: int) -> DataFrame:
     return ids.mapInArrow(run, ITEM)
 
 
-def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> np.ndarray:
-    """The container number of each item of one shard."""
+def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(container number, score) of each item of one shard; the score is that under the container's seed, null for the seed itself and 0 for an item that has no token of it."""
     n = len(items)
-    sizes = items["tokens"].to_numpy()
+    sizes = items["tokens"].to_numpy().astype(np.int64)
     terms = [np.asarray(t, dtype=np.int64) for t in items["terms"]]
-    counts = [np.asarray(c, dtype=np.float64) for c in items["counts"]]
     # the inverted index: postings sorted by term, each with its BM25 weight
-    lengths = np.array([len(t) for t in terms])
+    owner = np.repeat(np.arange(n), [len(t) for t in terms])
     flat = np.concatenate(terms) if n else np.empty(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), lengths)
-    tf = np.concatenate(counts) if n else np.empty(0)
+    tf = np.concatenate([np.asarray(c, dtype=np.float64) for c in items["counts"]]) if n else np.empty(0)
     weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))
     order = np.argsort(flat, kind="stable")
     flat, owner, weight = flat[order], owner[order], weight[order]
     starts = np.searchsorted(flat, np.arange(len(idf) + 1))
-    queries = [t[np.argsort(-idf[t] * np.minimum(c, 3), kind="stable")[:QUERY_TERMS]] for t, c in zip(terms, counts)]
 
-    container = np.full(n, -1, dtype=np.int64)
-    by_size = sorted((int(s), i) for i, s in enumerate(sizes))
+    container, points = np.full(n, -1, dtype=np.int64), np.full(n, np.nan)
     free = np.ones(n, dtype=bool)
-
-    def best_fit(room: int) -> int:
-        k = bisect_right(by_size, (room, n)) - 1
-        return k if k >= 0 else -1
-
-    def take(i: int, number: int) -> None:
-        by_size.pop(bisect_right(by_size, (int(sizes[i]), i)) - 1)
-        free[i] = False
-        container[i] = number
-
-    number = 0
     usual = int(np.median(sizes)) if n else 0
-    while by_size:
-        seed = by_size[-1][1]
-        take(seed, number)
-        room = capacity - int(sizes[seed])
-        if room and by_size and by_size[0][0] <= room:
-            score = np.zeros(n)
-            for t in queries[seed]:
+    number = 0
+    for seed in np.argsort(-sizes, kind="stable").tolist():
+        if not free[seed]:
+            continue
+        container[seed], free[seed], room = number, False, capacity - int(sizes[seed])
+        score = np.zeros(n)
+        if room and (free & (sizes <= room)).any():
+            for t in terms[seed].tolist():
                 a, b = starts[t], starts[t + 1]
                 score[owner[a:b]] += weight[a:b]
-            score[~free | (sizes > room)] = 0
-            near = np.argsort(-score, kind="stable")[:NEIGHBOURS]
-            for i in near[score[near] > 0]:
-                size = int(sizes[i])
-                if size > room:
-                    continue
-                # would what is left after this neighbour still be closed by an unused document, or is it room for several?
-                rest = room - size
-                if SLACK < rest < 2 * usual:
-                    insort_at = bisect_right(by_size, (size, i)) - 1
-                    entry = by_size.pop(insort_at)
-                    k = best_fit(rest)
-                    closed = k >= 0 and rest - by_size[k][0] <= SLACK
-                    insort(by_size, entry)
-                    if not closed:
-                        continue
-                take(i, number)
-                room = rest
-                if not by_size or room < by_size[0][0]:
+        near = np.flatnonzero(free & (score > 0))
+        near = near[np.argsort(-score[near], kind="stable")]
+        while room:
+            near = near[free[near] & (sizes[near] <= room)]
+            if len(near):
+                size = sizes[near]
+                left = room - size
+                # is what is left after a neighbour small, or room for several, or would another neighbour close it?
+                upto = np.cumsum(np.bincount(size, minlength=room + 1))
+                low = left - SLACK - 1
+                closing = upto[left] - np.where(low >= 0, upto[low.clip(0)], 0) - ((size <= left) & (size > low))
+                good = (left <= SLACK) | (left >= 2 * usual) | (closing > 0)
+                i = int(near[np.argmax(good) if good.any() else np.argmax(size)])
+            else:
+                others = np.flatnonzero(free & (sizes <= room))
+                if not len(others):
                     break
-            while by_size and (k := best_fit(room)) >= 0:
-                size, i = by_size[k]
-                take(i, number)
-                room -= size
+                i = int(others[np.argmax(sizes[others])])
+            container[i], free[i], points[i], room = number, False, score[i], room - int(sizes[i])
         number += 1
-    return container
+    return container, points
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, container, tokens): each document's container, or one row for each piece of a document over the capacity.
+    """(doc_id, piece, container, tokens, score): each document's container, or one row for each piece of a document over the capacity.
+
+    `score` is what the document got under its container's seed, null for the seed and for what fills a container by itself.
 
     No container holds more than `capacity` tokens and no document of up to `capacity` is split.
     Null and empty texts take no space: they are listed with 0 tokens, piece 0, in the container with the smallest name, or in 'none' if there is
@@ -144,15 +126,16 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     mean = max(1.0, total / max(1, n))
     shared = spark.sparkContext.broadcast(idf)
 
-    placed = items.where(F.col("tokens") == capacity).select("doc_id", "piece", F.format_string("full-%d-%d", "doc_id", "piece").alias("container"), "tokens")
+    placed = items.where(F.col("tokens") == capacity).select("doc_id", "piece", F.format_string("full-%d-%d", "doc_id", "piece").alias("container"), "tokens", F.lit(None).cast("double").alias("score"))
     for turn in range(ROUNDS):
-        shards = max(1, -(-total // (SHARD_CONTAINERS * capacity)))
+        shards = max(1, -(-total // (SHARD_CONTAINERS * capacity)), -(-n // SHARD_TEXTS))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            c = fill(pdf, shared.value, mean, capacity)
+            c, points = fill(pdf, shared.value, mean, capacity)
             used = np.bincount(c, weights=pdf["tokens"]) if len(c) else np.empty(0)
             out = pdf[["doc_id", "piece", "tokens", "terms", "counts"]].copy()
             out["container"] = [f"{turn}-{s}-{k}" for s, k in zip(pdf["shard"], c)]
+            out["score"] = points
             out["room"] = (capacity - used[c]).astype(np.int32)
             if turn < ROUNDS - 1:
                 tight = out["room"] <= LOOSE * capacity
@@ -160,15 +143,16 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             return out
 
         sharded = loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(shards)).cast("int"))
-        filled = durable(sharded.groupBy("shard").applyInPandas(one, f"{ITEM}, container string, room int"))
+        filled = durable(sharded.groupBy("shard").applyInPandas(one, f"{ITEM}, container string, score double, room int"))
         last = turn == ROUNDS - 1
         done = filled if last else filled.where(F.col("room") <= LOOSE * capacity)
-        placed = placed.unionByName(done.select("doc_id", "piece", "container", "tokens"))
+        placed = placed.unionByName(done.select("doc_id", "piece", "container", "tokens", F.nanvl("score", F.lit(None).cast("double")).alias("score")))
         if not last:
             loose = filled.where(F.col("room") > LOOSE * capacity).select("doc_id", "piece", "tokens", "terms", "counts")
-            total = loose.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+            size = loose.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).first()
+            n, total = size["n"], size["t"] or 0
             if not total:
                 break
     first = placed.agg(F.coalesce(F.min("container"), F.lit("none")).alias("container")).first()["container"]
-    nothing = documents.where(F.col("text").isNull() | (F.col("text") == "")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(first).alias("container"), F.lit(0).alias("tokens"))
+    nothing = documents.where(F.col("text").isNull() | (F.col("text") == "")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(first).alias("container"), F.lit(0).alias("tokens"), F.lit(None).cast("double").alias("score"))
     return placed.unionByName(nothing)

@@ -91,6 +91,6 @@ def test_neighbours_share_a_container():
         terms = np.unique(rng.integers(group * 50, group * 50 + 50, size=30))
         rows.append((i, 0, 50, terms, np.ones(len(terms))))
     items = pd.DataFrame(rows, columns=["doc_id", "piece", "tokens", "terms", "counts"])
-    c = packing.fill(items, np.ones(400), 50.0, 200)
+    c, points = packing.fill(items, np.ones(400), 50.0, 200)
     same = sum(len({i % 6 for i in np.flatnonzero(c == k)}) == 1 for k in set(c))
     assert np.bincount(c).max() <= 4 and same >= 20

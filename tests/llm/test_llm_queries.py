@@ -16,7 +16,7 @@ COLUMNS = {
     "p5_found": "field string, id bigint, kind string, value string",
     "p5_repaired": "field string, id bigint, text string",
     "p6_ids": "doc_id bigint, ids array<int>",
-    "p7_packed": "doc_id bigint, piece int, container string, tokens int",
+    "p7_packed": "doc_id bigint, piece int, container string, tokens int, score double",
     "p8_found": "doc_id bigint, span_start int, span_end int",
     "p8_share": "doc_id bigint, chars bigint, shared_chars bigint, share double",
 }
