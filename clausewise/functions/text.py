@@ -186,3 +186,53 @@ def similar(a: Column, b: Column) -> Column:
     x, y = comparison_form(a), comparison_form(b)
     short, long = F.least(F.char_length(x), F.char_length(y)), F.greatest(F.char_length(x), F.char_length(y))
     return (x != "") & (y != "") & ((x == y) | ((x.contains(y) | y.contains(x)) & (short >= long * 0.75)))
+
+
+def reference_tokens(c: Column, most: int = 8) -> Column:
+    """The first parts of a reference between marks and blanks, of two characters or more, in lower case."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[，。；、,.;:\\s]+"), lambda x: F.lower(stripped(x)))
+    return F.slice(F.filter(parts, lambda x: F.char_length(x) >= 2), 1, most)
+
+
+def section_label(no: Column, title: Column) -> Column:
+    """(no, title) of a section, the title without what it repeats of the number."""
+    n, t = collapsed(no), collapsed(title)
+    tight_n, tight_t = F.replace(n, F.lit(" "), F.lit("")), F.replace(t, F.lit(" "), F.lit(""))
+    rest = F.when((n == "") | (t == ""), t).when(tight_n == tight_t, "").when(tight_t.startswith(tight_n), F.trim(F.substring(t, F.char_length(n) + 1, F.char_length(t)))).when(tight_n.startswith(tight_t), "").otherwise(t)
+    return F.struct(n.alias("no"), rest.alias("title"))
+
+
+def page_of(page: Column, uri: Column, text: Column) -> Column:
+    """The page number of a hit: its own, else the one in its address, else the one that its text names; null if there is none."""
+    found = lambda c, pattern: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1), F.lit("")).cast("int")
+    return F.coalesce(F.nullif(page, F.lit(0)), found(uri, "[?&]page=(\\d{1,9})"), found(text, "第\\s*(\\d{1,9})\\s*页"))
+
+
+def first_digits(c: Column) -> Column:
+    """The first run of digits without leading zeros; '' if there is none."""
+    d = F.regexp_extract(F.coalesce(c, F.lit("")), "[0-9]+", 0)
+    return F.when(d == "", "").when(F.ltrim(d, F.lit("0")) == "", "0").otherwise(F.ltrim(d, F.lit("0")))
+
+
+def name_form(c: Column) -> Column:
+    """A name in lower case without blanks."""
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", ""))
+
+
+def int_list(c: Column) -> Column:
+    """The whole numbers of an array of strings, in order; what is none is left out."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+
+
+def relevance_weight(c: Column, keywords: list[str]) -> Column:
+    """0.6 and the share of keywords that a text holds of the other 0.4; 0.8 without keywords."""
+    if not keywords:
+        return F.lit(0.8)
+    hits = sum((F.coalesce(c, F.lit("")).contains(k).cast("int") for k in keywords[1:]), F.coalesce(c, F.lit("")).contains(keywords[0]).cast("int"))
+    return F.bround(F.least(F.lit(1.0), 0.6 + hits / len(keywords) * 0.4), 2)
+
+
+def query_text(question: Column, keywords: Column, most: int = 12) -> Column:
+    """A question and its first keywords in one line, each said once."""
+    parts = F.transform(F.concat(F.array(question), F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, most)), stripped)
+    return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), " ")

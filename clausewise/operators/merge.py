@@ -56,3 +56,31 @@ def numbered_after(rows: DataFrame, existing: DataFrame, number: str, order: lis
         at += sizes[p]
     offset = F.create_map(*[F.lit(x) for kv in (shift or {0: base}).items() for x in kv])
     return parts.withColumn(number, (F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33) + 1 + offset[F.col("_p")]).cast("bigint")).drop("_p", "_i")
+
+
+def matched(new: DataFrame, old: DataFrame, first: list[str], second: list[str], number: str = "id") -> DataFrame:
+    """`new` with `old_number` of the old row that has the same first key, else the same second one; the smallest of several; null if there is none.
+
+    A key with a null in it matches nothing.
+    """
+    out = new
+    for i, key in enumerate((first, second)):
+        out = out.join(old.groupBy(*key).agg(F.min(number).alias(f"_{i}")), key, "left")
+    return out.withColumn("old_number", F.coalesce("_0", "_1")).drop("_0", "_1")
+
+
+def numbered_in_groups(rows: DataFrame, existing: DataFrame, group: str, number: str, order: str) -> DataFrame:
+    """`rows` with `number` going on after the largest one of their group.
+
+    Rows are counted in ranges of groups and order, each shifted by the rows of its group before it, so no task sees a whole group.
+    """
+    from clausewise.operators.durable import durable
+
+    parts = durable(rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    base = existing.groupBy(F.col(group).alias("_h")).agg(F.max(number).alias("_base"))
+    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)))
+    told = inside.join(shifts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))).join(base, F.col(group).eqNullSafe(F.col("_h")), "left")
+    return told.withColumn(number, (F.col("_i") + F.col("_shift") + F.coalesce("_base", F.lit(0))).cast("bigint")).select(*rows.columns, number)

@@ -126,3 +126,28 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
     schema = T.StructType([T.StructField("_row", texts.schema), T.StructField("_part", T.ArrayType(T.StringType()))])
     met = left.withColumn("_block", F.col("_block").cast("int")).groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(find_in, schema)
     return met.select("_row.*", F.explode("_part").alias("_part")).join(terms, F.col("_part") == F.col(term)).drop("_part")
+
+
+def keyword_hits(terms: DataFrame, documents: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, score, rank): the n best chunks of active documents for the terms (query_id, term) in comparison form of each query.
+
+    Scores and ties are those of `keyword_top`. Each field's text is gone over once, whatever the number of queries and terms.
+    """
+    titled = active_documents(documents).select(F.col("id").alias("document_id"), "title")
+    c = chunks.join(titled, "document_id").where(X.comparison_form(F.col("content")) != "")
+    fields = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), X.comparison_form(F.col(f)).alias("form")) for f, w in FIELD_WEIGHTS.items()]))
+    long = c.select("id", "chunk_no", (F.char_length("content") <= 10).alias("short"), fields.alias("f")).select("id", "chunk_no", "short", "f.*")
+    met = containing(long, "form", terms.select("query_id", "term").distinct(), "term")
+    scored = met.groupBy("query_id", "id").agg(F.sum("weight").alias("s"), F.first("chunk_no").alias("chunk_no"), F.first("short").alias("short"))
+    scored = scored.withColumn("score", F.col("s") - F.when(F.col("short"), 6).otherwise(0)).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chunk_no"), F.desc("id"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+
+
+def type_scores(terms: DataFrame, types: DataFrame, n: int) -> DataFrame:
+    """(id, score): the n types (id, name, description) that the terms (term) fit best: 8 and up to 4 for a term in the name, 3 for one in the description; ties go to the larger id."""
+    name, said = X.comparison_form(F.col("name")), X.comparison_form(F.col("description"))
+    both = types.select("id", F.explode(F.array(F.struct(F.lit(True).alias("named"), name.alias("form")), F.struct(F.lit(False).alias("named"), said.alias("form")))).alias("f")).select("id", "f.*")
+    met = containing(both, "form", terms.select("term").distinct(), "term")
+    worth = F.when(F.col("named"), 8 + F.least(F.char_length("term"), F.lit(4))).otherwise(3)
+    return met.groupBy("id").agg(F.sum(worth).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(n)

@@ -15,22 +15,38 @@ def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(X.newline_form(F.col(text)), "\n")).alias("p", "line")).select(key, (F.col("p") + 1).alias("line_no"), "line")
 
 
+#: Places of a group's order that one task takes; a group may hold a large part of all rows.
+STRETCH = 4096
+
+
+def counted(rows: DataFrame, group: str, order: str, **flags: Column) -> DataFrame:
+    """`rows` with the count of each flag's rows of their group up to their place, as a column of the flag's name.
+
+    A group is counted in stretches of its order, each shifted by the counts of those before it, so no task sees a whole group.
+    """
+    told = rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH)).withColumns({f"_flag_{n}": F.coalesce(c, F.lit(False)).cast("int") for n, c in flags.items()})
+    before = Window.partitionBy(group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = told.groupBy(group, "_stretch").agg(*[F.sum(f"_flag_{n}").alias(f"_flag_{n}") for n in flags])
+    shifts = sizes.select(group, "_stretch", *[F.coalesce(F.sum(f"_flag_{n}").over(before), F.lit(0)).alias(f"_shift_{n}") for n in flags])
+    inside = Window.partitionBy(group, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = told.withColumns({n: F.sum(f"_flag_{n}").over(inside) for n in flags}).drop(*[f"_flag_{n}" for n in flags])
+    out = local.join(shifts, [group, "_stretch"]).withColumns({n: (F.col(n) + F.col(f"_shift_{n}")).cast("bigint") for n in flags})
+    return out.drop("_stretch", *[f"_shift_{n}" for n in flags])
+
+
 def articles(documents: DataFrame, key: str, text: str, at_least: int = 20) -> DataFrame:
     """(key, seq, clause_no, clause_title, clause_text): a text cut at the lines that begin with an article number.
 
     What stands before the first article is left out, and so are articles of fewer than `at_least` characters; a text without articles gives none.
     """
-    numbered = lines(documents, key, text)
-    starts = F.col("line").rlike(ARTICLE_LINE).cast("int")
-    w = Window.partitionBy(key).orderBy("line_no")
-    grouped = numbered.withColumn("part", F.sum(starts).over(w)).where("part > 0")
+    grouped = counted(lines(documents, key, text), key, "line_no", part=F.col("line").rlike(ARTICLE_LINE)).where("part > 0")
     whole = grouped.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     body = X.stripped(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
     head = F.col("ls")[0]["line"]
     no = F.regexp_extract(head, ARTICLE_LINE, 1)
     title = F.regexp_replace(F.regexp_extract(head, ARTICLE_LINE, 2), "^[ ：:;；\\t]+|[ ：:;；\\t]+$", "")
     out = whole.select(key, "part", no.alias("clause_no"), F.when(title == "", no).otherwise(F.substring(title, 1, 255)).alias("clause_title"), body.alias("clause_text"))
-    return out.where(F.char_length("clause_text") >= at_least).select(key, F.row_number().over(Window.partitionBy(key).orderBy("part")).alias("seq"), "clause_no", "clause_title", "clause_text")
+    return numbered_within(out.where(F.char_length("clause_text") >= at_least), key, "part", "seq", tie="part").select(key, "seq", "clause_no", "clause_title", "clause_text")
 
 
 def packed_paragraphs(documents: DataFrame, key: str, text: str, budget: int = 1200, at_least: int = 20) -> DataFrame:
@@ -55,10 +71,6 @@ def packed_paragraphs(documents: DataFrame, key: str, text: str, budget: int = 1
     return out.select(key, seq.alias("seq"), F.format_string("AUTO-%03d", seq).alias("clause_no"), F.when(first == "", F.concat(F.lit("自动条款"), seq.cast("string"))).otherwise(first).alias("clause_title"), "clause_text")
 
 
-#: Places of a group's order that one task takes; a group may hold a large part of all rows.
-STRETCH = 4096
-
-
 def nearest_before(rows: DataFrame, group: str, order: str, anchor: Column, value: Column, within: int) -> DataFrame:
     """`rows` with `nearest`: the value of the last earlier anchor row of the group, '' if there is none or it is more than `within` away.
 
@@ -75,13 +87,13 @@ def nearest_before(rows: DataFrame, group: str, order: str, anchor: Column, valu
     return near.withColumn("nearest", F.coalesce(found, F.lit(""))).drop("_last", "_anchor", "_part", "_copy")
 
 
-def numbered_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """`rows` with their number from 1 in their group by `order`, then id: counted in stretches, each shifted by the rows of those before it."""
+def numbered_within(rows: DataFrame, group: str, order: str, name: str, tie: str = "id") -> DataFrame:
+    """`rows` with their number from 1 in their group by `order`, then `tie`: counted in stretches, each shifted by the rows of those before it."""
     told = rows.withColumn("_part", F.floor(F.col(order) / STRETCH))
     sizes = told.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order, "id"))
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order, tie))
     return told.withColumn("_i", inside).join(shifts, [group, "_part"]).withColumn(name, (F.col("_i") + F.col("_shift")).cast("int")).drop("_part", "_i", "_shift")
 
 
@@ -126,22 +138,81 @@ def chunks_of_lines(numbered: DataFrame, key: str) -> DataFrame:
     A chapter line opens a section, an article line a chunk whose text begins after its number; other lines go
     on with what is open. What stands before the first chapter or article counts only if there is neither. Empty chunks are left out.
     """
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     chapter = X.numeral_value(F.regexp_extract("line", f"^\\s*第\\s*([{X.NUMERAL}]+)\\s*章", 1))
     article = X.numeral_value(F.regexp_extract("line", f"^\\s*第\\s*([{X.NUMERAL}]+)\\s*条", 1))
     rest = F.regexp_replace("line", f"^\\s*第\\s*[{X.NUMERAL}]+\\s*条[\\s　]*", "")
     told = numbered.withColumn("c", F.when(chapter > 0, chapter)).withColumn("a", F.when(article > 0, article))
-    opens = F.col("c").isNotNull() | F.col("a").isNotNull()
-    told = told.withColumn("part", F.sum(opens.cast("int")).over(w)).withColumn("section", F.last("c", ignorenulls=True).over(w)).withColumn("any", F.max(opens.cast("int")).over(Window.partitionBy(key)))
     body = F.when(F.col("c").isNotNull(), "").when(F.col("a").isNotNull(), rest).otherwise(F.col("line"))
-    told = told.where((F.col("part") > 0) | (F.col("any") == 0)).withColumn("body", X.stripped(body))
-    parts = told.groupBy(key, "part").agg(
-        F.max("section").alias("section"),
-        F.max("a").alias("article"),
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), lambda x: x != ""), "\n").alias("content"),
-    )
+    parts = opened_parts(told.withColumn("body", X.stripped(body)), key, {"article": F.max("a")})
     parts = parts.where(~X.is_empty_body(F.col("content")))
-    return parts.select(key, F.row_number().over(Window.partitionBy(key).orderBy("part")).alias("chunk_no"), F.coalesce(F.col("section"), F.lit(1)).cast("string").alias("section_no"), F.col("article").cast("string").alias("subsection_no"), "content")
+    return numbered_within(parts, key, "part", "chunk_no", tie="part").select(key, "chunk_no", F.coalesce(F.col("section"), F.lit(1)).cast("string").alias("section_no"), F.col("article").cast("string").alias("subsection_no"), "content")
+
+
+def opened_parts(told: DataFrame, key: str, more: dict[str, Column]) -> DataFrame:
+    """(key, part, section, content, more...) of lines (key, line_no, c, a, body) that a chapter `c` or an article `a` opens; those before the first count only if there is none."""
+    told = counted(told, key, "line_no", part=F.col("c").isNotNull() | F.col("a").isNotNull(), chapters=F.col("c").isNotNull())
+    chapters = told.where("c is not null").select(key, "chapters", F.col("c").alias("section"))
+    structured = told.where("part > 0").select(key).distinct().withColumn("_any", F.lit(True))
+    kept = told.join(structured, key, "left").where("part > 0 or _any is null")
+    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), lambda x: x != ""), "\n")
+    parts = kept.groupBy(key, "part").agg(F.max("chapters").alias("chapters"), text.alias("content"), *[c.alias(n) for n, c in more.items()])
+    return parts.join(chapters, [key, "chapters"], "left").drop("chapters")
+
+
+def is_title_line(line: Column, title: Column) -> Column:
+    """Whether a line repeats its document's title, whole or for the most part; a chapter's or article's heading never does."""
+    x, t = X.comparison_form(line), X.comparison_form(title)
+    heading = line.rlike(f"^第\\s*[{X.NUMERAL}]+\\s*[章条]")
+    return ~heading & (x != "") & (t != "") & ((x == t) | ((F.char_length(x) >= 6) & (t.contains(x) | x.contains(t))))
+
+
+def chunk_confidence(confidence: Column, section: Column, subsection: Column, content: Column) -> Column:
+    """How sure a chunk is: that of its lines, less without a section, with an article's number in the text, or without a text; from 0 to 1."""
+    less = F.when(X.first_digits(section) == "", 0.35).otherwise(0.0) + F.when((X.first_digits(subsection) == "") & content.rlike(f"^第\\s*[{X.NUMERAL}]+\\s*条"), 0.25).otherwise(0.0) + F.when(X.is_empty_body(content), 0.45).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.7)) - less))
+
+
+def page_chunks(lines_of_pages: DataFrame, key: str) -> DataFrame:
+    """(key, chunk_no, section_no, section_title, subsection_no, subsection_title, content, page_no, confidence) of lines (key, title, page_no, line_no, line) in order.
+
+    As `chunks_of_lines`; lines that repeat the document's title are left out, a chunk is on the page of its first line and as sure as its least sure one.
+    """
+    line = X.collapsed(F.col("line"))
+    number = lambda kind: X.numeral_value(F.regexp_extract("line", f"^第\\s*([{X.NUMERAL}]+)\\s*{kind}", 1))
+    rest = lambda kind: X.stripped(F.regexp_replace("line", f"^第\\s*[{X.NUMERAL}]+\\s*{kind}[：:\\s、．.]*", ""))
+    told = lines_of_pages.withColumn("line", line).where("line <> ''").withColumn("c", F.when(number("章") > 0, number("章"))).withColumn("a", F.when(F.col("c").isNull() & (number("条") > 0), number("条")))
+    # a heading in brackets at the head of an article is no part of it
+    said = F.regexp_replace(rest("条"), "^[（(【\\[《][^）)】\\]》]{1,24}[）)】\\]》][：:、，,\\s]*", "")
+    body = F.when(F.col("c").isNotNull(), "").when(F.col("a").isNotNull(), F.when(is_title_line(said, F.col("title")), "").otherwise(said)).when(is_title_line(F.col("line"), F.col("title")), "").otherwise(F.col("line"))
+    told = told.withColumn("body", body).withColumn("tail", F.when(F.col("c").isNotNull(), rest("章")))
+    tails = counted(told, key, "line_no", chapters=F.col("c").isNotNull()).where("c is not null").select(key, F.col("chapters").alias("_nth"), "tail")
+    counted_lines = counted(told, key, "line_no", before=F.col("c").isNotNull() | F.col("a").isNotNull()).withColumn("sure", F.when(F.col("body") == "", F.lit(None)).when(F.col("a").isNotNull(), 0.92).when(F.col("before") == 0, 0.84).otherwise(0.88)).drop("before")
+    whole = {"article": F.max("a"), "page": F.min_by("page_no", F.when(F.col("body") != "", F.col("line_no"))), "sure": F.min("sure"), "_nth": F.max("chapters")}
+    parts = opened_parts(counted_lines, key, whole).where(~X.is_empty_body(F.col("content"))).join(tails, [key, "_nth"], "left")
+    section = F.coalesce(F.col("section"), F.lit(1).cast("bigint"))
+    title = F.concat(F.lit("第"), X.numeral_text(section), F.lit("章"), F.when(F.coalesce("tail", F.lit("")) != "", F.concat(F.lit(" "), F.col("tail"))).otherwise(""))
+    sub = F.col("article").cast("string")
+    out = numbered_within(parts, key, "part", "chunk_no", tie="part").select(
+        key, "chunk_no", section.cast("string").alias("section_no"), title.alias("section_title"), sub.alias("subsection_no"),
+        F.when(F.col("article").isNotNull(), F.concat(F.lit("第"), X.numeral_text(F.col("article")), F.lit("条"))).alias("subsection_title"), X.collapsed(F.col("content")).alias("content"), F.col("page").alias("page_no"), "sure",
+    )
+    return out.withColumn("confidence", F.round(chunk_confidence(F.col("sure"), F.col("section_no"), F.col("subsection_no"), F.col("content")), 2)).drop("sure")
+
+
+def backfilled_parents(chunks: DataFrame, article: Column, item: Column, name: Column, within: int = 24) -> DataFrame:
+    """(id, parent) of the item rows without a parent of their own, from the last article row up to `within` places before them in their document.
+
+    This is the dry run; `with_parents_filled` puts them in.
+    """
+    near = nearest_before(chunks, "document_id", "chunk_no", article, name, within)
+    own = X.parent_section(F.col("section_no"), F.col("subsection_no"))
+    return near.where(item & ~F.coalesce(article, F.lit(False)) & (own == "") & (F.col("nearest") != "")).select("id", F.col("nearest").alias("parent"))
+
+
+def with_parents_filled(chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """`chunks` with `parent_section`: their own, else the one found for them."""
+    own = X.parent_section(F.col("section_no"), F.col("subsection_no"))
+    return chunks.join(parents, "id", "left").withColumn("parent_section", F.when(own != "", own).otherwise(F.coalesce("parent", F.lit("")))).drop("parent")
 
 
 ARTICLE = "^第[\\u4e00-\\u9fa5\\d]+条$"

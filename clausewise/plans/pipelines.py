@@ -10,7 +10,8 @@ from clausewise.operators import merge, sections
 
 CATEGORY_WORDS = [("speech", ("讲话", "发言", "致辞", "演讲", "speech")), ("case", ("案例", "判决", "裁定", "裁判", "审判", "case", "judgment"))]
 NOISE = "HTTP ERROR|502 Bad Gateway|404 Not Found"
-MOST_CLAUSES = 80
+#: What `fingerprint` gives.
+FINGERPRINT = "n bigint, max_id bigint, max_created string"
 
 
 def source_rows(documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +28,41 @@ def source_rows(documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, D
     return new, counts
 
 
-def clauses(sources: DataFrame) -> DataFrame:
-    """(id, seq, clause_no, clause_title, clause_text, content_hash) of each source document: its articles, else its paragraphs packed, up to 80, of 20 characters or more."""
+def clauses(sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, seq, clause_no, clause_title, clause_text, content_hash) of each source document: its articles, else its paragraphs packed, of 20 characters or more; the first `most` only if that is given."""
     art = sections.articles(sources, "id", "content_text")
     rest = sources.join(art.select("id").distinct(), "id", "left_anti")
-    both = art.unionByName(sections.packed_paragraphs(rest, "id", "content_text")).where((F.col("seq") <= MOST_CLAUSES) & (F.char_length("clause_text") >= 20))
+    both = art.unionByName(sections.packed_paragraphs(rest, "id", "content_text")).where(F.char_length("clause_text") >= 20)
+    if most is not None:
+        both = both.where(F.col("seq") <= most)
     return both.withColumn("content_hash", F.sha2(F.concat_ws("|", "id", "clause_no", "clause_text"), 256))
 
 
+def merged_clauses(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The clauses (id, document_id, clause_no, clause_text, content_hash, action) after new ones came to old ones (without `action`).
+
+    A new clause whose hash is there changes nothing; one whose document and number are there takes the place of the first such; others are added.
+    Of new clauses with one document and number the first counts, and so does the first of those that meet one old clause. Old ones that nothing meets are 'absent'.
+    """
+    by_hash = old.where("content_hash is not null").groupBy("content_hash").agg(F.min("id").alias("same"))
+    by_number = old.groupBy("document_id", "clause_no").agg(F.min("id").alias("there"))
+    told = merge.first_of_each(new, ["document_id", "clause_no"], "id").join(by_hash, "content_hash", "left").join(by_number, ["document_id", "clause_no"], "left")
+    met = told.where("same is not null or there is not null").select(F.coalesce("same", "there").alias("old_id"), F.col("id").alias("new_id"), F.col("same").isNotNull().alias("kept"), F.col("clause_text").alias("new_text"), F.col("content_hash").alias("new_hash"))
+    met = merge.first_of_each(met, ["old_id"], "new_id")
+    action = F.when(F.col("kept").isNull(), "absent").when(F.col("kept"), "keep").otherwise("update")
+    pick = lambda n, o: F.when(F.col("kept") == F.lit(False), F.col(n)).otherwise(F.col(o)).alias(o)
+    after = old.join(met, old["id"] == met["old_id"], "left").select("id", "document_id", "clause_no", pick("new_text", "clause_text"), pick("new_hash", "content_hash"), action.alias("action"))
+    added = told.where("same is null and there is null").select("id", "document_id", "clause_no", "clause_text", "content_hash", F.lit("insert").alias("action"))
+    return after.unionByName(added)
+
+
+def indexed(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with `is_indexed` set, the index with what was not indexed before, its `place` going on after the largest one), of (id, is_indexed, vector) and (id, place, vector)."""
+    new = rows.where("not coalesce(is_indexed, false)").select("id", "vector")
+    more = merge.numbered_after(new, index, "place", ["id"]).select("id", "place", "vector")
+    return rows.withColumn("is_indexed", F.lit(True)), index.select("id", "place", "vector").unionByName(more)
+
+
 def clause_actions(new: DataFrame, old: DataFrame) -> DataFrame:
     """(id, clause_no, action): keep a clause whose hash is there, update one whose number is, else insert it; the first of a number counts."""
     first = merge.first_of_each(new, ["id", "clause_no"], "seq")

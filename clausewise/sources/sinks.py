@@ -76,3 +76,16 @@ def drop_table(spark: SparkSession, name: str, confirmation: str) -> bool:
 def write_reports(reports: DataFrame, path: str) -> None:
     """One text row for each (report)."""
     reports.select("report").write.mode("overwrite").text(path, lineSep="\n\n---\n\n")
+
+
+def truncate_table(spark: SparkSession, name: str, confirmation: str) -> bool:
+    """Empties a table if the confirmation repeats its name; says whether it did."""
+    if confirmation != name:
+        return False
+    spark.sql(f"TRUNCATE TABLE {name}")
+    return True
+
+
+def evolved(spark: SparkSession, path: str, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """The table at `path` with the columns of all its files, null where a file is older than a column, and without the dropped ones."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(*dropped)

@@ -40,7 +40,7 @@ def test_expressions(spark):
     assert one(spark, "什么 供应商准入 第三条", search.query_terms)[1:] == ["供应商准入", "第三条"]
     assert one(spark, "采购办法第二章讲讲", search.asks_overview) and not one(spark, "第二条有哪些内容", search.asks_overview) and not one(spark, "采购流程", search.asks_overview)
     d = spark.createDataFrame([("采购部门负责组织采购", 1.0), ("协助采购部门", -0.10), ("其他", -0.5)], "t string, r double")
-    assert [abs(r.s - r.r) < 1e-9 for r in d.select("r", search.role_score(F.col("t"), F.lit("采购部门"), F.lit(True)).alias("s")).collect()] == [True] * 3
+    assert [abs(r.s - r.r) < 1e-9 for r in d.select("r", search.role_score(F.col("t"), F.array(F.lit("采购部门")), F.lit(True)).alias("s")).collect()] == [True] * 3
 
 
 def test_pipelines(spark):
