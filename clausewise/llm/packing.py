@@ -68,6 +68,7 @@ def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> tu
     flat, owner, weight = flat[order], owner[order], weight[order]
     starts = np.searchsorted(flat, np.arange(len(idf) + 1))
 
+    indexed = n
     container, points = np.full(n, -1, dtype=np.int64), np.full(n, np.nan)
     free = np.ones(n, dtype=bool)
     usual = int(np.median(sizes)) if n else 0
@@ -78,9 +79,13 @@ def fill(items: pd.DataFrame, idf: np.ndarray, mean: float, capacity: int) -> tu
         container[seed], free[seed], room = number, False, capacity - int(sizes[seed])
         score = np.zeros(n)
         if room and (free & (sizes <= room)).any():
-            for t in terms[seed].tolist():
-                a, b = starts[t], starts[t + 1]
-                score[owner[a:b]] += weight[a:b]
+            if free.sum() < indexed / 2:
+                # what is placed leaves the index
+                kept = free[owner]
+                flat, owner, weight, indexed = flat[kept], owner[kept], weight[kept], int(free.sum())
+                starts = np.searchsorted(flat, np.arange(len(idf) + 1))
+            spans = [slice(a, b) for a, b in zip(starts[terms[seed]].tolist(), starts[terms[seed] + 1].tolist())]
+            score = np.bincount(np.concatenate([owner[x] for x in spans]), weights=np.concatenate([weight[x] for x in spans]), minlength=n)
         near = np.flatnonzero(free & (score > 0))
         near = near[np.argsort(-score[near], kind="stable")]
         while room:
