@@ -27,3 +27,20 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         if after.where("class <> new").isEmpty():
             return labels
     raise RuntimeError("the links form a longer chain than expected")
+
+
+def descendants(roots: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(root, node, depth): all that the edges (parent, child) reach from the nodes (root, node), with their distance; the roots have depth 0.
+
+    One join for each level; lineage is cut each time. A node that several ways lead to stands as often as in the recursion. Raises if
+    `most_rounds` do not suffice, as in a circle.
+    """
+    level = durable(roots.select("root", "node", F.lit(0).alias("depth")))
+    found = level
+    for depth in range(1, most_rounds + 1):
+        below = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
+        level = durable(below)
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+    raise RuntimeError("the hierarchy is deeper than expected, or goes in a circle")

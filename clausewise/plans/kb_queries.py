@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausewise.functions import questions as Q
 from clausewise.functions import text as X
 from clausewise.operators import merge, retrieval, sections
+from clausewise.operators.components import descendants
 from clausewise.operators.durable import durable, ensure_checkpoint_dir
 from clausewise.operators.vectors import vector_top
 from clausewise.plans import answers, pipelines, search
@@ -181,10 +182,21 @@ def packed_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("id", "seq", "clause_no", "clause_title", F.sha2("clause_text", 256).alias("clause_hash"))
 
 
-@query("SELECT id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_no, id) AS INTEGER) AS chunk_no FROM kb_chunk")
+_CUT = "regexp_matches(coalesce(subsection_title, ''), '^第[一二三四五六七八九十百]+条$') AND length(content) >= 20"
+
+
+@query(f"""
+WITH t AS (SELECT *, length(content) // 2 AS half FROM kb_chunk)
+SELECT id * 2 AS id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_no, id) AS INTEGER) AS chunk_no, sha256(CASE WHEN {_CUT} THEN {_squeezed('content[1:half]')} || {_squeezed('content[half + 1:]')} ELSE content END) AS content_hash FROM t""")
 def wrap_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks with continuation rows joined and numbered anew (these data have none, so all stay)."""
-    return sections.merged_wraps(table(spark, folder, "kb_chunk")).select("id", "chunk_no")
+    """Chunks whose articles were cut in two, the second half as a continuation row behind the first: joined and numbered anew."""
+    c = table(spark, folder, "kb_chunk").withColumn("half", F.expr("length(content) div 2").cast("int"))
+    cut = F.coalesce(F.col("subsection_title").rlike("^第[一二三四五六七八九十百]+条$") & (F.char_length("content") >= 20), F.lit(False))
+    whole = c.select("*", F.when(cut, F.col("subsection_title")).alias("article"))
+    part = lambda rows, at, section, content: rows.select((F.col("id") * 2 + at).alias("id"), "document_id", (F.col("chunk_no") * 2 + at).alias("chunk_no"), section.alias("section_no"), F.when(F.col("article").isNull(), F.col("section_title")).alias("section_title"), F.lit(None).cast("string").alias("subsection_no"), F.lit(None).cast("string").alias("subsection_title"), content.alias("content"))
+    first = part(whole, 0, F.col("article"), F.when(F.col("article").isNull(), F.col("content")).otherwise(F.substring(F.col("content"), F.lit(1), F.col("half"))))
+    second = part(whole.where("article is not null"), 1, F.concat("article", F.lit(".p1")), F.substring(F.col("content"), F.col("half") + 1, F.char_length("content")))
+    return sections.merged_wraps(first.unionByName(second)).select("id", "chunk_no", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("""
@@ -441,12 +453,12 @@ WITH RECURSIVE edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey
 tree AS (SELECT r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT tree.root, edges.child, tree.depth + 1 FROM tree JOIN edges ON edges.parent = tree.node)
 SELECT root, CAST(depth AS INTEGER) AS depth, count(*) AS nodes FROM tree GROUP BY root, depth""")
 def type_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes below each root of a hierarchy, level by level."""
+    """Nodes below each root of a hierarchy, level by level, however many there are."""
     r, n, s = (table(spark, folder, t) for t in ("region", "nation", "supplier"))
-    level1 = r.join(n, r["r_regionkey"] == n["n_regionkey"]).select(F.col("r_regionkey").alias("root"), "n_nationkey")
-    level2 = level1.join(s, level1["n_nationkey"] == s["s_nationkey"])
-    levels = r.select(F.col("r_regionkey").alias("root"), F.lit(0).alias("depth")).unionAll(level1.select("root", F.lit(1).alias("depth"))).unionAll(level2.select("root", F.lit(2).alias("depth")))
-    return levels.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+    edge = lambda d, a, up, b, down: d.select(F.concat(F.lit(a), F.col(up).cast("string")).alias("parent"), F.concat(F.lit(b), F.col(down).cast("string")).alias("child"))
+    edges = edge(n, "r", "n_regionkey", "n", "n_nationkey").unionByName(edge(s, "n", "s_nationkey", "s", "s_suppkey"))
+    roots = r.select(F.col("r_regionkey").alias("root"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return descendants(roots, edges).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(f"SELECT DISTINCT sha256(content_text) AS content_hash, CAST(length({_CLEAN}) AS INTEGER) AS n_chars FROM biz_source_documents WHERE length({_CLEAN}) >= 30 AND NOT regexp_matches(content_text, '{pipelines.NOISE}')")
