@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewise.operators.durable import durable
+
 
 def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key by `order`."""
@@ -44,18 +46,17 @@ def merged(new: DataFrame, old: DataFrame, key: list[str], keep_if_empty: tuple[
 def numbered_after(rows: DataFrame, existing: DataFrame, number: str, order: list[str]) -> DataFrame:
     """`rows` with `number` going on after the largest one there is.
 
-    Numbers are counted per partition and shifted by the partitions before it, so no task sees all rows; the counts of the
-    partitions go to the driver, one number for each.
+    Rows are counted in ranges of the order and shifted by the ranges before theirs, so no task sees all rows; of the ranges, only
+    their sizes meet in one task.
     """
     base = existing.agg(F.coalesce(F.max(number), F.lit(0)).cast("bigint").alias("m")).first()["m"]
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shift, at = {}, base
-    for p in sorted(sizes):
-        shift[p] = at
-        at += sizes[p]
-    offset = F.create_map(*[F.lit(x) for kv in (shift or {0: base}).items() for x in kv])
-    return parts.withColumn(number, (F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33) + 1 + offset[F.col("_p")]).cast("bigint")).drop("_p", "_i")
+    parts = durable(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # one row for each range
+    told = inside.join(F.broadcast(shifts), "_p")
+    return told.withColumn(number, (F.col("_i") + F.col("_shift") + base).cast("bigint")).drop("_p", "_i", "_shift")
 
 
 def matched(new: DataFrame, old: DataFrame, first: list[str], second: list[str], number: str = "id") -> DataFrame:
@@ -74,8 +75,6 @@ def numbered_in_groups(rows: DataFrame, existing: DataFrame, group: str, number:
 
     Rows are counted in ranges of groups and order, each shifted by the rows of its group before it, so no task sees a whole group.
     """
-    from clausewise.operators.durable import durable
-
     parts = durable(rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -215,8 +215,10 @@ def with_parents_filled(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     return chunks.join(parents, "id", "left").withColumn("parent_section", F.when(own != "", own).otherwise(F.coalesce("parent", F.lit("")))).drop("parent")
 
 
+#: An article's number, a list item's mark, what a text that announces a list holds, and what a continuing title opens with or holds (fixed values).
 ARTICLE = "^第[\\u4e00-\\u9fa5\\d]+条$"
 LIST_ITEM = "^(?:[（(][\\u4e00-\\u9fa5\\d]{1,4}[）)]|[\\u4e00-\\u9fa5\\d]{1,4}[.、])"
+LEADS, GOES_ON = "以下|如下|原则|要点|路径|程序|职责", "^用，|主要|履行|职责|[以如]下|^原则"
 
 
 def _list_item(section: Column) -> Column:
@@ -225,12 +227,12 @@ def _list_item(section: Column) -> Column:
 
 def _leads(text: Column) -> Column:
     """Whether a text announces what follows it."""
-    return (text != "") & (text.rlike("[：:]$") | ((F.char_length(text) <= 80) & text.rlike("以下|如下|原则|要点|路径|程序|职责")))
+    return (text != "") & (text.rlike("[：:]$") | ((F.char_length(text) <= 80) & text.rlike(LEADS)))
 
 
 def _goes_on(text: Column) -> Column:
     """Whether a title continues the chunk before it."""
-    return (text != "") & (F.char_length(text) <= 36) & text.rlike("^用，|主要|履行|职责|[以如]下|^原则")
+    return (text != "") & (F.char_length(text) <= 36) & text.rlike(GOES_ON)
 
 
 def effective_contents(chunks: DataFrame, titles_within: int = 6, items_within: int = 20, most: int = 12, budget: int = 1500) -> DataFrame:
