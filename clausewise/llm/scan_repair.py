@@ -606,9 +606,12 @@ def put_right(text: str, words: dict[str, str], shapes: dict[str, str], middles)
             new = "".join(DIGIT_LETTERS.get(c, c) if d == "9" else c for c, d in zip(t, r[len(a) :]))
         if new is not None and new != t:
             edits.append((place[m.start(2)], place[m.end(2) - 1] + 1, new))
-    for start, end, new in sorted(edits, reverse=True):
-        text = text[:start] + new + text[end:]
-    return text
+    out, at = [], 0
+    for start, end, new in sorted(edits):
+        if start >= at:
+            out += [text[at:start], new]
+            at = end
+    return "".join(out) + text[at:]
 
 
 class Repairs:
@@ -637,11 +640,7 @@ class Repairs:
         if "\n" in text:
             body = cleaned(text, title, whole)[0]
             text = paragraphs(mend_words(body, lambda joined, hyphened: cuts.get(f"{joined}\n{hyphened}", joined))[0], title)
-        flat = join_lines(plain(text))
-        low, forms = tokens(flat)
-        if self.middles(windows([flat])[0]).any() or not shapes.keys().isdisjoint(forms) or not words.keys().isdisjoint(map(str.lower, low)):
-            return put_right(text, words, shapes, self.middles)
-        return text
+        return put_right(text, words, shapes, self.middles) if words or shapes or len(self.numbers) else text
 
 
 def cut_words(texts: DataFrame) -> DataFrame:
@@ -662,15 +661,24 @@ def units_of(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worth = Sieve(shared.value)
         for batch in batches:
-            rows = []
+            rows, keys, bodies = [], [], []
             for field, key, text, title, whole in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text", "title", "whole"))):
-                text, cuts = mend_words(cleaned(text, title, whole)[0])
-                # the breaks that stay part words, but no windows
-                flat = join_lines(plain(paragraphs(text, title)))
-                words, shapes = tokens(flat)
-                codes = np.unique(windows([flat])[0])
-                units = {("c", "\n".join(x)) for x in cuts} | {("w", x.lower()) for x in words} | {("s", x) for x in shapes}
-                rows += [(field, key, *u) for u in units if worth[u]] + [(field, key, "t", window_text(c)) for c in codes[worth.windows(codes)].tolist()]
+                if "\n" in text:
+                    text, cuts = mend_words(cleaned(text, title, whole)[0])
+                    rows += [(field, key, *u) for u in {("c", "\n".join(x)) for x in cuts} if worth[u]]
+                    # the breaks that stay part words, but no windows
+                    text = paragraphs(text, title)
+                keys.append((field, key))
+                bodies.append(join_lines(plain(text)))
+            place = 0
+            for part in portions(bodies):
+                codes, owners = windows(part)
+                hit = worth.windows(codes)
+                rows += [(*keys[place + o], "t", window_text(c)) for c, o in set(zip(codes[hit].tolist(), owners[hit].tolist()))]
+                for k, text in enumerate(part):
+                    words, shapes = tokens(text)
+                    rows += [(*keys[place + k], *u) for u in {("w", x.lower()) for x in words} | {("s", x) for x in shapes} if worth[u]]
+                place += len(part)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["field", "id", "kind", "unit"])
 
     return texts.select("field", "id", "text", "title", "whole").mapInArrow(run, "field string, id bigint, kind string, unit string")
