@@ -14,8 +14,8 @@ NUMERAL = "一二三四五六七八九十百千万零〇两\\d"
 #: Values of numerals and of units in Chinese numbers (fixed values).
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10000}
-#: Texts that count as no content (fixed values).
-EMPTY_BODIES = (".", "。", "-", "…")
+#: Texts that count as no content, of chunks and of lines (fixed values).
+EMPTY_BODIES, EMPTY_LINES = (".", "。", "-", "…"), (".", "。", "-", "—")
 
 
 def stripped(c: Column) -> Column:
@@ -28,9 +28,14 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "))
 
 
-def comparison_form(c: Column) -> Column:
-    """Lower case, nothing but ideographs, a-z, 0-9 and underscores; null gives ''."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{HAN}a-z0-9_]+", "")
+def comparison_form(c: Column, kept: str = "_") -> Column:
+    """Lower case, nothing but ideographs, a-z, 0-9 and what else is kept; null gives ''."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{HAN}a-z0-9{kept}]+", "")
+
+
+def compact_form(c: Column) -> Column:
+    """Nothing but letters, digits and underscores of any script, in their own case; null gives ''."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\W", "")
 
 
 def shortened(c: Column, limit: int) -> Column:
@@ -53,10 +58,10 @@ def newline_form(c: Column) -> Column:
     return stripped(F.regexp_replace(s, "\\n{3,}", "\n\n"))
 
 
-def is_empty_body(c: Column) -> Column:
+def is_empty_body(c: Column, empty: tuple[str, ...] = EMPTY_BODIES) -> Column:
     """Whether a content says nothing."""
     s = stripped(c)
-    return (s == "") | s.isin(*EMPTY_BODIES)
+    return (s == "") | s.isin(*empty)
 
 
 def content_hash(c: Column) -> Column:

@@ -31,16 +31,23 @@ def merge_actions(new: DataFrame, old: DataFrame, key: list[str], compared: str)
     return n.join(o, key, "full").select(*key, action.alias("action"), "old_value", "new_value")
 
 
-def merged(new: DataFrame, old: DataFrame, key: list[str], keep_if_empty: tuple[str, ...] = ()) -> DataFrame:
+def merged(new: DataFrame, old: DataFrame, key: list[str], keep_if_empty: tuple[str, ...] = (), touched: str | None = None) -> DataFrame:
     """The table after the merge: old rows with the new values where there are some, and the new rows.
 
-    A column in `keep_if_empty` keeps its old value where the new one is null or empty. Both sides need the same columns.
+    A column in `keep_if_empty` keeps its old value where the new one is null or empty. Both sides need the same columns. `touched` is a
+    column that says when a row was last written: now, for rows that the new ones change.
     """
     cols = [c for c in old.columns if c not in key]
     o = old.select(*key, F.struct(*cols).alias("_o"))
     n = new.select(*key, F.struct(*cols).alias("_n"))
     pick = lambda c: F.when(F.col("_n").isNull(), F.col(f"_o.{c}")).when(F.lit(c in keep_if_empty) & F.coalesce(F.col(f"_n.{c}").cast("string") == "", F.lit(True)), F.col(f"_o.{c}")).otherwise(F.col(f"_n.{c}"))
-    return o.join(n, key, "full").select(*key, *[pick(c).alias(c) for c in cols])
+    after = o.join(n, key, "full").select(*key, *[pick(c).alias(c) for c in cols], "_o", "_n")
+    if touched is not None:
+        rest = [c for c in cols if c != touched]
+        old_rest = F.struct(*[F.col(f"_o.{c}").alias(c) for c in rest])
+        same = F.col("_n").isNull() | (F.col("_o").isNotNull() & old_rest.eqNullSafe(F.struct(*rest)))
+        after = after.withColumn(touched, F.when(same, F.col(f"_o.{touched}")).otherwise(F.current_timestamp().cast(dict(old.dtypes)[touched])))
+    return after.drop("_o", "_n")
 
 
 def numbered_after(rows: DataFrame, existing: DataFrame, number: str, order: list[str]) -> DataFrame:

@@ -225,7 +225,7 @@ def _list_item(section: Column) -> Column:
     return (section != "") & F.regexp_replace(section, "\\.[ps].*$", "").rlike(LIST_ITEM)
 
 
-def _leads(text: Column) -> Column:
+def leads(text: Column) -> Column:
     """Whether a text announces what follows it."""
     return (text != "") & (text.rlike("[：:]$") | ((F.char_length(text) <= 80) & text.rlike(LEADS)))
 
@@ -253,7 +253,7 @@ def effective_contents(chunks: DataFrame, titles_within: int = 6, items_within:
     )
     empty = X.is_empty_body(F.col("own"))
     article = F.col("sec").rlike(ARTICLE)
-    may = rows.where(~empty & (article | _leads(F.col("text"))))
+    may = rows.where(~empty & (article | leads(F.col("text"))))
     behind = rows.select("document_id", F.col("chunk_no").alias("at"), F.struct("chunk_no", "sec", "parent", "title", "text", "heading").alias("row"))
     reach = may.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(items_within)), lambda k: F.col("chunk_no") + k)))
     met = reach.join(behind, ["document_id", "at"]).groupBy("id", "document_id", "chunk_no", "sec", "own", "text").agg(F.array_sort(F.collect_list("row")).alias("next"))
@@ -291,7 +291,7 @@ def effective_contents(chunks: DataFrame, titles_within: int = 6, items_within:
             .otherwise(more)
         )
 
-    listed = F.when(_leads(X.collapsed(F.col("lead"))), F.aggregate("next", items, item_step)["parts"]).otherwise(F.array().cast("array<string>"))
+    listed = F.when(leads(X.collapsed(F.col("lead"))), F.aggregate("next", items, item_step)["parts"]).otherwise(F.array().cast("array<string>"))
     different = F.aggregate(
         listed,
         F.struct(F.array().cast("array<string>").alias("parts"), F.array(X.comparison_form(F.col("lead"))).alias("norms")),

@@ -17,7 +17,9 @@ def distinct_hits(hits: DataFrame, most: int = MOST) -> DataFrame:
 
     A question has few hits, so one row holds them; their order is that of `rank`.
     """
-    row = F.struct("document_id", F.coalesce("clause_no", F.lit("")).alias("clause_no"), "id", F.coalesce("text", F.lit("")).alias("text"), X.comparison_form(F.col("text")).alias("form"))
+    # a section's title counts, where hits come with it
+    titled = F.when(X.stripped(F.col("title")) != "", 2).otherwise(0) if "title" in hits.columns else F.lit(0)
+    row = F.struct("document_id", F.coalesce("clause_no", F.lit("")).alias("clause_no"), "id", F.coalesce("text", F.lit("")).alias("text"), X.comparison_form(F.col("text")).alias("form"), titled.alias("titled"))
     of = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).alias("all"))
     rows = F.transform("all", lambda x: x["row"])
 
@@ -28,7 +30,7 @@ def distinct_hits(hits: DataFrame, most: int = MOST) -> DataFrame:
         return a["document_id"].eqNullSafe(b["document_id"]) & (text | family)
 
     def worth(r):
-        return X.depth(r["clause_no"]) * 10 + F.least(F.char_length(r["form"]), F.lit(400)) / 100.0
+        return X.depth(r["clause_no"]) * 10 + r["titled"] + F.least(F.char_length(r["form"]), F.lit(400)) / 100.0
 
     def step(kept, r):
         first = F.array_position(F.transform(kept, lambda k: same(r, k)), True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import text as X
 from clausewise.operators import merge, retrieval, sections
-from clausewise.plans import pipelines
+from clausewise.plans import pipelines, search
 from clausewise.plans.kb_queries import _LINES, _PARENT, KEYWORDS, TOPICS, _cmp, _squeezed
 from clausewise.sources.tables import table
 
@@ -214,6 +214,21 @@ def chunk_expressions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT id, sha256(regexp_replace(lower(coalesce(content, '')), '[^\\x{{4e00}}-\\x{{9fff}}a-z0-9]+', '', 'g')) AS line_form, trim(coalesce(content, '')) IN ('', '.', '。', '-', '—') AS empty_line,
+  coalesce(regexp_matches(subsection_title, '^第[\\x{{4e00}}-\\x{{9fa5}}\\d]+条$'), false) AS article, regexp_matches(coalesce(content, ''), '^(?:[（(][\\x{{4e00}}-\\x{{9fa5}}\\d]{{1,4}}[）)]|[\\x{{4e00}}-\\x{{9fa5}}\\d]{{1,4}}[.、])') AS item,
+  {_squeezed('content')} <> '' AND (regexp_matches({_squeezed('content')}, '[：:]$') OR (length({_squeezed('content')}) <= 80 AND regexp_matches({_squeezed('content')}, '以下|如下|原则|要点|路径|程序|职责'))) AS leads,
+  regexp_matches({_cmp('content')}, '职责|履行|负责|主要负责|主要履行|原则|遵循') AS duty, coalesce('CT' || strftime(created_at, '%Y%m%d%H%M%S%f'), '') AS stamp FROM kb_chunk""")
+def chunk_predicates(spark: SparkSession, folder: str) -> DataFrame:
+    """What kind of text a chunk has: its form as a line, whether it is empty, an article, a list item, announces a list or speaks of duties, and a number by its time."""
+    c = table(spark, folder, "kb_chunk")
+    stamp = F.concat(F.lit("CT"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS"))
+    return c.select(
+        "id", F.sha2(X.comparison_form(F.col("content"), ""), 256).alias("line_form"), X.is_empty_body(F.col("content"), X.EMPTY_LINES).alias("empty_line"),
+        F.coalesce(F.col("subsection_title").rlike(sections.ARTICLE), F.lit(False)).alias("article"), F.coalesce("content", F.lit("")).rlike(sections.LIST_ITEM).alias("item"),
+        sections.leads(X.collapsed(F.col("content"))).alias("leads"), search.asks_duty(X.comparison_form(F.col("content"))).alias("duty"), F.coalesce(stamp, F.lit("")).alias("stamp"),
+    )
+
+
 @query("SELECT id, to_json(struct_pack(id := id, document_id := document_id, section_no := section_no, page_no := page_no, created_at := strftime(created_at, '%Y-%m-%dT%H:%M:%S'))) AS payload FROM kb_chunk")
 def row_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Rows as JSON without their content, times in ISO form."""

@@ -20,6 +20,8 @@ from clausewise.plans.providers import embedded
 from clausewise.sources.sinks import exists
 
 TOP_K, EXPAND, MIN_SCORE, LEXICAL_WEIGHT, KEYWORD_N = 14, 5, 0.13, 0.35, 12
+#: Words of questions for duties or principles (fixed values).
+DUTY_TERMS = ("职责", "履行", "负责", "主要负责", "主要履行", "原则", "遵循")
 #: Roles, and the endings of what may be one (fixed values).
 ROLE_TERMS = ("经理层", "董事会", "党委", "党组", "业务及职能部门", "合规管理部门", "主要负责人", "首席合规官", "合规管理委员会", "纪检监察机构", "审计部门", "巡察部门", "监督追责部门")
 ROLE_ENDINGS = ("层", "会", "部门", "机构", "委员会", "负责人", "官")
@@ -40,6 +42,11 @@ def query_terms(question: Column, keywords: Column | None = None) -> Column:
     return F.slice(F.filter(terms, lambda t: (F.char_length(t) >= 2) & ~t.isin(*STOP_TERMS)), 1, 40)
 
 
+def asks_duty(asked: Column) -> Column:
+    """Whether a question in comparison form asks for duties or principles."""
+    return asked.rlike("|".join(DUTY_TERMS))
+
+
 def role_anchors(question: Column, keywords: Column | None = None) -> Column:
     """Up to 8 roles that a question and its first 8 keywords name, the longest first, without those inside longer ones."""
     seeds = F.array(F.coalesce(question, F.lit(""))) if keywords is None else F.concat(F.array(F.coalesce(question, F.lit(""))), F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 8))
@@ -161,8 +168,9 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, documents:
     d = d.withColumn("lexical", F.aggregate("terms", F.lit(0.0), lambda s, t: s + term(t))).withColumnRenamed("score", "vector_score")
     d = retrieval.hybrid(d, LEXICAL_WEIGHT)
     named = F.when(F.arrays_overlap("refs", "sub"), 0.5).when(F.arrays_overlap("refs", "sec"), 0.45).when(F.arrays_overlap("refs", "par"), 0.30).otherwise(0.0)
-    duty = F.col("asked").rlike("职责|履行|负责|原则|遵循")
-    d = d.withColumn("hybrid_score", F.col("hybrid_score") + named + role_score(F.concat("head", "body"), F.col("roles"), duty))
+    duty = asks_duty(F.col("asked"))
+    role = role_score(F.concat("head", "body"), F.col("roles"), duty) * F.when(duty & (F.size("roles") == 1), 1.2).otherwise(1.0)
+    d = d.withColumn("hybrid_score", F.col("hybrid_score") + named + role)
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.desc("vector_score"), "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "id", "hybrid_score", "stage", "rank")
 

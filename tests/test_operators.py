@@ -125,6 +125,9 @@ def test_merge(spark):
     got = {r.k: (r.v, r.d) for r in merge.merged(new, old, ["k"], ("d",)).collect()}
     assert got == {"a": ("1", "x"), "b": ("3", "n"), "c": (None, "z"), "d": ("4", "m")}
     assert merge.only_new(new, old, ["k"], "v").count() == 1
+    timed = [x.withColumn("at", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))) for x in (new, old)]
+    late = {r.k: r.at.year > 2024 for r in merge.merged(*timed, ["k"], ("d",), "at").collect()}
+    assert late == {"a": False, "b": True, "c": False, "d": True}
 
 
 def test_numbered_after(spark):
