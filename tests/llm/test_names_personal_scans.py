@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from clausewise.llm import name_variants as N
@@ -115,10 +116,10 @@ def test_scan_noise(spark):
     assert R.scan_noise(d.limit(0)).count() == 0
 
 
-def test_scan_noise_without_a_table_of_units(spark, monkeypatch):
+def test_scan_noise_behind_a_sieve_that_lets_all_pass(spark, monkeypatch):
     clean = "项目负责人应当限期整改。"
     d = spark.createDataFrame([("f", i, clean, None, False) for i in range(40)] + [("f", 99, "顶目负责人应当限期整改。", None, False)], "field string, id bigint, text string, title string, whole boolean")
-    monkeypatch.setattr(R, "TABLE_UNITS", 0)
+    monkeypatch.setattr(R, "sieve", lambda units: np.full(1 << (R.SIEVE - 6), (1 << 64) - 1, dtype=np.uint64))
     assert [tuple(r) for r in R.scan_noise(d).collect()] == [("f", 99, "misread", "")]
 
 
