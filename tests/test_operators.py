@@ -98,7 +98,7 @@ def test_containing(spark, monkeypatch, shard, block):
     assert got == [(1, "合同"), (1, "采购合同"), (4, "合同")]
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [2048, 4])
 def test_vector_top_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
