@@ -481,7 +481,7 @@ def effective_contents(spark: SparkSession, folder: str) -> DataFrame:
 def knowledge_search(spark: SparkSession, folder: str) -> DataFrame:
     """The best chunks for questions made of stored chunks' headings (ids divisible by 20), against all chunks."""
     documents, chunks = table(spark, folder, "kb_document"), table(spark, folder, "kb_chunk")
-    index = durable(search.index_vectors(chunks, documents))
+    index = search.index_vectors(chunks, documents)
     asked = chunks.where("id % 20 = 0 and content not in ('', '.')").select(F.col("id").alias("query_id"), F.concat_ws(" ", "section_title", "subsection_title", X.first_sentence(F.col("content"), 36)).alias("question"))
     found = search.search(asked, documents, chunks, index)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "stage", "rank")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +38,32 @@ def in_batches(rows: DataFrame, call: Callable[[list[str]], list], schema: str,
     return rows.mapInPandas(run, out)
 
 
-def hashed_ngrams(texts: list[str | None], size: int = 256, n: int = 3) -> list[list[float]]:
-    """Unit vectors of hashed character n-grams: the embedding without a model; blank texts have the zero vector."""
-    out = []
-    for t in texts:
-        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        v = np.zeros(size)
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, 2166136261, dtype=np.uint32)
-            for k in range(n):
-                h = (h ^ codes[k : k + len(h)]) * np.uint32(16777619)
-            v = np.bincount(h % size, weights=np.where(h >> 31, 1.0, -1.0), minlength=size)
-        norm = np.sqrt((v * v).sum())
-        out.append((v / norm if norm else v).tolist())
-    return out
+def ngram_matrix(texts: list[str | None], size: int = 256, n: int = 3) -> np.ndarray:
+    """A unit vector of hashed character n-grams for each text, all texts at once; blank texts have the zero vector."""
+    said = [t or "" for t in texts]
+    codes = np.frombuffer("".join(said).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(t) for t in said], dtype=np.int64)
+    owner, ends = np.repeat(np.arange(len(said)), lengths), np.repeat(np.cumsum(lengths), lengths)
+    at = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+    h = np.full(len(at), 2166136261, dtype=np.uint32)
+    for k in range(n):
+        h = (h ^ codes[at + k]) * np.uint32(16777619)
+    v = np.bincount(owner[at] * size + h % size, weights=np.where(h >> 31, 1.0, -1.0), minlength=len(said) * size).reshape(len(said), size)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1)
 
 
 def embedded(rows: DataFrame, text: str, call: Callable[[list[str]], list] | None = None) -> DataFrame:
     """`rows` with `vector`, by the given model or by hashed n-grams."""
-    return in_batches(rows, call or hashed_ngrams, "array<double>", text).withColumnRenamed("result", "vector")
+    if call:
+        return in_batches(rows, call, "array<double>", text).withColumnRenamed("result", "vector")
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = ngram_matrix(b.column(b.schema.get_field_index(text)).to_pylist())
+            yield b.append_column("vector", pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel()))
+
+    return rows.mapInArrow(embed, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, vector array<double>")
 
 
 def refined(chunks: DataFrame, confidence: str, call: Callable[[list[str]], list] | None, below: float = 0.72, most: int = 18) -> DataFrame:

@@ -20,6 +20,8 @@ from clausewise.plans.providers import embedded
 from clausewise.sources.sinks import exists
 
 TOP_K, EXPAND, MIN_SCORE, LEXICAL_WEIGHT, KEYWORD_N = 14, 5, 0.13, 0.35, 12
+#: Different section references that are sent to every task with their spellings; with more, each row spells out its own.
+REFS = 50_000
 #: Words of questions for duties or principles (fixed values).
 DUTY_TERMS = ("职责", "履行", "负责", "主要负责", "主要履行", "原则", "遵循")
 #: Roles, and the endings of what may be one (fixed values).
@@ -70,6 +72,17 @@ def ref_variants(ref: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (v != "")))
 
 
+def spelled(rows: DataFrame, chunks: DataFrame, names: list[str]) -> DataFrame:
+    """`rows` with the references in the columns `names`, all of which are in `chunks`, replaced by their spellings: different ones are few, so each is spelled out once."""
+    refs = durable(chunks.select(F.explode(F.array(*names)).alias("_ref")).distinct().select("_ref", ref_variants(F.col("_ref")).alias("_spelled")))
+    if refs.count() > REFS:
+        return rows.withColumns({n: ref_variants(F.col(n)) for n in names})
+    for n in names:
+        one = refs.select(F.col("_ref").alias(n), F.col("_spelled").alias(f"_{n}"))
+        rows = rows.join(F.broadcast(one), n).drop(n).withColumnRenamed(f"_{n}", n)
+    return rows
+
+
 def asks_overview(question: Column) -> Column:
     """Whether a question wants a chapter as a whole."""
     q = X.collapsed(question)
@@ -158,19 +171,19 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, documents:
         "id",
         joined("section_no", "section_title", "subsection_no", "subsection_title").alias("head"),
         joined("content", "title").alias("body"),
-        ref_variants(F.col("section_no")).alias("sec"),
-        ref_variants(F.coalesce("subsection_title", "subsection_no")).alias("sub"),
-        ref_variants(X.parent_section(F.col("section_no"), F.col("subsection_no"))).alias("par"),
+        F.coalesce("section_no", F.lit("")).alias("sec"),
+        F.coalesce("subsection_title", "subsection_no", F.lit("")).alias("sub"),
+        X.parent_section(F.col("section_no"), F.col("subsection_no")).alias("par"),
     )
     q = questions.select("query_id", query_terms(F.col("question"), _keywords(questions)).alias("terms"), role_anchors(F.col("question"), _keywords(questions)).alias("roles"), F.array_distinct(F.flatten(F.transform(X.section_refs(F.col("question")), ref_variants))).alias("refs"), X.comparison_form(X.query_text(F.col("question"), _keywords(questions))).alias("asked"))
-    d = hits.join(c, "id").join(q, "query_id")
+    d = spelled(hits.join(c, "id").join(q, "query_id"), c, ["sec", "sub", "par"])
     term = lambda t: F.when(F.col("head").contains(t), 3.2 + F.least(F.char_length(t), F.lit(4)) * 0.15).otherwise(0.0) + F.when(F.col("body").contains(t), 1.8 + F.least(F.char_length(t), F.lit(5)) * 0.1).otherwise(0.0)
-    d = d.withColumn("lexical", F.aggregate("terms", F.lit(0.0), lambda s, t: s + term(t))).withColumnRenamed("score", "vector_score")
-    d = retrieval.hybrid(d, LEXICAL_WEIGHT)
     named = F.when(F.arrays_overlap("refs", "sub"), 0.5).when(F.arrays_overlap("refs", "sec"), 0.45).when(F.arrays_overlap("refs", "par"), 0.30).otherwise(0.0)
     duty = asks_duty(F.col("asked"))
-    role = role_score(F.concat("head", "body"), F.col("roles"), duty) * F.when(duty & (F.size("roles") == 1), 1.2).otherwise(1.0)
-    d = d.withColumn("hybrid_score", F.col("hybrid_score") + named + role)
+    role = role_score(F.col("said"), F.col("roles"), duty) * F.when(duty & (F.size("roles") == 1), 1.2).otherwise(1.0)
+    # scored where the texts are: behind the window it would have to send them about
+    d = d.withColumn("said", F.concat("head", "body")).select("query_id", "id", "stage", F.col("score").alias("vector_score"), F.aggregate("terms", F.lit(0.0), lambda s, t: s + term(t)).alias("lexical"), named.alias("named"), role.alias("role"))
+    d = retrieval.hybrid(d, LEXICAL_WEIGHT).withColumn("hybrid_score", F.col("hybrid_score") + F.col("named") + F.col("role"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.desc("vector_score"), "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "id", "hybrid_score", "stage", "rank")
 

@@ -117,6 +117,28 @@ def test_vector_top_against_brute_force(spark, monkeypatch, block):
         assert got[q] == best
 
 
+@pytest.mark.parametrize("held", [65_536, 1])
+def test_vector_top_makes_the_base_once_and_ties_by_id(spark, monkeypatch, held):
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(5)
+    m = rng.integers(-3, 4, size=60).astype(float)
+    rows = [(i, rng.permutation(m).tolist()) for i in range(40)]
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    base = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(3).mapInArrow(count, "id bigint, vector array<double>")
+    asked = spark.createDataFrame([(-i, [float(i)] * 60) for i in (1, 2, 3)], "id bigint, vector array<double>").repartition(3, "id")
+    passes = 1 if held > 3 else sum(n > 0 for n in asked.rdd.glom().map(len).collect())
+    got = sorted(tuple(r) for r in vector_top(base, asked, 7).select("query_id", "rank", "id").collect())
+    # every order of the same numbers is equally near to a vector of ones
+    assert got == [(q, n + 1, n) for q in (-3, -2, -1) for n in range(7)]
+    assert made.value == 40 * passes
+
+
 def test_merge(spark):
     old = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y"), ("c", None, "z")], "k string, v string, d string")
     new = spark.createDataFrame([("a", "1", ""), ("b", "3", "n"), ("d", "4", "m"), ("c", None, None)], "k string, v string, d string")

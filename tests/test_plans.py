@@ -30,6 +30,16 @@ def test_search(spark):
     assert search.search(q.limit(0), docs, chunks, index).count() == 0
 
 
+def test_references_spelled_once_or_in_each_row(spark, monkeypatch):
+    docs, chunks = tables(spark)
+    index = search.index_vectors(chunks, docs)
+    q = spark.createDataFrame([(1, "第三条怎么规定供应商"), (2, "采购部门第 2 条")], "query_id bigint, question string")
+    found = lambda: sorted(tuple(r) for r in search.search(q, docs, chunks, index).collect())
+    once = found()
+    monkeypatch.setattr(search, "REFS", 0)
+    assert once and found() == once
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("r")).first()["r"]
 
