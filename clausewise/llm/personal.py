@@ -29,24 +29,34 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "add
 #: Ways to write an at sign and a dot (fixed values).
 AT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:at|AT|At|@|艾特)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:at|AT)\s+(?=[A-Za-z0-9-]+\s*(?:\.|[\[(（]\s*dot|\sdot\s))")
 DOT = re.compile(r"(?<!\s)\s*[\[(（【{<]\s*(?:dot|DOT|Dot|点)\s*[\])）】}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT)\s+(?=[A-Za-z])")
+#: What all of them have, for a quick look. 're' goes at once to where a pattern may begin, if that is one character or a branch of literals; it tries other patterns at each character.
+SIGN = re.compile(r"[\s\[(（【{<](?:at|AT|At|@|艾特|dot|DOT|Dot|点)[\s\])）】}>]")
 SPELLED = str.maketrans("零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖", "0012345678912123456789"[:22])
 #: Seven or more digits, three of them spelled one behind the other.
 SPELLED_RUN = re.compile(r"[\d零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖](?:[\s\-]?[\d零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]){6,}")
-SPELLED_PART = re.compile(r"(?:[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖][\s\-]?){3}")
+SPELLED_PART = re.compile(r"[\s\-]?".join(["[零〇一二三四五六七八九幺两壹贰叁肆伍陆柒捌玖]"] * 3))
 #: Digits in English words (fixed values).
 WORD_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(WORD_DIGITS) + ")"
 #: Spelled digits one behind the other; digits about them stay as they are.
 WORD_RUN = re.compile(rf"(?<![A-Za-z0-9]){_WORD}(?:[\s\-]+{_WORD})+(?![A-Za-z0-9])", re.I)
 WORD_PART = re.compile(rf"({_WORD})(?:[\s\-]+(?={_WORD}))?", re.I)
+#: Letters that 're' takes for an s and an i, too, where capitals count as small.
+WORD_LETTERS = str.maketrans("ſıİ", "sii")
+#: The first word of a run, for a quick look.
+WORD_START = re.compile(r"[ZOTFSENzotfsenſ](?<![A-Za-z0-9].)(?i:(?<=z)ero|(?<=o)h|(?<=o)ne|(?<=t)wo|(?<=t)hree|(?<=f)our|(?<=f)ive|(?<=s)ix|(?<=s)even|(?<=e)ight|(?<=n)ine)[\s\-]")
 STRANGE = re.compile(r"[^\x00-\x7f一-鿿，。；：、“”（）À-ɏ]")
 KEPT = {c: c for c in map(ord, "，。；：、“”（）")}
 
 #: A local part begins only where the run of its characters does, and a domain behind the at sign, so no text makes the pattern go over it again from each of its places.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[._%+\-]*([A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)")
-ID_NUMBER = re.compile(r"(?<![0-9A-Za-z])\d{6}(?:[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3}[0-9Xx](?![0-9A-Za-z])")
+#: The characters of a local part.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+ID_NUMBER = re.compile(r"\d(?<![0-9A-Za-z]\d)\d{5}(?:[ \-]?)(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3}[0-9Xx](?![0-9A-Za-z])")
+#: The date of birth in it, for a quick look.
+ID_DATE = re.compile(r"(?:18|19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])")
 #: The old resident number and passports say nothing by themselves, so they need a label before them.
-LABELLED_ID = re.compile(r"(?:身份证|证件|身份号码|护照|通行证|ID|[Pp]assport)(?:号码|号|件)*\s*[:：]?\s*(?:No\.?\s*)?([A-Z]{1,2}\d{7,8}|\d{6}[ \-]?\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3})(?![0-9A-Za-z])")
+LABELLED_ID = re.compile(r"(?:身份证|证件|身份号码|护照|通行证|ID|Passport|passport)(?:号码|号|件)*\s*[:：]?\s*(?:No\.?\s*)?([A-Z]{1,2}\d{7,8}|\d{6}[ \-]?\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3})(?![0-9A-Za-z])")
 NOT_PERSONAL = re.compile(r"(?:流水|账号|帐号|卡号|订单|单号|信用代码|编号|案号)[^，。；\n]{0,4}$")
 EXTENSION = r"(?:\s?(?:转|分机|ext\.?|x)\s?\d{1,6}|[ \-]\d{1,4})?"
 PHONE = re.compile(
@@ -57,6 +67,8 @@ PHONE = re.compile(
     r"|\+\d{1,3}[ \-]?[(]?\d{1,4}[)]?(?:[ \-]?\d{2,4}){2,4}(?:\s?(?:ext\.?|x)\s?\d{1,6})?"  # any other international number
     r")(?![0-9A-Za-z*]|[.,]\d)"
 )
+#: Where it may begin.
+PHONE_START = re.compile(r"[(（+01](?<![0-9A-Za-z.,*].)(?=[+\d][\d +\-()）])")
 _CJK = "一-鿿"
 #: An ideograph of a place name: none of the words that lead up to an address.
 _PLACE = rf"(?![在于至住为寄址到与和，])[{_CJK}]"
@@ -69,31 +81,41 @@ ADDRESS = re.compile(
 #: Where an address may be, for a quick look, and where the clause it is in begins.
 STREET = re.compile(r"(?:道|路|街|巷|里|胡同|村)\d")
 CLAUSE_START = re.compile(r".*[，。；：:、\s（(]", re.S)
-ADDRESS_EN = re.compile(r"(?<![0-9A-Za-z\-/])\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Road|Row|Lane|Avenue|Drive|Way|Square|Court|Place|Terrace|Close|Crescent|Hill|Gardens|Park|Quay|Yard|Walk|Mews|Boulevard|Rise|Green|Wharf)\b(?:, (?:Flat|Suite|Unit|Apt\.?|Apartment|Room|Floor) \d+[A-Z]?)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)*)?")
+#: Where an English address may be, for a quick look.
+STREET_EN = re.compile(r" [A-Z](?<=\d [A-Z])[a-z]")
+ADDRESS_EN = re.compile(r"\d(?<![0-9A-Za-z\-/]\d)\d{0,4} (?:[A-Z][a-z]+ ){1,3}(?:Street|Road|Row|Lane|Avenue|Drive|Way|Square|Court|Place|Terrace|Close|Crescent|Hill|Gardens|Park|Quay|Yard|Walk|Mews|Boulevard|Rise|Green|Wharf)\b(?:, (?:Flat|Suite|Unit|Apt\.?|Apartment|Room|Floor) \d+[A-Z]?)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)*)?")
 
-_LATIN_NAME = r"[A-Z][a-zà-ÿ]+(?: [A-Z]\.)*(?: [A-Z][a-zà-ÿ'’\-]+){1,2}"
+_LATIN_REST = r"[a-zà-ÿ]+(?: [A-Z]\.)*(?: [A-Z][a-zà-ÿ'’\-]+){1,2}"
+_LATIN_NAME = rf"[A-Z]{_LATIN_REST}"
 _HAN_NAME = rf"[{_CJK}]{{2,4}}"
 _NAME = rf"({_LATIN_NAME}|{_HAN_NAME})"
-#: Titles and roles before a name, and what may follow it; the name is what stands between.
+#: Titles and roles before a name, and what may follow it; the name is what stands between. The text needs a line end before its first line.
+_OFFICE = r"[^\S\n]*(?:法定代表人|法人代表|负责人)\s*[:：]?\s*"
 NAME_BEFORE = re.compile(
-    rf"(?:(?:^|\n)[^\S\n]*(?:原告|被告|第三人|申请人|被申请人|上诉人|被上诉人|具状人|起诉人|致)(?:[（(][^）)\n]{{1,8}}[）)])?\s*[:：]\s*"
-    rf"|(?:^|\n|，|。|；)[^\S\n]*(?:法定代表人|法人代表|负责人)\s*[:：]?\s*"
-    rf"|(?:委托代理人|委托诉讼代理人|代理律师|承办律师|经办律师|律师签名|签字律师|代理人)\s*[:：]?\s*"
-    rf"|(?:经办人|担保人|收件人|联系人|保证人|收货人|证人|签收人)\s*[:：]?\s*"
-    rf"|(?:handed to|delivered to|served on) )"
+    r"(?:\n[^\S\n]*(?:原告|被告|第三人|申请人|被申请人|上诉人|被上诉人|具状人|起诉人|致)(?:[（(][^）)\n]{1,8}[）)])?\s*[:：]\s*"
+    rf"|\n{_OFFICE}|，{_OFFICE}|。{_OFFICE}|；{_OFFICE}"
+    + "".join(rf"|{label}\s*[:：]?\s*" for label in "委托代理人 委托诉讼代理人 代理律师 承办律师 经办律师 律师签名 签字律师 代理人 经办人 担保人 收件人 联系人 保证人 收货人 证人 签收人".split())
+    + r"|handed to |delivered to |served on )"
     rf"{_NAME}(?=$|[\s，。；、（(,;.]|先生|女士|[男女]，)"
 )
-NAME_IN_FLOW = re.compile(rf"(?:与|联系){_NAME}(?=联系|接洽)|(?:，|^|\n|：|。|；)[^\S\n]*{_NAME}(?=在[^，。；\n]{{2,60}}?签收)|(?<=[\s，；]){_NAME}收(?=$|[\s，；（(])")
+_MET = rf"(?:与|联系){_NAME}(?=联系|接洽)"
+NAME_MET = re.compile(_MET)
+NAME_IN_FLOW = re.compile(rf"{_MET}|(?:，|^|\n|：|。|；)[^\S\n]*{_NAME}(?=在[^，。；\n]{{2,60}}?签收)|(?<=[\s，；]){_NAME}收(?=$|[\s，；（(])")
+#: What all of it but the first has.
+RECEIVED = re.compile(r"收(?:(?<=签收)|$|[\s，；（(])")
 #: Endings of organisations, offices and titles, which are no personal names.
 NO_PERSON = re.compile(r"(?:公司|集团|厂|店|事务所|律所|法院|委员会|中心|银行|部门|部|局|处|所|会|院|方|人|等|律师)$|\b(?:Inc|Ltd|LLC|GmbH|Limited|Holdings|Company|Corporation|Corp|Group|Co)\b")
 
 
 #: What a name without a label stands behind, if not a mark or a line's start, and what says of whom it is (fixed values, common usage).
+_SAID = "住在 住于 现住 居住 家住 身份证 手机 联系电话 电话 住址 住所 邮箱 先生 女士 辩称 陈述称 出生于 到庭 出庭 签收 签字 签名".split()
 NAME_FREE = re.compile(
     rf"(?:(?<![{_CJK}])|(?<=[由经向与和给据对请让后]))(?![由经向与和给据对请让后])([{_CJK}]{{2,4}}?)"
-    r"(?=住在|住于|现住|居住|家住|[，,（(][男女](?![一-鿿])|的?(?:身份证|手机|联系电话|电话|住址|住所|邮箱)|先生|女士|辩称|陈述称|出生于|到庭|出庭|签收|签字|签名)"
+    rf"(?={'|'.join(_SAID[:5])}|[，,（(][男女](?![{_CJK}])|的?(?:{'|'.join(_SAID[5:12])})|{'|'.join(_SAID[12:])})"
 )
-LATIN_FREE = re.compile(rf"(?<![A-Za-z0-9])({_LATIN_NAME})(?![A-Za-z0-9])")
+#: Where what says of whom it is begins, one character at a time, as one may begin within another.
+SAID_START = re.compile("|".join(rf"{re.escape(w[0])}(?={w[1:]})" for w in (*_SAID, "，[男女]", ",[男女]", "（[男女]", "([男女]")))
+LATIN_FREE = re.compile(rf"([A-Z](?<![A-Za-z0-9].){_LATIN_REST})(?![A-Za-z0-9])")
 #: Names of labels' words, which stand where names do.
 ROLES = re.compile(r"原告|被告|第三人|申请人|上诉|法定|代理|律师|负责|联系|收件|担保|保证|证人|经办|签收|公司|法院|本人|双方|甲方|乙方|各方|对方|当事|委托|有限")
 #: What a part of names is worth knowing from on: its share of the labelled names, and their least number; so there are at most 1 / share of each kind.
@@ -160,9 +182,10 @@ def plain_form(text: str) -> Plain:
         p.edit(longer)
     if SPELLED_PART.search(p.text):
         p.text = SPELLED_RUN.sub(lambda m: m[0].translate(SPELLED) if SPELLED_PART.search(m[0]) else m[0], p.text)
-    p.edit([(run.start() + m.start(), run.start() + m.end(), WORD_DIGITS[m[1].lower()]) for run in WORD_RUN.finditer(p.text) for m in WORD_PART.finditer(run[0])])
+    if WORD_START.search(p.text):
+        p.edit([(run.start() + m.start(), run.start() + m.end(), WORD_DIGITS[m[1].translate(WORD_LETTERS).lower()]) for run in WORD_RUN.finditer(p.text) for m in WORD_PART.finditer(run[0])])
     s = p.text
-    if ("at" in s or "AT" in s or "At" in s or "艾特" in s or "dot" in s or "DOT" in s or "Dot" in s) and (AT.search(s) or DOT.search(s)):
+    if SIGN.search(s):
         both = sorted([(m.start(), m.end(), "@") for m in AT.finditer(s)] + [(m.start(), m.end(), ".") for m in DOT.finditer(s)])
         apart, at = [], 0
         for a, b, c in both:
@@ -188,10 +211,49 @@ def is_person(s: str, start: int, end: int) -> bool:
 
 def labelled_names(s: str) -> Iterator[tuple[int, int]]:
     """The places of the persons' names behind labels in a plain text."""
-    for pattern in (NAME_BEFORE, NAME_IN_FLOW):
-        for m in pattern.finditer(s):
-            if is_person(s, *m.span(m.lastindex)):
-                yield m.span(m.lastindex)
+    for m in NAME_BEFORE.finditer("\n" + s):
+        a, b = m.span(1)
+        if is_person(s, a - 1, b - 1):
+            yield a - 1, b - 1
+    for m in (NAME_IN_FLOW if RECEIVED.search(s) else NAME_MET).finditer(s):
+        if is_person(s, *m.span(m.lastindex)):
+            yield m.span(m.lastindex)
+
+
+def emails(s: str) -> Iterator[tuple[int, int]]:
+    """The places of the addresses in a plain text: at each at sign, from where the run of characters before it begins."""
+    end = begin = 0
+    at = s.find("@")
+    while at >= 0:
+        start = begin + len(s[begin:at].rstrip(LOCAL))
+        if end <= start < at and (m := EMAIL.match(s, start)):
+            yield m.span(1)
+            end = m.end()
+        begin = at + 1
+        at = s.find("@", begin)
+
+
+def phones(s: str) -> Iterator[tuple[int, int]]:
+    """The places of the telephone numbers in a plain text."""
+    end = 0
+    for start in PHONE_START.finditer(s):
+        if start.start() >= end and (m := PHONE.match(s, start.start())):
+            yield m.span()
+            end = m.end()
+
+
+def free_names(s: str) -> Iterator[tuple[int, int]]:
+    """The places in a plain text of what may be a name without a label: up to four ideographs before what says of whom it is."""
+    at = 0
+    for said in SAID_START.finditer(s):
+        while at < said.start() - 1:
+            at = max(at, said.start() - 5)
+            m = NAME_FREE.match(s, at)
+            if m:
+                yield m.span(1)
+            at = m.end() if m else at + 1
+    for m in LATIN_FREE.finditer(s):
+        yield m.span(1)
 
 
 def find(text: str | None, names: Names = Names()) -> list[tuple[int, int, str]]:
@@ -214,17 +276,16 @@ def find(text: str | None, names: Names = Names()) -> list[tuple[int, int, str]]
         found.append((*p.source(a, b), kind))
         return True
 
-    if "@" in s:
-        for m in EMAIL.finditer(s):
-            add(*m.span(1), "email")
-    for m in ID_NUMBER.finditer(s):
+    for a, b in emails(s):
+        add(a, b, "email")
+    for m in ID_NUMBER.finditer(s) if ID_DATE.search(s) else ():
         if not NOT_PERSONAL.search(s, max(0, m.start() - 12), m.start()):
             add(*m.span(), "id_number")
     for m in LABELLED_ID.finditer(s):
         add(*m.span(1), "id_number")
-    for m in PHONE.finditer(s):
-        if not NOT_PERSONAL.search(s, max(0, m.start() - 12), m.start()):
-            add(*m.span(), "phone")
+    for a, b in phones(s):
+        if not NOT_PERSONAL.search(s, max(0, a - 12), a):
+            add(a, b, "phone")
     end = 0
     for street in STREET.finditer(s):
         if street.start() >= end:
@@ -236,14 +297,13 @@ def find(text: str | None, names: Names = Names()) -> list[tuple[int, int, str]]
                 end = m.end()
             else:
                 end = street.end()
-    if "," in s:
+    if "," in s and STREET_EN.search(s):
         for m in ADDRESS_EN.finditer(s):
             add(*m.span(), "address")
     here = {s[a:b] for a, b in labelled_names(s) if add(a, b, "person_name") or True}
-    for pattern in (NAME_FREE, LATIN_FREE) if names.first or names.latin else ():
-        for m in pattern.finditer(s):
-            if names.knows(m[1]) and is_person(s, *m.span(1)) and add(*m.span(1), "person_name"):
-                here.add(m[1])
+    for a, b in free_names(s) if names.first or names.latin else ():
+        if names.knows(s[a:b]) and is_person(s, a, b) and add(a, b, "person_name"):
+            here.add(s[a:b])
     if here:
         # a name that the text tells counts wherever it stands in it, but for organisations named after it
         automaton = ahocorasick.Automaton()
